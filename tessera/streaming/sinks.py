@@ -24,3 +24,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def each_window(stream: DataFrame, write, checkpoint: str):
     """Start a query that hands each micro-batch and its number to ``write``."""
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def drain_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Like :func:`drain` for the final state of an aggregate: each micro-batch replaces the table of the one before."""
+    spark = stream.sparkSession
+    base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
