@@ -109,7 +109,14 @@ def weak_components(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     diameter on paths; every round is written to the checkpoint folder.
     """
     edges = nodes.select(F.col("id").alias("a"), F.explode("adj").alias("b")).where("a <> b").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    return component_labels(edges.select("a", "b"), nodes.select("id"), max_rounds)
+
+
+def component_labels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+    """(id, component) from undirected edges (a, b); without ``nodes``, for the edges' ends alone."""
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if nodes is None:
+        nodes = both.select(F.col("a").alias("id")).distinct()
     labels = cut(nodes.select("id", F.col("id").alias("component")))
     for _ in range(max_rounds):
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
