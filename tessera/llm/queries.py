@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, simhash, substring_dedup
+from tessera.llm import decontaminate, language, packing, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,19 @@ FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 @query(_OP9)
 def op9_positional_index_decontamination(spark, d):
     return decontaminate.decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query()
+def op2_language_viterbi(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", (_remainder(3) == 1).alias("held_out"))
+    model = language.train(docs.where(~F.col("held_out")))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
+@query()
+def op8_order_preserving_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), with_ids=False)

@@ -39,22 +39,30 @@ NONE = np.iinfo(np.int64).max
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
+def _power(m: int) -> np.uint64:
+    return np.uint64(pow(int(_M2), m, 1 << 64))
+
+
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the ``k`` bytes from each position on, by doubling."""
     if len(data) < k:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        levels, powers, n = {1: data.astype(np.uint64) * _M1}, {1: _M2}, 1
-        while n * 2 <= k:
-            levels[2 * n] = levels[n][:-n] * powers[n] + levels[n][n:]
-            powers[2 * n] = powers[n] * powers[n]
-            n *= 2
-        h, m = levels.pop(n), n
-        while m < k:
-            p = 1 << ((k - m).bit_length() - 1)
-            size = len(data) - (m + p) + 1
-            h = h[:size] * powers[p] + levels[p][m : m + size]
-            m += p
+        level, power, n = data.astype(np.uint64) * _M1, _M2, 1
+        h, m = None, 0  # what the low bits of k have covered so far
+        while True:
+            if k & n:
+                if h is None:
+                    h, m = level, n
+                else:
+                    size = len(data) - (m + n) + 1
+                    # the n bytes here, then the m bytes covered after them
+                    h = level[:size] * _power(m) + h[n : n + size]
+                    m += n
+            if n * 2 > k:
+                break
+            level = level[:-n] * power + level[n:]
+            power, n = power * power, n * 2
         h = h ^ (h >> np.uint64(29))
         h *= _M3
         h ^= h >> np.uint64(32)
