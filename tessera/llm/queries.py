@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, packing, simhash, substring_dedup
+from tessera.llm import context_tree, decontaminate, language, packing, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op2_language_viterbi(spark, d):
 @query()
 def op8_order_preserving_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), with_ids=False)
+
+
+@query()
+def op7_context_tree_weighting(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", (_remainder(7) == 2).alias("held_out"))
+    return context_tree.score_texts(docs, ~F.col("held_out"))
