@@ -6,7 +6,7 @@ After training the weights stand, so the probability of a byte is a table by its
 score is the sum over its bytes and one end symbol (byte 0, which also fills the context before the first byte).
 
 Contexts of three or more bytes are nodes if the corpus has them at least once in ``1 / RARE`` of its bytes, so a depth
-has at most ``RARE`` of these nodes at any corpus size: the model is at most (2 * RARE + 65,793) rows of 256 numbers. The
+has at most ``RARE`` of these nodes at any corpus size: the model is at most (3 * RARE + 65,793) rows of 256 numbers. The
 bytes of rarer contexts count in a node's remainder. Counts themselves are of all training bytes.
 
 Word counts grow with the corpus, so they are never broadcast: each block posts its distinct words (as 64-bit hashes)
@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, unpack, unsqueeze, write_blocks
 from tessera.llm.words import SPACED_BREAK, hashes, split
 
-DEPTH, RARE, MERGE = 4, 1 << 16, 3_000_000
+DEPTH, RARE, MERGE = 5, 1 << 17, 3_000_000
 TRAIN = "__in_training"
 RESULT = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 _HALF = math.log(0.5)
