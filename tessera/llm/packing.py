@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """The process's encoder: a worker that is used again keeps the words it has learned."""
+    return Encoder(path)
+
+
 def padding(n: int, size: int = SIZE) -> int:
     """What a sequence of ``n`` tokens is padded by: up to ``size``, or not at all if ``n`` is a power of two."""
     return 0 if n & (n - 1) == 0 else size - n
@@ -115,42 +122,44 @@ def cuts(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int
     """Ends of the sequences, ascending, the last at ``total``."""
     if not total:
         return []
-    cost = {int(x): SENTENCE_COST for x in sentence_ends}
-    cost.update((int(x), 0) for x in doc_ends)
-    known = np.array(sorted({0, total, *cost}), np.int64)
+    docs = np.asarray(doc_ends, np.int64)
+    known = np.unique(np.concatenate([[0, total], docs, sentence_ends]))
     step = size // 2
     gaps = np.flatnonzero(np.diff(known) > step)
     hard = [np.arange(known[g] + step, known[g + 1], step) for g in gaps]
     hard.append(np.arange(max(1, total - size), total))
     at = np.unique(np.concatenate([known, *hard]))
-    at = at[at <= total]
-    penalty = [cost.get(x, HARD_COST) for x in at.tolist()]
-    penalty[-1] = 0
-    exact: list[list[int]] = [[] for _ in at]
+    costs = np.full(len(at), HARD_COST)
+    costs[np.searchsorted(at, sentence_ends)] = SENTENCE_COST
+    costs[np.searchsorted(at, docs)] = 0
+    costs[-1] = 0
+    penalty = (costs + SEQUENCE_COST).tolist()
+    exact: dict[int, list[int]] = {}
     p = 64  # smaller ones cost more as sequences than they save
     while p < size:
         prior = np.searchsorted(at, at - p)
         for b in np.flatnonzero(at[np.minimum(prior, len(at) - 1)] == at - p).tolist():
-            exact[b].append(int(prior[b]))
+            exact.setdefault(b, []).append(int(prior[b]))
         p *= 2
     where = at.tolist()
     best, back = [0] * len(where), [0] * len(where)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost[a] + a, index of a), ascending in both
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost[a] + a, index of a, a), ascending in all three
     for b in range(1, len(where)):
         here = where[b]
-        while where[queue[0][1]] < here - size:
+        while queue[0][2] < here - size:
             queue.popleft()
-        low, a = queue[0]
+        low, a, _ = queue[0]
         low += size - here
-        for e in exact[b]:
-            if best[e] < low:
-                low, a = best[e], e
-        low += SEQUENCE_COST + penalty[b]
+        if b in exact:
+            for e in exact[b]:
+                if best[e] < low:
+                    low, a = best[e], e
+        low += penalty[b]
         best[b], back[b] = low, a
         low += here
         while queue and queue[-1][0] >= low:
             queue.pop()
-        queue.append((low, b))
+        queue.append((low, b, here))
     out, b = [], len(where) - 1
     while b:
         out.append(where[b])
@@ -170,7 +179,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     arrow = OUT if with_ids else pa.schema(list(OUT)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = Encoder(path), TaskContext.get().partitionId() << 40
+        encoder, sequence = shared_encoder(path), TaskContext.get().partitionId() << 40
         for part in chunks(batches, text):
             each = encoder.encode(part.column(text).to_pylist())
             ids, sizes = np.concatenate(each), np.array([len(e) for e in each], np.int64)
