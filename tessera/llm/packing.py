@@ -28,7 +28,7 @@ SIZE, END_ID = 2048, 1
 #: In tokens of padding: a sequence more, a cut at a sentence's end, a cut inside a sentence.
 SEQUENCE_COST, SENTENCE_COST, HARD_COST = 64, 8, 64
 #: Words whose ids a process remembers.
-CACHE = 1_000_000
+CACHE = 2_000_000
 
 # What the vocabulary's own splitter takes as letters and digits, among the characters that the short cut admits.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -93,7 +93,7 @@ class Encoder:
                 counts.append(len(own))
             else:
                 out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], np.uint32)
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        new = list(set(words).difference(self.index))
         if new:
             self.learn(new)
         which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
