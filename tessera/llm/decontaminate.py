@@ -50,13 +50,13 @@ def phrases_of(items: Sequence[tuple[object, str | None]], window: int = WINDOW)
     return found
 
 
-def build_index(docs: DataFrame, text: str = "text", terms: np.ndarray | None = None) -> DataFrame:
-    """Segments (segment, rows, n_words, terms, sizes, positions); ``rows`` holds the documents' other columns.
+def build_index(docs: DataFrame, text: str = "text", terms: np.ndarray | None = None, keep_text: bool = False) -> DataFrame:
+    """Segments (segment, rows, n_words, terms, sizes, positions); ``rows`` holds the documents' other columns, and the text if kept.
 
     ``terms``: sorted hashes to index; None indexes all.
     """
     wanted = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if keep_text or c != text]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -193,8 +193,8 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]
     return blocks
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without its text, with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text unless kept) with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0).
 
     Items of fewer than ``window`` words are one phrase; null texts have no words. Repeated item ids count once, null
     ids mark words but are not listed.
@@ -204,10 +204,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     blocks = [phrases_of(b, window) for b in _item_blocks(benchmark, item, item_text)]
     terms = np.unique(np.array([t for b in blocks for p in b for t in p], np.uint64))
     result = StructType.fromDDL(RESULT)
-    own = StructType([f for f in docs.schema.fields if f.name not in result.names and f.name != text])
+    own = StructType([f for f in docs.schema.fields if f.name not in result.names and (keep_text or f.name != text)])
     schema = StructType([*own.fields, *result.fields])
     arrow = to_arrow_schema(schema)
-    index = build_index(docs.select(*own.names, text), text, terms if len(terms) <= MAX_TERMS else None)
+    index = build_index(docs.select(*dict.fromkeys([*own.names, text])), text, terms if len(terms) <= MAX_TERMS else None, keep_text)
     hits = reduce(DataFrame.unionByName, [phrase_hits(index, b) for b in blocks])
     by_segment = hits.groupBy("segment").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
     joined = index.select("segment", "rows", "n_words").join(by_segment, "segment", "left").select("rows", "n_words", "hits", "items")

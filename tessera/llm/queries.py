@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import context_tree, decontaminate, language, packing, simhash, substring_dedup
+from tessera.llm import context_tree, decontaminate, language, packing, permutation_index, preference, simhash, substring_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,56 @@ def op8_order_preserving_packing(spark, d):
 def op7_context_tree_weighting(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", (_remainder(7) == 2).alias("held_out"))
     return context_tree.score_texts(docs, ~F.col("held_out"))
+
+
+@query("""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest""")
+def op3_warc_salvage(spark, d):
+    return warc.round_trip(table(spark, d, "pages"))
+
+
+@query()
+def op4_permutation_index(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return permutation_index.search(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
+# Fixed values of the contract.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def _rules_sql() -> str:
+    ordered = sorted(RULES, key=lambda r: -len(r[1]))
+    fits = ["(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1)) for _, r in ordered]
+    rule = " ".join(f"WHEN {f} THEN '{r}'" for f, (_, r) in zip(fits, ordered, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{a}'" for f, (a, _) in zip(fits, ordered, strict=True))
+    return f"""WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+k AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM k"""
+
+
+@query(_rules_sql())
+def op1_bloom_cascade_urls(spark, d):
+    return url_filter.judge(table(spark, d, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_OP10 = """WITH t0 AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k FROM t0),
+pairs AS (SELECT pair_id, max(CASE WHEN side = 0 THEN k ELSE 0 END) AS nc, max(CASE WHEN side = 1 THEN k ELSE 0 END) AS nr FROM t GROUP BY pair_id),
+diff AS (SELECT a.pair_id, min(a.k) - 1 AS p FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 0 AND b.side = 1 WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),
+n AS (SELECT pair_id, coalesce(p, least(nc, nr)) AS n_prefix FROM pairs LEFT JOIN diff USING (pair_id)),
+r AS (SELECT pair_id, side, k, n_prefix, role, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' AS body FROM t JOIN n USING (pair_id)),
+o AS (SELECT *, sum(CASE WHEN k > n_prefix THEN length(head) + length(body) + 1 ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY k) - length(head) - length(body) - 1 + length(head) AS start FROM r),
+g AS (SELECT pair_id, side, string_agg(CASE WHEN k <= n_prefix THEN head || body || chr(10) END, '' ORDER BY k) AS prompt,
+  string_agg(CASE WHEN k > n_prefix THEN head || body || chr(10) END, '' ORDER BY k) AS rest,
+  string_agg(CASE WHEN k > n_prefix AND role = 'assistant' THEN start::BIGINT || ':' || length(body) END, ',' ORDER BY k) AS mask FROM o GROUP BY pair_id, side)
+SELECT n.pair_id, n.n_prefix::INTEGER AS n_prefix, coalesce(c.prompt, '') AS prompt, coalesce(c.rest, '') AS chosen_text, coalesce(c.mask, '') AS chosen_mask, coalesce(j.rest, '') AS rejected_text, coalesce(j.mask, '') AS rejected_mask
+FROM n LEFT JOIN g c ON n.pair_id = c.pair_id AND c.side = 0 LEFT JOIN g j ON n.pair_id = j.pair_id AND j.side = 1"""
+
+
+@query(_OP10)
+def op10_preference_pairs(spark, d):
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["length"].cast("string"))), ",")
+    made = preference.format_preferences(preference.conversations_as_pairs(table(spark, d, "conversations")))
+    return made.withColumns({"chosen_mask": shown("chosen_mask"), "rejected_mask": shown("rejected_mask")})
