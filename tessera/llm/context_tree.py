@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, unpack, unsqueeze, write_blocks
-from tessera.llm.words import SPACED_BREAK, hashes, split
+from tessera.llm.words import SPACED_BREAK, slices, tokens
 
 DEPTH, RARE, MERGE = 5, 1 << 17, 3_000_000
 TRAIN = "__in_training"
@@ -72,11 +72,6 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
             yield k, order[cuts[k] : cuts[k + 1]]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, doc = split(data, offsets, SPACED_BREAK)
-    return hashes(data, starts, ends), doc
-
-
 _POSTS = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -94,7 +89,7 @@ def _posts(buckets: int, text: str):
                 block = unpack(payload)
                 data, offsets = text_buffer(block.column(text))
                 learned = block.column(TRAIN).to_numpy(zero_copy_only=False).astype(bool)
-                h, doc = _words(data, offsets)
+                h, doc = tokens(data, offsets, SPACED_BREAK)
                 keys, inverse = np.unique(h, return_inverse=True)
                 counts = np.bincount(inverse, weights=learned[doc], minlength=len(keys)).astype(np.uint32)
                 bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
@@ -102,7 +97,8 @@ def _posts(buckets: int, text: str):
                     yield _row(k, block_id, keys[own], counts[own])
                 sizes = np.diff(offsets)
                 kept = data[np.repeat(learned, sizes)]
-                grams.append(_grams(kept, np.concatenate([[0], np.cumsum(sizes[learned])])))
+                ends = np.concatenate([[0], np.cumsum(sizes[learned])])
+                grams += [_grams(kept[ends[a] : ends[z]], ends[a : z + 1] - ends[a]) for a, z in slices(ends)]
                 if sum(len(k) for k, _ in grams) > MERGE:
                     grams = [_merge(grams)]
         if grams:
@@ -180,6 +176,10 @@ class Tree:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
+        parts = [self._score(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]) for a, z in slices(offsets)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def _score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text, starts = padded(data, offsets)
         n, m = len(text) - DEPTH, len(self.child) // 2
         if n <= 0:
@@ -307,7 +307,7 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
             for row in batch.to_pylist():
                 block = unpack(row["payload"])
                 data, offsets = text_buffer(block.column(text))
-                h, doc = _words(data, offsets)
+                h, doc = tokens(data, offsets, SPACED_BREAK)
                 keys, inverse = np.unique(h, return_inverse=True)
                 bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 got = {w["bucket"]: w["counts"] for w in row["words"] or []}
@@ -316,13 +316,13 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
                     c[at] = unsqueeze(got[k], np.int64)
                 c = c[inverse]
                 rows = block.num_rows
-                tokens = np.bincount(doc, minlength=rows) + 1
+                n_tokens = np.bincount(doc, minlength=rows) + 1
                 known = np.bincount(doc, weights=c > 0, minlength=rows).astype(np.int64) + (ends > 0)
-                plain = np.bincount(doc, weights=np.log10(c + 1.0), minlength=rows) + math.log10(ends + 1) - tokens * base
+                plain = np.bincount(doc, weights=np.log10(c + 1.0), minlength=rows) + math.log10(ends + 1) - n_tokens * base
                 score, size = tree.value.score(data, offsets), np.diff(offsets)
                 bits = np.divide(-score * math.log2(10), size, out=np.zeros(rows), where=size > 0)
                 made = {
-                    "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(plain),
+                    "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(plain),
                     "score": pa.array(score), "bits_per_byte": pa.array(bits, mask=size == 0),
                 }
                 yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else block.column(f.name).cast(f.type) for f in arrow], schema=arrow)

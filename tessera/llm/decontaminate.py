@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import chunks, materialize, pack, squeeze, text_buffer, unpack, unsqueeze
-from tessera.llm.words import ALNUM_BREAK, hashes, split
+from tessera.llm.words import ALNUM_BREAK, tokens
 
 WINDOW, GAP = 10, 64
 ITEM_BYTES, MAX_TERMS = 1 << 20, 1 << 20
@@ -36,8 +36,8 @@ RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, con
 def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
     """Each text's words as hashes."""
     data, offsets = text_buffer(pa.array(texts, pa.string()))
-    starts, ends, doc = split(data, offsets, ALNUM_BREAK)
-    return np.split(hashes(data, starts, ends), np.searchsorted(doc, np.arange(1, len(texts))))
+    found, doc = tokens(data, offsets, ALNUM_BREAK)
+    return np.split(found, np.searchsorted(doc, np.arange(1, len(texts))))
 
 
 def phrases_of(items: Sequence[tuple[object, str | None]], window: int = WINDOW) -> dict[tuple[int, ...], set[str]]:
@@ -62,8 +62,7 @@ def build_index(docs: DataFrame, text: str = "text", terms: np.ndarray | None =
         base = TaskContext.get().partitionId() << 32
         for k, part in enumerate(chunks(batches, text)):
             data, offsets = text_buffer(part.column(text))
-            starts, ends, doc = split(data, offsets, ALNUM_BREAK)
-            h = hashes(data, starts, ends)
+            h, doc = tokens(data, offsets, ALNUM_BREAK)
             at = np.arange(len(h)) + GAP * doc
             if wanted is not None:
                 keep = _member(h, wanted.value)

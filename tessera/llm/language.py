@@ -25,6 +25,8 @@ from tessera.llm.blocks import chunks, text_buffer
 from tessera.llm.words import LOWER, split
 
 GRAMS, SWITCH, SCRIPT_SHARE, UNKNOWN = 1 << 16, 12.0, 0.01, "und"
+#: Bytes of text that are labelled at a time; a longer text is one step of its own.
+CHUNK = 2 << 20
 #: A word's evidence is bounded, so that one odd word does not outweigh a sentence.
 WORD_BOUND = 30.0
 
@@ -94,7 +96,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", CHUNK):
             data, offsets = text_buffer(part.column("text"))
             text_, grams, _, _, _ = _features(data, offsets)
             labels, number = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
@@ -199,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, CHUNK):
             column = part.column(text)
             data, offsets = text_buffer(column)
             n = part.num_rows

@@ -27,8 +27,8 @@ from tessera.llm.blocks import chunks
 SIZE, END_ID = 2048, 1
 #: In tokens of padding: a sequence more, a cut at a sentence's end, a cut inside a sentence.
 SEQUENCE_COST, SENTENCE_COST, HARD_COST = 64, 8, 64
-#: Words whose ids a process remembers.
-CACHE = 2_000_000
+#: Words whose ids a process remembers; beyond that, those it met once are forgotten, then all but the most met half.
+CACHE = 600_000
 
 # What the vocabulary's own splitter takes as letters and digits, among the characters that the short cut admits.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -64,6 +64,18 @@ class Encoder:
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.met = np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the words met most, and their counts."""
+        least = max(2, int(np.partition(self.met, -(CACHE // 2))[-(CACHE // 2)]) + 1)
+        keep = np.flatnonzero(self.met >= least)
+        words = list(self.index)
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.pool = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[keep] - (ends - sizes), sizes)]
+        self.starts, self.sizes, self.met = ends - sizes, sizes, self.met[keep]
+        self.index = {words[k]: n for n, k in enumerate(keep.tolist())}
 
     def learn(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
@@ -75,13 +87,14 @@ class Encoder:
         self.starts = np.concatenate([self.starts, len(self.pool) + ends - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pool = np.concatenate([self.pool, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
         base = len(self.index)
         self.index.update((w, base + k) for k, w in enumerate(words))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's ids, then the end token."""
         if len(self.index) > CACHE:
-            self.reset()
+            self.forget()
         out: list[np.ndarray | None] = [None] * len(texts)
         plain, words, counts = [], [], []
         for k, t in enumerate(texts):
@@ -97,6 +110,7 @@ class Encoder:
         if new:
             self.learn(new)
         which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.met += np.bincount(which, minlength=len(self.met))
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
         flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[which] - (ends - sizes), sizes)

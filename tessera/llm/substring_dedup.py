@@ -32,6 +32,7 @@ from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, unpack, unsqueeze, write_blocks
 from tessera.llm.suffix_array import shared_windows
+from tessera.llm.words import slices
 
 GRAM, PIECE = 24, 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
@@ -77,8 +78,16 @@ def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     return out if n == w else np.minimum(out[: len(out) - (w - n)], out[w - n :])
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, documents, starts, ends): runs of windows with one name within a document."""
+    parts = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
+    for lo, hi in slices(offsets):
+        names, docs, starts, ends = _pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+        parts.append((names, docs + lo, starts + offsets[lo], ends + offsets[lo]))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     gram = min(gram, width)
     h = gram_hashes(data, gram)
     if len(data) < width:

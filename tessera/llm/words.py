@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 
 _P = 0x9E6C63D0876A9A4B | 1
-_MASK = (1 << 64) - 1
 
 
 def _table(separators: list[int]) -> np.ndarray:
@@ -28,13 +27,38 @@ LOWER = _table([])
 _CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, _P, np.uint64)
-        down = np.full(n, pow(_P, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n``; the process keeps the longest it has needed."""
+    if not _tables or len(_tables[0]) < n:
+        with np.errstate(over="ignore"):
+            up = np.full(n, _P, np.uint64)
+            down = np.full(n, pow(_P, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _tables[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _tables
+
+
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``most`` bytes, so that arrays over bytes stay small."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        stop = min(n, max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1))
+        yield start, stop
+        start = stop
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text numbers) of all words."""
+    found, texts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for lo, hi in slices(offsets):
+        part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, ends, doc = split(part, own, breaks)
+        found.append(hashes(part, starts, ends))
+        texts.append(doc + lo)
+    return np.concatenate(found), np.concatenate(texts)
 
 
 def split(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +80,7 @@ def split(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's lower-cased bytes: a polynomial over random byte codes, mixed with the length."""
-    size = max(1 << 16, 1 << int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(max(1 << 16, 1 << int(len(data)).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[LOWER[data]] * up[: len(data)], out=sums[1:])
