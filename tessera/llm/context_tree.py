@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, unpack, unsqueeze, write_blocks
+from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, tidy, unpack, unsqueeze, write_blocks
 from tessera.llm.words import SPACED_BREAK, slices, tokens
 
 DEPTH, RARE, MERGE = 5, 1 << 17, 3_000_000
@@ -82,6 +82,7 @@ def _row(bucket: int, block: int | None, keys: np.ndarray, counts: np.ndarray) -
 def _posts(buckets: int, text: str):
     """Blocks -> words' training counts by block, and training grams (block_id null) by task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -116,6 +117,7 @@ _FOUND = pa.schema([("kind", pa.string()), ("block_id", pa.int64()), ("bucket",
 def _totals(least: int):
     """A bucket's posts -> each block's word totals, the bucket's N and V, and the contexts that are nodes with their counts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[int, tuple[list, list]] = {}
         for batch in batches:
@@ -302,6 +304,7 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
     base = math.log10(n + v + 1)
     totals = found.where("kind = 'words'").groupBy("block_id").agg(F.collect_list(F.struct("bucket", "counts")).alias("words"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

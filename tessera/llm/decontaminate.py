@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.blocks import chunks, materialize, pack, squeeze, text_buffer, unpack, unsqueeze
+from tessera.llm.blocks import chunks, materialize, pack, squeeze, text_buffer, tidy, unpack, unsqueeze
 from tessera.llm.words import ALNUM_BREAK, tokens
 
 WINDOW, GAP = 10, 64
@@ -58,6 +58,7 @@ def build_index(docs: DataFrame, text: str = "text", terms: np.ndarray | None =
     wanted = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
     others = [c for c in docs.columns if keep_text or c != text]
 
+    @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for k, part in enumerate(chunks(batches, text)):
@@ -135,6 +136,7 @@ def phrase_hits(index: DataFrame, phrases: dict[tuple[int, ...], set[str]]) -> D
     tables = {n: (np.array([p for p in phrases if len(p) == n], np.uint64), [sorted(v) for p, v in phrases.items() if len(p) == n]) for n in lengths}
     shared = index.sparkSession.sparkContext.broadcast(tables)
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -164,6 +166,7 @@ def proximity_matches(index: DataFrame, words: Sequence[str], within: int, key:
     """(key, first, last): spans of at most ``within`` words that hold all ``words``, nearest choices around each place of the rarest."""
     terms = np.array([h[0] for h in word_hashes(list(words))], np.uint64)
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -211,6 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     by_segment = hits.groupBy("segment").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
     joined = index.select("segment", "rows", "n_words").join(by_segment, "segment", "left").select("rows", "n_words", "hits", "items")
 
+    @tidy
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

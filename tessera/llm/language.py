@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.blocks import chunks, text_buffer
+from tessera.llm.blocks import chunks, text_buffer, tidy
 from tessera.llm.words import LOWER, split
 
 GRAMS, SWITCH, SCRIPT_SHARE, UNKNOWN = 1 << 16, 12.0, 0.01, "und"
@@ -94,6 +94,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Counts trigrams and scripts of every labelled row; partial sums are at most GRAMS a language and task."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for part in chunks(batches, "text", CHUNK):
@@ -199,6 +200,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
     schema = StructType([*own.fields, *result.fields])
     arrow = to_arrow_schema(schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in chunks(batches, text, CHUNK):

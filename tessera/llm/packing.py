@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.blocks import chunks
+from tessera.llm.blocks import chunks, tidy
 
 SIZE, END_ID = 2048, 1
 #: In tokens of padding: a sequence more, a cut at a sentence's end, a cut inside a sentence.
 SEQUENCE_COST, SENTENCE_COST, HARD_COST = 64, 8, 64
 #: Words whose ids a process remembers; beyond that, those it met once are forgotten, then all but the most met half.
-CACHE = 600_000
+CACHE = 400_000
 
 # What the vocabulary's own splitter takes as letters and digits, among the characters that the short cut admits.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -192,6 +192,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     path = path or vocabulary_path()
     arrow = OUT if with_ids else pa.schema(list(OUT)[:-1])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sequence = shared_encoder(path), TaskContext.get().partitionId() << 40
         for part in chunks(batches, text):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import materialize
+from tessera.llm.blocks import materialize, tidy
 
 PIVOTS, PREFIX, SEGMENT, QUERIES = 256, 64, 8192, 512
 #: The share of a segment that is reranked, and the least number.
@@ -86,6 +86,7 @@ def exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _blobs(df: DataFrame, rows: int, name: str) -> DataFrame:
     """(name, ids, vectors, dim): so many rows in one, from each task."""
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 32, 0
         table = pa.Table.from_batches(batches, schema=pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))]))
@@ -120,6 +121,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     blocks = _blobs(asked.repartition(max(1, per // 8 + 1), F.xxhash64("id")), QUERIES, "block")
     paired = blocks.select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q")).withColumn("segment", F.explode(segments.agg(F.collect_list("segment")).scalar())).join(segments, "segment")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, segment = None, None
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.blocks import chunks, materialize, partitions_of
+from tessera.llm.blocks import chunks, materialize, partitions_of, tidy
 from tessera.operators.graph import component_labels
 
 SEED, MAX_BITS, BLOCKS = 42, 2, 16
@@ -61,6 +61,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", kee
     schema = StructType([*own.fields, StructField(name, LongType())])
     arrow = to_arrow_schema(schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text):
             fps = np.array([fingerprint(t) for t in part.column(text).to_pylist()], np.uint64).view(np.int64)
@@ -77,6 +78,7 @@ def distances(fps: np.ndarray, references: np.ndarray = REFERENCES) -> np.ndarra
 def _posts(buckets: int):
     """Distinct fingerprints -> (bucket, keys, fps)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -121,6 +123,7 @@ def linked_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MAX_BITS, chunk:
         shift += 1
 
 
+@tidy
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's postings -> edges (a, b), a spanning forest of its links."""
     keys, fps = [], []

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, unpack, unsqueeze, write_blocks
+from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, tidy, unpack, unsqueeze, write_blocks
 from tessera.llm.suffix_array import shared_windows
 from tessera.llm.words import slices
 
@@ -124,6 +124,7 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
 def _named(buckets: int, width: int, text: str):
     """Blocks -> (bucket, block_id, names, docs): the low 32 bits of each piece's name, in order of position."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -151,6 +152,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
     return found
 
 
+@tidy
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, block_id, flags): which of a block's names in the bucket another document has as well."""
     for bucket, rows in _gather(batches).items():
@@ -174,6 +176,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(buckets: int, width: int, text: str, key: str):
     """Blocks with flags -> (bucket, block_id, strings, sizes, names, which, doc, pos, id): recurring pieces, equal ones once a block."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -271,6 +274,7 @@ def _class_minima(strings: list[bytes], names: np.ndarray, least: np.ndarray, wi
 def _spans(width: int):
     """A bucket's candidates -> (block_id, doc, start, stop): byte spans to remove."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _gather(batches).values():
             index: dict[tuple[int, bytes], int] = {}
@@ -314,6 +318,7 @@ def _spans(width: int):
 def _cut(out_schema: pa.Schema, text: str, replace: bool):
     """Blocks with spans -> the input's rows, with what was removed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import chunks, materialize
+from tessera.llm.blocks import chunks, materialize, tidy
 from tessera.operators.checkpoints import checkpoint_dir
 
 VERSION, REVISIT_BYTES, ARCHIVE_BYTES = b"WARC/1.0\r\n", 1000, 8 << 20
@@ -152,6 +152,7 @@ def write_archives(records: DataFrame, folder: str, key: str = "page_id", url: s
     """Write planned records as ``.warc.gz`` files of about ARCHIVE_BYTES; return the manifest (path, records), already written."""
     rows = records.select(key, url, payload, "payload_bytes", "payload_digest", "refers_to", "revisit")
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -191,6 +192,7 @@ def read_archives(spark, paths: list[str] | str, payloads: bool = False) -> Data
     arrow = READ if payloads else pa.schema(list(READ)[:-1])
     number = lambda x: int(x) if x is not None else None
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
