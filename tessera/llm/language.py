@@ -135,8 +135,8 @@ def word_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     for k in range(len(model.langs)):
         sums = np.concatenate([[0.0], np.cumsum(model.logp[grams, k])])
         scores[:, k] = sums[ends] - sums[starts]
-    if not len(starts):
-        return scores, np.zeros(0, bool), starts, ends, doc
+    if not scores.size:  # no word, or no language learned
+        return scores, np.zeros(len(starts), bool), starts, ends, doc
     scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -WORD_BOUND)
     script = _within(SCRIPT[data], starts, ends).astype(np.int64)
     fits = (script[:, None] & ~model.scripts[None, :]) == 0
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
             data, offsets = text_buffer(column)
             n = part.num_rows
             scores, known, starts, ends, doc = word_scores(m, data, offsets)
-            labels = viterbi(scores, doc, n)
+            labels = viterbi(scores, doc, n) if m.langs else np.zeros(len(doc), np.int64)
             size = (ends - starts) * known
             weight = np.zeros((n, max(1, len(m.langs))))
             np.add.at(weight, (doc, labels), size)

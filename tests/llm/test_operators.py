@@ -1,0 +1,358 @@
+"""Each operator against a brute-force version or a round trip, with the odd cases its docstring defines."""
+
+import collections
+import gzip
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import DATA
+from oracle import compare
+
+import corpus_pipeline
+from tessera.llm import context_tree, decontaminate, language, packing, permutation_index, preference, queries, simhash, substring_dedup, url_filter, warc
+from tessera.llm.suffix_array import shared_windows, suffix_array
+
+SMALL = f"{DATA}/sf0.001"
+ODD = "doc_id long, text string, n_bytes string, fingerprint int, lang string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and repeated texts, repeated and null ids, and a column that has a result's name."""
+    base = "the quick brown fox jumps over the lazy dog and runs away from the very old house on the hill "
+    rows = [(1, base, "x", 1, "en"), (2, "zz " + base, None, 2, "en"), (3, None, "y", None, None), (4, "", "z", 3, "en"), (2, base, "w", 4, "fr"), (None, base, "v", 5, "en"), (5, "x" * 5000, "u", 6, "de"), (6, "x" * 300 + " é" * 50, "t", 7, "de"), (7, "123 !!", "s", 8, "de")]
+    return spark.createDataFrame(rows, ODD)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    compare(spark, queries.QUERIES[name], queries.ORACLES[name], SMALL)
+
+
+def test_suffix_array_sorts():
+    rng = random.Random(1)
+    for _ in range(300):
+        s = [rng.randint(0, rng.choice([1, 2, 5])) for _ in range(rng.randint(0, 30))]
+        assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    assert [sorted(c) for c in shared_windows([b"abcd", b"xbcd", b"bcd"], 3)] == [[(0, 1), (1, 1), (2, 0)]]
+
+
+def brute_repeats(rows, width):
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        if i is not None:
+            for p in range(len(b) - width + 1):
+                s = b[p : p + width]
+                first[s] = min(first.get(s, i), i)
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - width + 1) if i is not None else ():
+            if first[b[p : p + width]] < i:
+                gone[p : p + width] = b"\1" * width
+        runs = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeats(spark, odd):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = substring_dedup.remove_repeats(odd)
+    assert set(odd.columns) - {"n_bytes"} <= set(got.columns)
+    assert sorted(map(tuple, got.select(columns).collect()), key=repr) == brute_repeats([(r.doc_id, r.text) for r in odd.collect()], 50)
+    assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df, width=9).select(columns).collect()), key=repr) == brute_repeats(rows, 9)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    assert sorted(map(tuple, queries.QUERIES["op6_suffix_array_dedup"](spark, SMALL).select(columns).collect()), key=repr) == brute_repeats(list(map(tuple, docs.collect())), 50)
+
+
+def slow_fingerprint(text):
+    w = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+    h = [xxhash.xxh64(b" ".join(w[i : i + 3]), seed=42).intdigest() for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def slow_components(fps, most=2):
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i][1] ^ fps[j][1]).bit_count() <= most:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for k, (i, _) in enumerate(fps):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return sorted([(i, f"{f:016x}", least.get(root(k))) for k, (i, f) in enumerate(fps)], key=repr)
+
+
+def test_simhash(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    for df in (odd, docs):
+        got = sorted(map(tuple, simhash.near_duplicates(df).select("doc_id", "fingerprint", "component_id").collect()), key=repr)
+        assert got == slow_components([(r.doc_id, slow_fingerprint(r.text)) for r in df.collect()])
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_links_lose_nothing():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    near = [b ^ np.uint64((1 << int(i)) | (1 << int(j))) for b in base for i, j in rng.integers(0, 64, (6, 2))]
+    fps = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
+    import pyarrow as pa
+
+    posts = list(simhash._posts(1)(iter([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])])))
+    keys, own = (np.concatenate([np.frombuffer(x, np.uint64) for p in posts for x in p.column(c).to_pylist()]) for c in (1, 2))
+    got = {tuple(sorted(x)) for a, b in simhash.linked_pairs(keys, own) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 2}
+    assert got == want
+
+
+def test_decontamination(spark, odd):
+    items = spark.createDataFrame([(10, "quick brown fox jumps over the lazy dog and runs away"), (9, "Lazy DOG"), (8, None), (7, "??"), (10, "lazy dog"), (None, "old house")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): r for r in decontaminate.decontaminate(odd, items).collect()}
+    hit = got[(1, 20)]
+    assert (hit.n_hit, hit.n_items, hit.contaminated) == (13, 2, True) and hit.items_sha256 == hashlib.sha256(b"10,9").hexdigest()
+    assert got[(3, 0)].n_hit == 0 and got[(3, 0)].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert decontaminate.decontaminate(odd, items.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.decontaminate(odd.limit(0), items).count() == 0
+    index = decontaminate.build_index(odd)
+    near = decontaminate.proximity_matches(index, ["fox", "dog"], 8).collect()
+    assert {(r.doc_id, r.first, r.last) for r in near} >= {(1, 3, 8), (2, 4, 9)}
+    assert decontaminate.proximity_matches(index, ["fox", "dog"], 5).count() == 0
+
+
+def test_language(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs)
+    got = {(r.doc_id, r.n_bytes): r for r in language.identify(odd, model, spans=True).collect()}
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in ((3, "y"), (4, "z"), (7, "s")))
+    assert language.identify(odd.limit(0), model).count() == 0
+    assert language.identify(odd, language.train(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
+    mixed = "The and of with thtion erhea. Ungschheit der die enver erkeit und nicht die ein."
+    (row,) = language.identify(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model, spans=True).collect()
+    assert [s.lang for s in row.lang_spans] == ["en", "de"]
+
+
+def test_language_accuracy(spark):
+    d = f"{DATA}/sf0.01"
+    found = queries.QUERIES["op2_language_viterbi"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (found.lang == found.lang_pred).mean() > 0.98 and found.score.between(0, 1).all()
+
+
+def test_viterbi_is_best():
+    rng = np.random.default_rng(4)
+    scores, doc = rng.normal(0, 5, (12, 3)), np.array([0] * 7 + [2] * 5)
+    got = language.viterbi(scores, doc, 3, switch=4.0)
+    value = lambda s, p: s[np.arange(len(p)), p].sum() - 4.0 * (np.diff(p) != 0).sum()
+    for own in (doc == 0, doc == 2):
+        s, n = scores[own], own.sum()
+        best = max(value(s, np.array(np.unravel_index(k, (3,) * n))) for k in range(3**n))
+        assert value(s, got[own]) == pytest.approx(best)
+
+
+def slow_tree(training, texts, depth=context_tree.DEPTH):
+    counts = collections.defaultdict(lambda: [0, 0])
+
+    def bits(t):
+        p = bytes(depth) + t + b"\0"
+        for i in range(depth, len(p)):
+            node = 1
+            for b in range(7, -1, -1):
+                yield p[i - depth : i], node, p[i] >> b & 1
+                node = 2 * node + (p[i] >> b & 1)
+
+    for t in training:
+        for c, node, bit in bits(t):
+            for d in range(depth + 1):
+                counts[(c[depth - d :], node)][bit] += 1
+    deeper = collections.defaultdict(set)
+    for c, node in counts:
+        if c:
+            deeper[(c[1:], node)].add(c)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    def weighted(c, node):
+        e = kt(*counts[(c, node)])
+        return e if len(c) == depth else np.logaddexp(math.log(0.5) + e, math.log(0.5) + sum(weighted(k, node) for k in deeper[(c, node)]))
+
+    known, out = {c for c, _ in counts}, []
+    for t in texts:
+        total = 0.0
+        for c, node, bit in bits(t):
+            mixed, share = 0.0, 1.0
+            for d in range(depth + 1):
+                own = c[depth - d :]
+                if own not in known:
+                    break
+                a, b = counts.get((own, node), (0, 0))
+                w = 1.0 if d == depth else math.exp(math.log(0.5) + kt(a, b) - weighted(own, node)) if (own, node) in counts else 0.5
+                mixed, share = mixed + share * w * (b + 0.5) / (a + b + 1), share * (1 - w)
+            p = mixed + share * 0.5
+            total += math.log10(p if bit else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_context_tree(spark):
+    training, texts = ["abracadabra abra", "banana band", ""], ["abba bandana", "", None, "xyz"]
+    rows = [(i, t, True) for i, t in enumerate(training)] + [(9 + i, t, False) for i, t in enumerate(texts)] + [(20, "unused", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r for r in context_tree.score_texts(df, df["learn"]).collect()}
+    want = slow_tree([t.encode() for t in training], [(t or "").encode() for t in texts])
+    assert [got[9 + i].score for i in range(4)] == pytest.approx(want, rel=1e-5)
+    assert got[9].train_tokens == 4 + 3 and (got[9].n_tokens, got[9].n_known) == (3, 1)
+    assert got[9].base_score == pytest.approx(2 * math.log10(1 / 13) + math.log10(4 / 13))  # N = 7, V = 5
+    assert context_tree.score_texts(df.limit(0), df["learn"]).count() == 0
+
+
+def test_context_tree_beats_words(spark):
+    got = queries.QUERIES["op7_context_tree_weighting"](spark, f"{DATA}/sf0.1").where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
+def test_packing(spark, odd):
+    rows = packing.pack(odd).collect()
+    tokenizer = packing.Encoder(packing.vocabulary_path()).tokenizer
+    want = sorted([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in odd.collect())
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for s in sequences.values():
+        assert sum(n for _, n in s) <= packing.SIZE
+        assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(s), sorted(s)[1:], strict=False)) and min(s)[0] == 0
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            pieces[len(pieces)] = []
+        pieces[len(pieces) - 1] += r.ids
+    assert sorted(pieces.values()) == want
+    assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_cuts_are_best():
+    rng = random.Random(5)
+    for _ in range(20):
+        total, size = rng.randint(200, 400), 128
+        docs = sorted({*(rng.randint(1, total) for _ in range(4)), total})
+        ends = sorted({rng.randint(1, total) for _ in range(30)})
+        cost = {0: 0, total: 0} | {e: packing.SENTENCE_COST for e in ends} | dict.fromkeys(docs, 0)
+        got = packing.cuts(total, np.array(docs), np.array(ends), size)
+        price = lambda stops: sum((0 if b - a in (64, 128) else size - (b - a)) + packing.SEQUENCE_COST + cost.get(b, packing.HARD_COST) for a, b in zip([0, *stops], stops, strict=False))
+        best = [0] + [math.inf] * total
+        for b in range(1, total + 1):
+            for a in range(max(0, b - size), b):
+                if a in cost and b in cost:
+                    best[b] = min(best[b], best[a] + price([b]) - price([]) if a == 0 else best[a] + (0 if b - a in (64, 128) else size - (b - a)) + packing.SEQUENCE_COST + cost[b])
+        assert price(got) <= best[total] and got[-1] == total and max(np.diff([0, *got])) <= size
+
+
+def test_encoder_equals_tokenizer():
+    e = packing.Encoder(packing.vocabulary_path())
+    texts = ["İstanbul ΣΑΣ <|endoftext|> x", "é e\u0301 ª²¼ it's I'LL they're''s a'dfoo ...!!?", "x\x0by\x85z\xa0q", "", None, "汉字 123 ½", "ß ÿ ſ Ĳ", "a" * 300]
+    assert [list(a[:-1]) for a in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_permutation_index(spark):
+    d = f"{DATA}/sf0.1"
+    got = queries.QUERIES["op4_permutation_index"](spark, d).toPandas()
+    e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas().sort_values("vec_id")
+    m, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+    q = np.flatnonzero(ids % 20 == 0)
+    s = m[q] @ m.T
+    s[np.arange(len(q)), q] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    found = got.groupby("query_id").vec_id.apply(set)
+    assert np.mean([len(found[ids[a]] & set(ids[b])) / 20 for a, b in zip(q, top, strict=True)]) >= 0.9
+    assert (got.groupby("query_id").size() == 20).all()
+
+
+def test_permutation_index_odd(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in permutation_index.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (0, 3, 2, 0.5)]
+    assert permutation_index.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_warc_salvage():
+    parts = [warc.record(i, f"http://x/{i}", b"<p>%d</p>" % i * 200, hashlib.sha1(b"<p>%d</p>" % i * 200).hexdigest(), None, False, len(b"<p>%d</p>" % i * 200)) for i in range(4)]
+    for pack in (lambda b: b, gzip.compress):
+        members = [pack(p) for p in parts]
+        half = len(members[1]) * 2 // 3
+        members[1] = members[1][:half] + b"\0\1\2" + members[1][half + 5 :]
+        found = list(warc.salvage(b"".join(members)))
+        assert [int(f[3]["x-page-id"]) for f in found if f[0] == "record"] == [0, 2, 3]
+        at = len(members[0])
+        assert [f[1:3] for f in found if f[0] == "gap"] == [(at, at + len(members[1]))]
+    assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0][:3] == ("gap", 0, 4)
+
+
+def test_warc_round_trip(spark):
+    big = "é" * 600
+    rows = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "line\r\n\r\nWARC/1.0\r\n" * 90), (None, "u", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert len(got) == 7 and (got[1].record_type, got[1].refers_to, got[1].payload_bytes) == ("revisit", 2, 1200)
+    assert (got[2].record_type, got[2].refers_to) == ("response", None) and got[None].refers_to == 2
+    assert got[3].record_type == got[4].record_type == "response" and got[5].payload_bytes == 0 and got[6].record_type == "response"
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_url_parts(spark):
+    rows = [(1, "HTTP://WWW.Example.COM/en/7?x"), (2, None), (3, "no scheme"), (4, "http://com/en/"), (5, "http://xcom/en/"), (6, "a://b#c"), (7, "http://e.com:80?q://z/"), (8, "http://ÄB.net/de/\n8"), (9, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'old' as verdict")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, queries.RULES).collect()}
+    assert got[1] == ("www.example.com", "/en/7", "example.com/en/7", "allow") and got[4] == ("com", "/en/", "com/en/", "block")
+    assert got[2] == got[3] == got[9] == ("", "", None, "allow") and got[5] == ("xcom", "/en/", None, "allow")
+    assert got[6] == ("b", "", None, "allow") and got[7] == ("e.com:80", "", None, "allow") and got[8] == ("Äb.net", "/de/\n8", "net/de/", "allow")
+    more = spark.createDataFrame([("b", "")], "host string, path string")
+    assert {r.page_id for r in url_filter.judge(df, queries.RULES, listed=more).where("verdict = 'block'").collect()} == {4, 6}
+    assert url_filter.judge(df.limit(0), queries.RULES).count() == 0
+
+
+@pytest.mark.parametrize("most_bits", [url_filter.MAX_BITS, 4096])
+def test_cascade_is_exact(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(url_filter, "MAX_BITS", most_bits)
+    universe = spark.range(3000).selectExpr("cast(id as string) as key", "id % 7 = 0 as listed")
+    marked = url_filter.build_cascade(universe).mark(universe, universe["key"], "got")
+    assert marked.where("got <> listed").count() == 0 and marked.count() == 3000
+
+
+def test_preferences(spark):
+    t = lambda c, *turns: [(c, k, r, x) for k, (r, x) in enumerate(turns)]
+    rows = t(0, ("user", "hi"), ("assistant", "a"), ("user", "b")) + t(1, ("user", "hi"), ("assistant", "cc"), (None, None)) + t(2, ("user", "only")) + t(4, ("user", "s")) + t(5, ("user", "s")) + [(None, 0, "user", "lost")]
+    got = {r.pair_id: r for r in preference.format_preferences(preference.conversations_as_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    r = got[0]
+    assert (r.n_prefix, r.prompt) == (1, "<|user|>\nhi<|end|>\n") and r.rejected_text == "<|assistant|>\ncc<|end|>\n<|unknown|>\n<|end|>\n"
+    (span,) = r.rejected_mask
+    assert r.rejected_text[span.start : span.start + span.length] == "cc<|end|>"
+    assert got[1].n_prefix == 0 and got[1].rejected_text == "" and got[2].n_prefix == 1 and got[2].chosen_text == ""
+    assert len(got) == 3
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    counts = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), "test")
+        assert docs.columns == corpus_pipeline.COLUMNS
+        counts.append(docs.count())
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0.7 * counts[0]
+    pieces = corpus_pipeline.run(spark, SMALL)
+    assert pieces.select("doc_id").distinct().count() == counts[-1]
