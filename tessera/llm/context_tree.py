@@ -1,16 +1,15 @@
 """Language-model scoring: context-tree weighting over bytes, and a word-unigram base.
 
-The tree's nodes are contexts of the last 0 to ``DEPTH`` bytes. In each, a byte is decomposed to eight binary choices
-with Krichevsky-Trofimov estimates; ``P_w = 1/2 P_kt + 1/2 * product of the deeper contexts' P_w`` mixes all depths.
-After training the weights stand, so the probability of a byte is a table by its deepest known context; a text's
-score is the sum over its bytes and one end symbol (byte 0, which also fills the context before the first byte).
-
-Contexts of three or more bytes are nodes if the corpus has them at least once in ``1 / RARE`` of its bytes, so a depth
-has at most ``RARE`` of these nodes at any corpus size: the model is at most (3 * RARE + 65,793) rows of 256 numbers. The
-bytes of rarer contexts count in a node's remainder. Counts themselves are of all training bytes.
-
-Word counts grow with the corpus, so they are never broadcast: each block posts its distinct words (as 64-bit hashes)
-with their training counts to buckets, and gets back the totals of its own words.
+The tree's nodes are all contexts of the last 0 to ``DEPTH`` bytes that the training texts have. In each, a byte is
+decomposed to eight binary choices with Krichevsky-Trofimov estimates; ``P_w = 1/2 P_kt + 1/2 * product of the deeper
+contexts' P_w`` mixes all depths. After training the weights stand; a context that has not met a choice gives it 1/2. A
+text's score is the sum over its bytes and one end symbol (byte 0, which also fills the context before the first byte).
+
+The model grows with the corpus and is never whole in one place. Strings of DEPTH context bytes and a symbol are dealt by
+the last ``ROOT`` bytes of context, so each bucket holds whole subtrees. Only sums at the ``ROOT - 1`` last bytes (65,536
+contexts of 255 choices at most) meet on the driver, which returns the mixture down to that depth by broadcast. Each block
+then asks the buckets for its own distinct strings. Word counts travel alike: each block posts its distinct words (as
+64-bit hashes) with their training counts to buckets, and gets back the totals of its own words.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql.types import StructType
 from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, tidy, unpack, unsqueeze, write_blocks
 from tessera.llm.words import SPACED_BREAK, slices, tokens
 
-DEPTH, RARE, MERGE = 5, 1 << 17, 3_000_000
+DEPTH, ROOT, MERGE = 5, 3, 3_000_000
 TRAIN = "__in_training"
 RESULT = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 _HALF = math.log(0.5)
@@ -44,8 +43,8 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, starts
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of DEPTH context bytes and a symbol, oldest byte highest, with counts."""
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each coded symbol the string of DEPTH context bytes and itself, oldest byte highest, and the symbols of each text."""
     text, starts = padded(data, offsets)
     code = np.zeros(max(0, len(text) - DEPTH), np.uint64)
     for k in range(DEPTH + 1):
@@ -53,7 +52,36 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     coded = np.ones(len(text), bool)
     for k in range(1, DEPTH + 1):
         coded[starts - k] = False
-    return np.unique(code[coded[DEPTH:]], return_counts=True)
+    return code[coded[DEPTH:]], np.diff(offsets) + 1
+
+
+def _sliced(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, codes, symbols of each text) over ranges of whole texts."""
+    for a, z in slices(offsets):
+        yield a, z, *_codes(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+
+
+def _block_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The distinct strings of a block, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(code) for _, _, code, _ in _sliced(data, offsets))]))
+
+
+def _ranks(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each code is among the sorted keys, by sorting codes with their places, 65,536 at a time."""
+    out = np.empty(len(codes), np.int64)
+    for a in range(0, len(codes), 1 << 16):
+        part = codes[a : a + (1 << 16)]
+        both = np.sort((part << np.uint64(16)) | np.arange(len(part), dtype=np.uint64))
+        code = both >> np.uint64(16)
+        heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        out[a + (both & np.uint64(0xFFFF)).astype(np.int64)] = np.repeat(np.searchsorted(keys, code[heads]), np.diff(np.append(heads, len(code))))
+    return out
+
+
+def _gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last ROOT bytes of context."""
+    h = ((keys >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,51 +127,43 @@ def _posts(buckets: int, text: str):
                 sizes = np.diff(offsets)
                 kept = data[np.repeat(learned, sizes)]
                 ends = np.concatenate([[0], np.cumsum(sizes[learned])])
-                grams += [_grams(kept[ends[a] : ends[z]], ends[a : z + 1] - ends[a]) for a, z in slices(ends)]
+                grams += [np.unique(code, return_counts=True) for _, _, code, _ in _sliced(kept, ends)]
                 if sum(len(k) for k, _ in grams) > MERGE:
                     grams = [_merge(grams)]
         if grams:
             keys, counts = _merge(grams)
-            bucket = ((((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(4)) % np.uint64(buckets)).astype(np.int64)
-            for k, own in _by_bucket(bucket, buckets):
+            for k, own in _by_bucket(_gram_bucket(keys, buckets), buckets):
                 yield _row(k, None, keys[own], counts[own])
 
     return run
 
 
-_FOUND = pa.schema([("kind", pa.string()), ("block_id", pa.int64()), ("bucket", pa.int64()), ("depth", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-
-def _totals(least: int):
-    """A bucket's posts -> each block's word totals, the bucket's N and V, and the contexts that are nodes with their counts."""
+_FOUND = pa.schema([("kind", pa.string()), ("block_id", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+FOUND = "kind string, block_id bigint, bucket bigint, n bigint, v bigint, keys binary, counts binary"
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                buckets.setdefault(r["bucket"], ([], []))[r["block_id"] is None].append((r["block_id"], unsqueeze(r["keys"], np.uint64), unsqueeze(r["counts"], np.uint32).astype(np.int64)))
-        for bucket, (words, grams) in buckets.items():
-            if words:
-                keys, totals = _merge([(k, c) for _, k, c in words])
-                yield _found("sum", n=int(totals.sum()), v=int(np.count_nonzero(totals)))
-                for block, k, _ in words:
-                    yield _found("words", block_id=block, bucket=bucket, counts=totals[np.searchsorted(keys, k)])
-            if grams:
-                keys, totals = _merge([(k, c) for _, k, c in grams])
-                for depth in range(DEPTH, 1, -1):
-                    keys, totals = _merge([(keys & np.uint64((1 << 8 * (depth + 1)) - 1), totals)])
-                    context = keys >> np.uint64(8)
-                    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                    sizes = np.diff(np.append(heads, len(keys)))
-                    keep = np.repeat(np.add.reduceat(totals, heads) >= (least if depth > 2 else 1), sizes)
-                    yield _found("grams", depth=depth, keys=keys[keep], counts=totals[keep])
 
-    return run
+@tidy
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's posts -> each block's word totals, the bucket's N and V, its training strings, and their sums above ROOT."""
+    buckets: dict[int, tuple[list, list]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            buckets.setdefault(r["bucket"], ([], []))[r["block_id"] is None].append((r["block_id"], unsqueeze(r["keys"], np.uint64), unsqueeze(r["counts"], np.uint32).astype(np.int64)))
+    for bucket, (words, grams) in buckets.items():
+        if words:
+            keys, totals = _merge([(k, c) for _, k, c in words])
+            yield _found("sum", n=int(totals.sum()), v=int(np.count_nonzero(totals)))
+            for block, k, _ in words:
+                yield _found("words", block_id=block, bucket=bucket, counts=totals[np.searchsorted(keys, k)])
+        if grams:
+            keys, totals = _merge([(k, c) for _, k, c in grams])
+            yield _found("grams", bucket=bucket, keys=keys, counts=totals)
+            key, sums = _above(Subtrees.grow(keys, totals).levels[ROOT], ROOT)
+            yield _found("above", bucket=bucket, keys=key, counts=sums.ravel())
 
 
-def _found(kind: str, block_id=None, bucket=None, depth=None, n=None, v=None, keys=None, counts=None) -> pa.RecordBatch:
-    row = {"kind": kind, "block_id": block_id, "bucket": bucket, "depth": depth, "n": n, "v": v, "keys": None if keys is None else squeeze(keys), "counts": None if counts is None else squeeze(counts.astype(np.int64))}
+def _found(kind: str, block_id=None, bucket=None, n=None, v=None, keys=None, counts=None) -> pa.RecordBatch:
+    row = {"kind": kind, "block_id": block_id, "bucket": bucket, "n": n, "v": v, "keys": None if keys is None else squeeze(keys), "counts": None if counts is None else squeeze(counts)}
     return pa.RecordBatch.from_pydict({k: [x] for k, x in row.items()}, schema=_FOUND)
 
 
@@ -154,126 +174,169 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
 
 
-def _splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte counts (n, 256) -> counts of zeros and ones at the 255 binary nodes (at 1..255 of 256)."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for level in range(7, -1, -1):
-        a = 1 << level
-        heap[:, a : 2 * a] = heap[:, 2 * a : 4 * a : 2] + heap[:, 2 * a + 1 : 4 * a : 2]
-    return heap[:, 0::2][:, :256], heap[:, 1::2][:, :256]
-
-
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of the counts."""
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - 2 * 0.5723649429247001
 
 
 @dataclass
-class Tree:
-    """child: (2m, 256) next states of the m inner nodes and, from m on, of the same as final; logp: by node and byte, base 10."""
-
-    child: np.ndarray
-    logp: np.ndarray
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        parts = [self._score(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]) for a, z in slices(offsets)]
-        return np.concatenate([np.zeros(0), *parts])
-
-    def _score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        text, starts = padded(data, offsets)
-        n, m = len(text) - DEPTH, len(self.child) // 2
-        if n <= 0:
-            return np.zeros(len(offsets) - 1)
-        state, flat = np.zeros(n, np.int32), self.child.ravel()
-        for k in range(1, DEPTH + 1):
-            state = flat.take(state * np.int32(256) + text[DEPTH - k : DEPTH - k + n])
-        value = self.logp.ravel().take((state - m) * np.int64(256) + text[DEPTH:]).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        first = starts - DEPTH
-        return sums[first + np.diff(offsets) + 1] - sums[first]
-
-
-def build_tree(levels: dict[int, list[tuple[np.ndarray, np.ndarray]]], slab: int = 2048) -> Tree:
-    """The weighted tree from (context and symbol, count) at depths 2 to DEPTH; shallower counts are sums of depth 2's."""
-    grams = {d: _merge(parts) for d, parts in levels.items() if parts}
-    if 2 not in grams:
-        grams[2] = (np.empty(0, np.uint64), np.empty(0, np.int64))
-    for d in (1, 0):
-        k, c = grams[d + 1]
-        grams[d] = _merge([(k & np.uint64((1 << 8 * (d + 1)) - 1), c)])
-    nodes, bounds = {}, {}
-    for d in range(DEPTH + 1):
-        k, _ = grams.get(d, (np.empty(0, np.uint64), None))
-        nodes[d] = np.unique(k >> np.uint64(8)) if len(k) or d else np.zeros(1, np.uint64)
-        bounds[d] = np.searchsorted(k >> np.uint64(8), np.append(nodes[d], np.uint64(1 << 62)))
-    parent = {d: np.searchsorted(nodes[d - 1], nodes[d] & np.uint64((1 << 8 * (d - 1)) - 1)) for d in range(1, DEPTH + 1)}
-
-    def counts_of(d: int, a: int, z: int) -> np.ndarray:
-        out = np.zeros((z - a, 256))
-        if d in grams and len(grams[d][0]):
-            k, c = grams[d]
-            lo, hi = bounds[d][a], bounds[d][z]
-            out[np.searchsorted(nodes[d][a:z], k[lo:hi] >> np.uint64(8)), (k[lo:hi] & np.uint64(255)).astype(np.int64)] = c[lo:hi]
+class Level:
+    """The binary choices met at one depth: key (context, then the choice's node 1 to 255), counts, weights of Bayes' mixture.
+
+    ``total`` is log P_w and ``stop`` the weight of the node's own estimate; going down, ``mixed`` and ``share`` are the
+    mixture down to here and the weight left for deeper contexts, and ``one`` the probability of a one where no deeper context has met the choice.
+    """
+
+    key: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    total: np.ndarray
+    stop: np.ndarray
+    mixed: np.ndarray | None = None
+    share: np.ndarray | None = None
+    one: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, deep: np.ndarray | None) -> Level:
+        kt = _kt(zeros, ones)
+        total = kt if deep is None else np.logaddexp(_HALF + kt, _HALF + deep)
+        return cls(key, zeros, ones, total, np.ones(len(key)) if deep is None else np.exp(_HALF + kt - total))
+
+    def descend(self, depth: int, above: Level | None) -> None:
+        m, s = (0.0, 1.0) if above is None else (above.mixed[(at := np.searchsorted(above.key, _parents(self.key, depth)))], above.share[at])
+        kt = (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+        self.mixed, self.share = m + s * self.stop * kt, s * (1 - self.stop)
+        self.one = self.mixed + self.share * 0.5
+
+
+def _parents(key: np.ndarray, depth: int) -> np.ndarray:
+    """The same choices in the contexts one byte shorter."""
+    return key & np.uint64((1 << 8 * depth) - 1)
+
+
+def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, [np.bincount(at, weights=v, minlength=len(keys)) for v in values]
+
+
+def _above(level: Level, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a level adds to the one above: keys, and rows of zeros, ones and log P_w."""
+    key, sums = _sum_by(_parents(level.key, depth), level.zeros, level.ones, level.total)
+    return key, np.stack(sums)
+
+
+def _choices(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The eight binary choices of each (context, symbol): (context, node) and the bit taken."""
+    symbol, context = keys & np.uint64(255), keys & ~np.uint64(255)
+    for level in range(8):
+        yield context | np.uint64(1 << level) | (symbol >> np.uint64(8 - level)), (symbol >> np.uint64(7 - level)) & np.uint64(1)
+
+
+@dataclass
+class Subtrees:
+    """Levels of the weighted tree, by depth."""
+
+    levels: dict[int, Level]
+
+    @classmethod
+    def grow(cls, keys: np.ndarray, counts: np.ndarray) -> Subtrees:
+        """From training strings to the weights of depths DEPTH to ROOT."""
+        both = list(_choices(keys))
+        key, (ones, zeros) = _sum_by(np.concatenate([k for k, _ in both]), np.concatenate([counts * b for _, b in both]), np.concatenate([counts * (1.0 - b) for _, b in both]))
+        levels = {DEPTH: Level.of(key, zeros, ones, None)}
+        for depth in range(DEPTH - 1, ROOT - 1, -1):
+            key, (zeros, ones, deep) = _above(levels[depth + 1], depth + 1)
+            levels[depth] = Level.of(key, zeros, ones, deep)
+        return cls(levels)
+
+    @classmethod
+    def top(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Subtrees:
+        """From the buckets' sums to depths ROOT - 1 to 0, ready for use."""
+        levels: dict[int, Level] = {}
+        if parts:
+            key, sums = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts], axis=1)
+            for depth in range(ROOT - 1, -1, -1):
+                key, (zeros, ones, deep) = _sum_by(key, *sums)
+                levels[depth] = Level.of(key, zeros, ones, deep)
+                key, sums = _above(levels[depth], depth) if depth else (key, sums)
+            for depth in range(ROOT):
+                levels[depth].descend(depth, levels.get(depth - 1))
+        return cls(levels)
+
+    def under(self, top: Subtrees) -> Subtrees:
+        """All depths, the mixture brought down from ``top``."""
+        levels = top.levels | self.levels
+        for depth in sorted(self.levels):
+            levels[depth].descend(depth, levels[depth - 1])
+        return Subtrees(levels)
+
+    def logp(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each string's last byte after the others."""
+        out = np.zeros(len(keys))
+        for key, bit in _choices(keys):
+            p, left = np.full(len(key), 0.5), np.arange(len(key))
+            for depth in sorted(self.levels, reverse=True):
+                level, want = self.levels[depth], _parents(key[left], depth + 1)
+                at = np.minimum(np.searchsorted(level.key, want), len(level.key) - 1)
+                met = level.key[at] == want
+                p[left[met]] = level.one[at[met]]
+                left = left[~met]
+            out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
-    def slabs(d: int) -> Iterator[tuple[int, int]]:
-        for a in range(0, len(nodes[d]), slab):
-            yield a, min(a + slab, len(nodes[d]))
-
-    # upwards: the weight of stopping at each node, and what its deeper contexts leave over
-    stop, rest_ones = {}, {}
-    below_weight = below_counts = None
-    for d in range(DEPTH, -1, -1):
-        n = len(nodes[d])
-        stop[d], rest_ones[d] = np.ones((n, 256), np.float32), np.zeros((n, 256), np.float32)
-        weight, held = (np.zeros((len(nodes[d - 1]), 256)), np.zeros((len(nodes[d - 1]), 256))) if d else (None, None)
-        for a, z in slabs(d):
-            counts = counts_of(d, a, z)
-            zeros, ones = _splits(counts)
-            kt = total = _kt(zeros, ones)
-            if d < DEPTH:
-                left = counts - below_counts[a:z]
-                rz, ro = _splits(left)
-                deep = below_weight[a:z] + _kt(rz, ro)
-                total = np.logaddexp(_HALF + kt, _HALF + deep)
-                stop[d][a:z] = np.exp(_HALF + kt - total)
-                rest_ones[d][a:z] = (ro + 0.5) / (rz + ro + 1.0)
-            if d:
-                np.add.at(weight, parent[d][a:z], total)
-                np.add.at(held, parent[d][a:z], counts)
-        below_weight, below_counts = weight, held
-    # downwards: the mixture along each path, then the bytes' probabilities
-    base = np.concatenate([[0], np.cumsum([len(nodes[d]) for d in range(DEPTH + 1)])])
-    logp = np.zeros((base[-1], 256), np.float32)
-    above: tuple[np.ndarray, np.ndarray] | None = None
-    for d in range(DEPTH + 1):
-        n = len(nodes[d])
-        mixed, share = np.zeros((n, 256), np.float32), np.ones((n, 256), np.float32)
-        for a, z in slabs(d):
-            zeros, ones = _splits(counts_of(d, a, z))
-            kt = (ones + 0.5) / (zeros + ones + 1.0)
-            m0, s0 = (above[0][parent[d][a:z]], above[1][parent[d][a:z]]) if d else (0.0, 1.0)
-            w = stop[d][a:z]
-            mixed[a:z] = m0 + s0 * w * kt
-            share[a:z] = s0 * (1 - w)
-            p = np.clip(mixed[a:z].astype(np.float64) + share[a:z] * rest_ones[d][a:z], 1e-12, 1 - 1e-12)
-            heap = np.zeros((z - a, 512))
-            for level in range(8):
-                i = np.arange(1 << level, 2 << level)
-                heap[:, 2 * i] = heap[:, i] + np.log10(1 - p[:, i])
-                heap[:, 2 * i + 1] = heap[:, i] + np.log10(p[:, i])
-            logp[base[d] + a : base[d] + z] = heap[:, 256:]
-        above = (mixed, share)
-    m = int(base[DEPTH])
-    child = np.empty((2 * m, 256), np.int32)
-    child[:m] = np.arange(m, 2 * m)[:, None]
-    child[m:] = np.arange(m, 2 * m)[:, None]
-    for d in range(1, DEPTH + 1):
-        ids = base[d] + np.arange(len(nodes[d]))
-        child[base[d - 1] + parent[d], (nodes[d] >> np.uint64(8 * (d - 1))).astype(np.int64)] = ids if d < DEPTH else ids + m
-    return Tree(child, logp)
+
+_ASKS = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASKS = "bucket bigint, block_id bigint, keys binary, counts binary"
+
+
+def _asks(buckets: int, text: str):
+    """Blocks -> their distinct strings, by bucket."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = _block_grams(*text_buffer(unpack(payload).column(text)))
+                for k, own in _by_bucket(_gram_bucket(keys, buckets), buckets):
+                    yield pa.RecordBatch.from_pydict({"bucket": [k], "block_id": [block_id], "keys": [squeeze(keys[own])], "counts": [None]}, schema=_ASKS)
+
+    return run
+
+
+_ANSWERS = pa.schema([("kind", pa.string()), ("block_id", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
+
+
+def _answers(top):
+    """A bucket's training strings (block_id null, first) and the blocks' strings after them -> their log10 probabilities."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, tree, known, value = None, None, None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket:
+                    bucket, tree, known, value = r["bucket"], Subtrees(top.value.levels), np.empty(0, np.uint64), np.empty(0)
+                keys = unsqueeze(r["keys"], np.uint64)
+                if r["block_id"] is None:
+                    tree = Subtrees.grow(keys, unsqueeze(r["counts"], np.int64)).under(top.value)
+                    known, value = keys, tree.logp(keys)
+                    continue
+                out, new = np.empty(len(keys)), np.ones(len(keys), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    out, new = value[at], known[at] != keys
+                out[new] = tree.logp(keys[new])
+                yield pa.RecordBatch.from_pydict({"kind": ["grams"], "block_id": [r["block_id"]], "bucket": [bucket], "counts": [squeeze(out.astype(np.float32))]}, schema=_ANSWERS)
+
+    return run
+
+
+def _lookup(keys: np.ndarray, bucket: np.ndarray, got: dict[int, bytes], dtype) -> np.ndarray:
+    """The buckets' answers in the order of the keys."""
+    out = np.zeros(len(keys), dtype)
+    for k, at in _by_bucket(bucket, len(got) and max(got) + 1):
+        out[at] = unsqueeze(got[k], dtype)
+    return out
 
 
 def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
@@ -289,20 +352,24 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
     arrow = to_arrow_schema(schema)
     blocks = write_blocks(docs.select(*own.names, text, F.coalesce(training, F.lit(False)).alias(TRAIN)), text)
     buckets = partitions_of(spark)
-    size, ends = docs.agg(F.count("*"), F.count_if(training)).first()
-    bytes_ = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    least = max(1, (bytes_ + size) // RARE)
+    ends = docs.agg(F.count_if(training)).first()[0]
     payloads = blocks.select("block_id", "payload")
-    posts = payloads.mapInArrow(_posts(buckets, text), "bucket bigint, block_id bigint, keys binary, counts binary")
-    found = materialize(posts.repartition(buckets, "bucket").mapInArrow(_totals(least), "kind string, block_id bigint, bucket bigint, depth bigint, n bigint, v bigint, keys binary, counts binary"), "counts")
+    posts = payloads.mapInArrow(_posts(buckets, text), ASKS)
+    found = materialize(posts.repartition(buckets, "bucket").mapInArrow(_totals, FOUND), "counts")
     n, v = found.where("kind = 'sum'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
-    levels: dict[int, list] = {d: [] for d in range(2, DEPTH + 1)}
-    for r in found.where("kind = 'grams'").select("depth", "keys", "counts").toLocalIterator():
-        levels[r["depth"]].append((unsqueeze(bytes(r["keys"]), np.uint64), unsqueeze(bytes(r["counts"]), np.int64)))
-    tree = spark.sparkContext.broadcast(build_tree(levels))
+    above = []
+    for r in found.where("kind = 'above'").select("keys", "counts").toLocalIterator():
+        above.append((unsqueeze(bytes(r["keys"]), np.uint64), unsqueeze(bytes(r["counts"]), np.float64).reshape(3, -1)))
+        if sum(len(k) for k, _ in above) > MERGE:
+            key, sums = _sum_by(np.concatenate([k for k, _ in above]), *np.concatenate([c for _, c in above], axis=1))
+            above = [(key, np.stack(sums))]
+    top = spark.sparkContext.broadcast(Subtrees.top(above))
+    asks = payloads.mapInArrow(_asks(buckets, text), ASKS).unionByName(found.where("kind = 'grams'").select("bucket", "block_id", "keys", "counts"))
+    answers = asks.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block_id").asc_nulls_first()).mapInArrow(_answers(top), "kind string, block_id bigint, bucket bigint, counts binary")
     base = math.log10(n + v + 1)
-    totals = found.where("kind = 'words'").groupBy("block_id").agg(F.collect_list(F.struct("bucket", "counts")).alias("words"))
+    replies = answers.unionByName(found.where("kind = 'words'").select("kind", "block_id", "bucket", "counts"))
+    replies = replies.groupBy("block_id").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("replies"))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +379,18 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
                 data, offsets = text_buffer(block.column(text))
                 h, doc = tokens(data, offsets, SPACED_BREAK)
                 keys, inverse = np.unique(h, return_inverse=True)
-                bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                got = {w["bucket"]: w["counts"] for w in row["words"] or []}
-                c = np.zeros(len(keys), np.int64)
-                for k, at in _by_bucket(bucket, buckets):
-                    c[at] = unsqueeze(got[k], np.int64)
-                c = c[inverse]
+                got = {kind: {r["bucket"]: r["counts"] for r in row["replies"] or [] if r["kind"] == kind} for kind in ("words", "grams")}
+                c = _lookup(keys, ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), got["words"], np.int64)[inverse]
+                grams = _block_grams(data, offsets)
+                logp = _lookup(grams, _gram_bucket(grams, buckets), got["grams"], np.float32)
+                score = np.zeros(block.num_rows)
+                for a, z, codes, sizes in _sliced(data, offsets):
+                    score[a:z] = np.add.reduceat(logp[_ranks(codes, grams)].astype(np.float64), np.cumsum(sizes) - sizes)
                 rows = block.num_rows
                 n_tokens = np.bincount(doc, minlength=rows) + 1
                 known = np.bincount(doc, weights=c > 0, minlength=rows).astype(np.int64) + (ends > 0)
                 plain = np.bincount(doc, weights=np.log10(c + 1.0), minlength=rows) + math.log10(ends + 1) - n_tokens * base
-                score, size = tree.value.score(data, offsets), np.diff(offsets)
+                size = np.diff(offsets)
                 bits = np.divide(-score * math.log2(10), size, out=np.zeros(rows), where=size > 0)
                 made = {
                     "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(plain),
@@ -330,4 +398,4 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else block.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
-    return payloads.join(totals, "block_id", "left").select("payload", "words").mapInArrow(run, schema)
+    return payloads.join(replies, "block_id", "left").select("payload", "replies").mapInArrow(run, schema)
