@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, tidy, unpack, unsqueeze, write_blocks
-from tessera.llm.words import SPACED_BREAK, slices, tokens
+from tessera.llm.words import SPACED_BREAK, distinct, slices, tokens
 
 DEPTH, ROOT, MERGE = 5, 3, 3_000_000
 TRAIN = "__in_training"
@@ -63,7 +63,7 @@ def _sliced(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, n
 
 def _block_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The distinct strings of a block, in order."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(code) for _, _, code, _ in _sliced(data, offsets))]))
+    return distinct(np.concatenate([np.empty(0, np.uint64), *(distinct(code) for _, _, code, _ in _sliced(data, offsets))]))
 
 
 def _ranks(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -50,6 +50,12 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         start = stop
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting (``np.unique`` hashes integers, which is many times slower here)."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, text numbers) of all words."""
     found, texts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
