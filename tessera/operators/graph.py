@@ -102,32 +102,48 @@ def graph_counters(nodes: DataFrame) -> DataFrame:
     ).withColumn("n_missing", missing)
 
 
-def weak_components(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def weak_components(nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges. Nodes without edges are components of their own.
 
-    Labels are joined to their own labels each round (pointer jumping), so rounds grow with the logarithm of the
-    diameter on paths; every round is written to the checkpoint folder.
+    Edges to unknown nodes don't count.
     """
     edges = nodes.select(F.col("id").alias("a"), F.explode("adj").alias("b")).where("a <> b").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    return component_labels(edges.select("a", "b"), nodes.select("id"), max_rounds)
+    return component_labels(edges.select("a", "b"), nodes.select("id"))
 
 
-def component_labels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
-    """(id, component) from undirected edges (a, b); without ``nodes``, for the edges' ends alone."""
+def _renamed(rows: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
+    """``rows`` with the column's ids replaced by what they hook onto."""
+    found = hooks.select(F.col("id").alias(column), "up")
+    return rows.join(found, column, "left").withColumn(column, F.coalesce("up", column)).select(*rows.columns)
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """Hooks (id, up), up < id, each led to the end of its chain: chains double their reach each time."""
+    while True:
+        after = hooks.select(F.col("id").alias("up"), F.col("up").alias("further"))
+        longer = cut(hooks.join(after, "up", "left").select("id", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")))
+        if not longer.where("moved").limit(1).count():
+            return hooks
+        hooks = longer.drop("moved")
+
+
+def component_labels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, component) from undirected edges (a, b); without ``nodes``, for the edges' ends alone. Null ids have no label.
+
+    Each round every root hooks onto the smallest of its smaller neighbours, hooks are followed to their ends, and the edges are
+    drawn anew between roots, without copies. Two rounds at least halve the roots that have edges: roots that a round leaves are
+    local minima, and of these the next leaves at most one for each root hooked before. So rounds grow with the logarithm of the
+    number of nodes, whatever the shape and the order of ids; every round is written to the checkpoint folder.
+    """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     if nodes is None:
         nodes = both.select(F.col("a").alias("id")).distinct()
-    labels = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(heard, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = cut(hooked.join(jump, "component").select("id", F.col("further").alias("component")))
-        changed = after.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    labels, live = nodes.where("id is not null").select("id", F.col("id").alias("component")), both.where("a <> b")
+    while live.limit(1).count():
+        hooks = _followed(cut(live.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("up")).where("up < id")))
+        labels = cut(_renamed(labels, "component", hooks))
+        live = cut(_renamed(_renamed(live, "a", hooks), "b", hooks).where("a <> b").distinct())
+    return labels
 
 
 def part_sequence_graph(lineitem: DataFrame, part: DataFrame, before: str = "1996-01-01") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,39 @@ def test_components_and_partitions(spark):
     assert graph.dump_nodes(graph.build_ranked_nodes(nodes(spark), [0])).where("id = 0").first().record == "{0 1.0000 [1, 2]}"
 
 
+def _labels_by_hand(edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    return {x: root(x) for x in list(parent)}
+
+
+def test_component_labels_whatever_the_shape(spark):
+    falling = [0, *range(300, 0, -1)]  # the least label is far from the other local minimum
+    dice = random.Random(4)
+    shapes = {
+        "falling path": list(pairwise(falling)),
+        "rising path": list(pairwise(range(200))),
+        "star around the largest": [(1000, k) for k in range(50)],
+        "comb": [(k, k + 1) for k in range(0, 60, 2)] + [(k + 1, k + 2) for k in range(0, 60, 2)],
+        "sparse": [(dice.randrange(300), dice.randrange(300)) for _ in range(200)],
+        "loops and copies": [(5, 5), (7, 6), (6, 7), (7, 6), (-3, 5)],
+    }
+    for name, edges in shapes.items():
+        got = graph.component_labels(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert sorted(map(tuple, got.collect())) == sorted(_labels_by_hand(edges).items()), name
+    assert graph.component_labels(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    alone = graph.component_labels(spark.createDataFrame([(2, 1)], "a bigint, b bigint"), spark.createDataFrame([(1,), (2,), (9,), (None,)], "id bigint"))
+    assert sorted(map(tuple, alone.collect())) == [(1, 1), (2, 1), (9, 9)]
+
+
 def test_sgd(spark):
     df = spark.createDataFrame([("d1", "spam", [1, 2], 1), ("d2", "ham", [1], 2)], "docid string, label string, features array<int>, position int")
     w = {r.feature: r.weight for r in classify.train(df).collect()}
