@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import chunks, materialize, tidy
 from tessera.operators.checkpoints import checkpoint_dir
 
-VERSION, REVISIT_BYTES, ARCHIVE_BYTES = b"WARC/1.0\r\n", 1000, 8 << 20
+VERSION, REVISIT_BYTES, ARCHIVE_BYTES, STEP = b"WARC/1.0\r\n", 1000, 8 << 20, 16 << 10
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 
@@ -123,13 +123,15 @@ def salvage(data: bytes) -> Iterator[tuple]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """A gzip member's content and end; None if it doesn't inflate to a matching checksum."""
-    z = zlib.decompressobj(31)
+    """A gzip member's content and end; None if it doesn't inflate to a matching checksum. Read in steps, as zlib copies what it leaves over."""
+    z, view, parts, here = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and here < len(data):
+            parts.append(z.decompress(view[here : here + STEP]))
+            here = min(here + STEP, len(data))
     except zlib.error:
         return None, at
-    return (out, len(data) - len(z.unused_data)) if z.eof else (None, at)
+    return (b"".join(parts), here - len(z.unused_data)) if z.eof else (None, at)
 
 
 def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
