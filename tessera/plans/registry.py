@@ -335,7 +335,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
     schema = load(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not os.path.isdir(f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
-    return stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"))
+    return stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "user_id", "value")
 
 
 def _counts_sql(minutes: int, source: str = "SELECT ts, event_type AS key FROM events") -> str:
@@ -368,3 +368,18 @@ def trend_alerts(spark, d):
 def stream_hourly_counts(spark, d):
     stream = windows.windowed_counts(_event_stream(spark, d), "60 minutes")
     return sinks.drain_complete(stream, "hourly").select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "n")
+
+
+@query(_counts_sql(60, _BOXED) + " SELECT window_end, key, n FROM c")
+def stream_region_counts(spark, d):
+    inside = windows.region_events(_event_stream(spark, d), BOXES, "user_id", "value")
+    return sinks.drain_complete(windows.windowed_counts(inside, "60 minutes"), "regions").select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "n")
+
+
+# Append mode gives a window once the watermark, here the latest event, has passed its end.
+@query(_counts_sql(10) + f""", p AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY key ORDER BY window_end), 0)::BIGINT AS prev FROM z)
+ SELECT * FROM p WHERE n >= {TREND} AND n >= 2 * prev AND window_end <= (SELECT max(ts) FROM events)""")
+def stream_trend_alerts(spark, d):
+    with windows.keyed_state(spark):
+        seen = sinks.drain(windows.stream_trends(windows.stream_windowed_counts(_event_stream(spark, d), "10 minutes"), 600), "trends")
+    return windows.trend_alerts(seen, TREND).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

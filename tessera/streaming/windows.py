@@ -7,10 +7,11 @@ that rule. A trend compares a window with the one right before it (0 if that was
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
@@ -89,8 +90,19 @@ def trend_alerts(batch: DataFrame, threshold: int) -> DataFrame:
     return batch.where((F.col("n") >= threshold) & (F.col("n") >= 2 * F.col("prev")))
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own choice is restored afterwards."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_trends(counts: DataFrame, width_seconds: int) -> DataFrame:
-    """Streaming (window_end, key, n, prev) from a stream of window counts, by keyed state. Needs the RocksDB state store."""
+    """Streaming (window_end, key, n, prev) from a stream of window counts, by keyed state. Needs the RocksDB state store, see :func:`keyed_state`."""
     return counts.groupBy("key").transformWithStateInPandas(
         statefulProcessor=PreviousWindow(width_seconds),
         outputStructType="window_end timestamp, key string, n bigint, prev bigint",

@@ -185,10 +185,10 @@ def events(spark, counts, minutes):
 def test_trends_in_batch_and_stream(spark, tmp_path, counts, alerts):
     df = events(spark, counts, 10)
     assert sorted((r.n, r.prev) for r in windows.trends(df).collect()) == sorted(alerts)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     windows.windowed_counts(df, "10 minutes").orderBy("window_end").coalesce(1).write.parquet(f"{tmp_path}/counts")
     stream = spark.readStream.schema("window_end timestamp, key string, n long").parquet(f"{tmp_path}/counts")
-    got = windows.trend_alerts(sinks.drain(windows.stream_trends(stream, 600), "trends"), 10)
+    with windows.keyed_state(spark):
+        got = windows.trend_alerts(sinks.drain(windows.stream_trends(stream, 600), "trends"), 10)
     assert sorted((r.n, r.prev) for r in got.collect()) == sorted(alerts)
 
 
