@@ -57,9 +57,11 @@ def score(docs: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def apply_model(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(docid, score, predicted) by one model (feature, weight)."""
-    one = score(docs, model.select("feature", "weight", F.lit("m").alias("model_id")))
-    return one.select("docid", "score", _predicted("score"))
+    """(docid, score, predicted) by one model (feature, weight); an empty model scores 0."""
+    known = docs.select("docid", F.explode("features").alias("feature")).join(model.select("feature", "weight"), "feature")
+    sums = known.groupBy("docid").agg(F.sum("weight").alias("s"))
+    scored = docs.select("docid").join(sums, "docid", "left").select("docid", F.coalesce("s", F.lit(0.0)).alias("score"))
+    return scored.select("docid", "score", _predicted("score"))
 
 
 def _predicted(column: str):

@@ -13,13 +13,19 @@ def word_count(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(tokenize(F.col("line"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _pairs(lines: DataFrame) -> DataFrame:
+    """(pairs) of each line. Tokens are a column of their own first, as an expression used several times is computed as often."""
+    return lines.select(tokenize(F.col("line")).alias("tokens")).select(bigrams(F.col("tokens")).alias("pairs"))
+
+
 def _bigrams(lines: DataFrame) -> DataFrame:
-    return lines.select(F.explode(bigrams(tokenize(F.col("line")))).alias("b")).select("b.x", "b.y")
+    return _pairs(lines).select(F.explode("pairs").alias("b")).select("b.x", "b.y")
 
 
 def follower_count(lines: DataFrame, trigger: str, above: int = 1) -> DataFrame:
     """(word, n): tokens right after ``trigger`` on a line, those seen more than ``above`` times."""
-    return _bigrams(lines).where(F.col("x") == trigger).groupBy(F.col("y").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") > above)
+    followers = F.transform(F.filter("pairs", lambda b: b["x"] == trigger), lambda b: b["y"])
+    return _pairs(lines).select(F.explode(followers).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > above)
 
 
 def bigram_count(lines: DataFrame) -> DataFrame:
@@ -33,7 +39,7 @@ def relative_frequency_pairs(lines: DataFrame, marginals: bool = True) -> DataFr
     shares = counts.select("x", "y", (F.col("n") / F.sum("n").over(Window.partitionBy("x"))).alias("value"))
     if not marginals:
         return shares
-    return shares.unionByName(_bigrams(lines).groupBy("x").agg(F.count("*").cast("double").alias("value")).select("x", F.lit("*").alias("y"), "value"))
+    return shares.unionByName(counts.groupBy("x").agg(F.sum("n").cast("double").alias("value")).select("x", F.lit("*").alias("y"), "value"))
 
 
 def relative_frequency_stripes(lines: DataFrame) -> DataFrame:
