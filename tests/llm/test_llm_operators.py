@@ -14,7 +14,7 @@ from conftest import DATA
 from oracle import compare
 
 import corpus_pipeline
-from tessera.llm import context_tree, decontaminate, language, packing, permutation_index, preference, queries, simhash, substring_dedup, url_filter, warc
+from tessera.llm import context_tree, decontaminate, language, packing, permutation_index, preference, queries, resemblance, simhash, substring_dedup, url_filter, warc
 from tessera.llm.suffix_array import shared_windows, suffix_array
 
 SMALL = f"{DATA}/sf0.001"
@@ -123,6 +123,43 @@ def test_links_lose_nothing():
     assert got == want
 
 
+def slow_resembling(rows):
+    """Groups of ids whose texts' sets of five-word shingles are chained by resemblances of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    holders, group = collections.defaultdict(list), list(range(len(rows)))
+    for i, s in enumerate(sets):
+        shared = collections.Counter(j for x in s for j in holders[x]) if s else {j: 0 for j in range(i) if not sets[j]}
+        for x in s:
+            holders[x].append(i)
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    found = collections.defaultdict(set)
+    for (i, _), g in zip(rows, group, strict=True):
+        found[g].add(i)
+    return sorted(map(sorted, found.values()))
+
+
+def test_near_copies(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(100)]
+    edited = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    made = [(900001, " ".join(base)), (900002, edited(50)), (900003, edited(20, 50)), (900004, edited(10, 30, 50, 70, 90)), (900005, edited(0, 50, 99)), (900006, "a few words"), (900007, "A few  words"), (900008, None), (900009, " ")]
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = list(map(tuple, docs.collect())) + made
+    found = collections.defaultdict(list)
+    for r in resemblance.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.component].append(r.doc_id)
+    assert sorted(map(sorted, found.values())) == slow_resembling(rows)
+    assert resemblance.near_copies(docs.limit(0)).count() == 0
+    own = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made[:5]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, own, SMALL).collect()) == [900001, 900004]
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(10, "quick brown fox jumps over the lazy dog and runs away"), (9, "Lazy DOG"), (8, None), (7, "??"), (10, "lazy dog"), (None, "old house")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): r for r in decontaminate.decontaminate(odd, items).collect()}
