@@ -3,9 +3,11 @@
 A vector is represented by the pivots nearest to it, in order. Segments of vectors are posted in inverted files: for
 each pivot, the vectors that have it among their first ones, with its place. A query adds up, over the lists of its own
 first pivots, how far each vector's places are from its own (Spearman's footrule on prefixes); the vectors of least
-distance are then ranked by exact inner products in double precision.
+distance, with all that tie with the last of them, are then ranked by exact inner products in double precision.
 
-Pivots are a sample of at most ``PIVOTS`` vectors, those of least hashed id. Each segment is searched by each block of
+Equal vectors of a segment are posted once, with all their ids, so copies take no places from other vectors.
+
+Pivots are a sample of at most ``PIVOTS`` distinct vectors, those of least hashed id. Each segment is searched by each block of
 queries, so no task holds all vectors or all queries; a segment and a block return their best ``k`` to a final merge.
 """
 
@@ -49,8 +51,13 @@ class Segment:
     """Vectors with their pivots' inverted files."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> None:
-        self.ids, self.vectors = ids, vectors
-        ranks = permutations(vectors, pivots, prefix)
+        self.vectors, group = np.unique(vectors, axis=0, return_inverse=True)
+        order = np.lexsort((ids, group.ravel()))
+        self.ids, group = ids[order], group.ravel()[order]
+        self.starts = np.searchsorted(group, np.arange(len(self.vectors) + 1))
+        heads = np.flatnonzero(np.concatenate([[True], (self.ids[1:] != self.ids[:-1]) | (group[1:] != group[:-1])]))
+        self.repeats = int(np.diff(np.append(heads, len(ids))).max())
+        ranks = permutations(self.vectors, pivots, prefix)
         self.prefix = ranks.shape[1]
         row, place = np.divmod(np.arange(ranks.size), self.prefix)
         order = np.argsort(ranks.ravel(), kind="stable")
@@ -61,7 +68,7 @@ class Segment:
 
     def footrule(self, permutation: np.ndarray) -> np.ndarray:
         """Distances of all vectors to the query's prefix; a pivot that a vector lacks counts as just behind its last."""
-        gain = np.zeros(len(self.ids), np.int32)
+        gain = np.zeros(len(self.vectors), np.int32)
         for at, pivot in enumerate(permutation.tolist()):
             lo, hi = self.bounds[pivot], self.bounds[pivot + 1]
             gain[self.rows[lo:hi]] += self.gains[at].take(self.places[lo:hi])
@@ -69,13 +76,22 @@ class Segment:
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, q_ranks: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, scores): the best ``k`` of the vectors of least footrule distance."""
-        most = min(len(self.ids), max(LEAST, k + 1, int(np.ceil(RERANK * len(self.ids)))))
+        size = len(self.vectors)
+        most = min(size, max(LEAST, k + 1, int(np.ceil(RERANK * size))))
+        # Of a vector's ids the first k are enough, and the query's own, as often as it comes.
+        held = np.minimum(np.diff(self.starts), k + self.repeats)
         for n in range(len(q)):
-            near = np.argpartition(self.footrule(q_ranks[n]), most - 1)[:most] if most < len(self.ids) else np.arange(len(self.ids))
-            near = near[self.ids[near] != q_ids[n]]
-            scores = exact(self.vectors[near], q[n])
-            order = np.lexsort((self.ids[near], -scores))[:k]
-            yield n, self.ids[near[order]], scores[order]
+            near = np.arange(size)
+            if most < size:
+                distances = self.footrule(q_ranks[n])
+                near = np.flatnonzero(distances <= np.partition(distances, most - 1)[most - 1])
+            scores, count = exact(self.vectors[near], q[n]), held[near]
+            at = np.repeat(self.starts[near] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            ids, scores = self.ids[at], np.repeat(scores, count)
+            other = ids != q_ids[n]
+            ids, scores = ids[other], scores[other]
+            order = np.lexsort((ids, -scores))[:k]
+            yield n, ids[order], scores[order]
 
 
 def exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -108,7 +124,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     """
     spark = vectors.sparkSession
     base = usable(vectors, key, vector)
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    sample = base.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     shape = "query_id bigint, rank int, vec_id bigint, score double"
     if not sample:
         return spark.createDataFrame([], shape)

@@ -319,6 +319,22 @@ def test_permutation_index(spark):
     assert (got.groupby("query_id").size() == 20).all()
 
 
+def test_permutation_index_copies(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 32))
+    m = centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 32))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    m[rng.permutation(6000)[:2000]] = m[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(1)
+    found = permutation_index.search(df, df.where("vec_id % 20 = 0")).toPandas().groupby("query_id").vec_id.apply(set)
+    e, recall = m.astype(float), []
+    for i in range(0, 6000, 20):
+        s = permutation_index.exact(e, e[i])
+        best = [j for j in np.lexsort((np.arange(6000), -s)).tolist() if j != i][:20]
+        recall.append(((m[i] == m[0]).all(), len(found[i] & set(best)) / 20))
+    assert np.mean([r for copy, r in recall if copy]) == 1 and np.mean([r for copy, r in recall if not copy]) >= 0.9
+
+
 def test_permutation_index_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
