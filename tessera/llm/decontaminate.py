@@ -118,16 +118,36 @@ class Postings:
             starts = starts[_member(starts + k, self.of(rows[k]))]
         return starts
 
-    def near(self, rows: Sequence[int], within: int) -> np.ndarray:
-        """(n, 2) first and last positions of the spans of at most ``within`` words that hold every term, one for each place of the rarest."""
-        lists = sorted((self.of(r) for r in rows), key=len)
-        lo = hi = lists[0]
-        for other in lists[1:]:
-            i = np.searchsorted(other, lo)
-            before, after = other[np.maximum(i - 1, 0)], other[np.minimum(i, len(other) - 1)]
-            nearest = np.where(np.abs(before - lo) <= np.abs(after - lo), before, after)
-            lo, hi = np.minimum(lo, nearest), np.maximum(hi, nearest)
-        return np.stack([lo, hi], 1)[hi - lo < within]
+    def near(self, rows: Sequence[int], within: int, first: np.ndarray | None = None) -> np.ndarray:
+        """(n, 2) first and last positions of the spans of at most ``within`` words that hold every term, the smallest around each place of the rarest.
+
+        ``first``: the documents' first positions; they are moved apart if ``within`` exceeds their gap.
+        """
+        lists, wider = [self.of(r) for r in rows], max(0, within - GAP)
+        if wider and first is not None:
+            lists = [x + wider * (np.searchsorted(first, x, side="right") - 1) for x in lists]
+        return smallest_spans(lists, within)
+
+
+def smallest_spans(lists: Sequence[np.ndarray], within: int) -> np.ndarray:
+    """For each place of the shortest list, the smallest span around it that holds a place of every list, if it has at most ``within`` words."""
+    place = min(lists, key=len)
+    starts = np.unique(np.concatenate(lists))
+    ends, none = starts.copy(), np.iinfo(np.int64).max
+    for x in lists:
+        i = np.searchsorted(x, starts)
+        ends = np.maximum(ends, np.where(i < len(x), x[np.minimum(i, len(x) - 1)], none))
+    lo, size = place.copy(), np.full(len(place), none)
+    at, live = np.searchsorted(starts, place), np.arange(len(place))
+    while len(live):
+        left = starts[at[live]]
+        own = np.maximum(ends[at[live]], place[live]) - left
+        better = own < size[live]
+        lo[live[better]], size[live[better]] = left[better], own[better]
+        at[live] -= 1
+        live = live[at[live] >= 0]
+        live = live[place[live] - starts[at[live]] < np.minimum(within, size[live])]
+    return np.stack([lo, lo + size], 1)[size < within]
 
 
 def phrase_hits(index: DataFrame, phrases: dict[tuple[int, ...], set[str]]) -> DataFrame:
@@ -163,7 +183,7 @@ _HITS = pa.schema([("segment", pa.int64()), ("hits", pa.binary()), ("items", pa.
 
 
 def proximity_matches(index: DataFrame, words: Sequence[str], within: int, key: str = "doc_id") -> DataFrame:
-    """(key, first, last): spans of at most ``within`` words that hold all ``words``, nearest choices around each place of the rarest."""
+    """(key, first, last): spans of at most ``within`` words that hold all ``words``, the smallest around each place of the rarest."""
     terms = np.array([h[0] for h in word_hashes(list(words))], np.uint64)
 
     @tidy
@@ -175,7 +195,8 @@ def proximity_matches(index: DataFrame, words: Sequence[str], within: int, key:
                 first = np.cumsum(n) - n + GAP * np.arange(len(n))
                 rows, sizes = lists.sizes_of(terms)
                 if len(terms) and (sizes > 0).all():
-                    spans = lists.near(rows, min(within, GAP))
+                    spans = lists.near(rows, within, first)
+                    first = first + max(0, within - GAP) * np.arange(len(n))
                     d = np.searchsorted(first, spans[:, 0], side="right") - 1
                     ids = unpack(row["rows"]).column(key).take(pa.array(d))
                     yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(spans[:, 0] - first[d]), pa.array(spans[:, 1] - first[d])], [key, "first", "last"])

@@ -174,6 +174,25 @@ def test_decontamination(spark, odd):
     assert decontaminate.proximity_matches(index, ["fox", "dog"], 5).count() == 0
 
 
+def test_proximity_is_exact(spark):
+    rng = random.Random(10)
+    texts = ["b x x a x x x b c", *(" ".join(rng.choice("abcdxxxxxx") for _ in range(rng.randint(0, 60))) for _ in range(40)), "a " + "x " * 90 + "b", "c", "d"]
+    index = decontaminate.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1))
+    for words, within in ((["a", "b", "c"], 5), (["a", "b", "c", "d"], 9), (["a", "b"], 100), (["c", "d", "a"], 300)):
+        totals = [sum(t.split().count(w) for t in texts) for w in words]
+        rarest, want = words[totals.index(min(totals))], set()
+        for d, t in enumerate(texts):
+            w = t.split()
+            for p in (k for k, x in enumerate(w) if x == rarest):
+                sizes = [b - a for a in range(p + 1) for b in range(p, min(len(w), a + within)) if set(words) <= set(w[a : b + 1])]
+                want |= {(d, p, min(sizes))} if sizes else set()
+        got = decontaminate.proximity_matches(index, words, within).collect()
+        assert len(got) == len(want) > 0
+        for r in got:
+            assert set(words) <= set(texts[r.doc_id].split()[r.first : r.last + 1])
+        assert collections.Counter((r.doc_id, r.last - r.first) for r in got) == collections.Counter((d, n) for d, _, n in want)
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.train(docs)
