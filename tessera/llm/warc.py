@@ -1,8 +1,8 @@
 """WARC archives: a writer of gzip members with revisit records, and a reader that salvages damaged files.
 
 The reader checks each member (gzip checksum), each record (version line, Content-Length, closing blank lines) and
-each response (payload digest). Where a check fails it looks for the next gzip magic that inflates, or in plain files
-for the next version line whose record is whole, and goes on there; the bytes between are logged as a gap.
+each response (payload digest). Where a check fails it looks for the next gzip magic that inflates to a record and for the
+next version line whose record is whole, and goes on at the first of these; the bytes between are logged as a gap.
 
 Archives are written by the tasks through pyarrow's file systems into the shared checkpoint folder (or a folder of
 the caller's), with the task attempt in the name. Only files in the manifest are read, so what a lost attempt left is ignored.
@@ -98,15 +98,11 @@ def _plain(data: bytes) -> Iterator[tuple]:
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """All whole records of a file, gzip members or plain, and the gaps between them as (first byte, end) of the file."""
-    if not data.startswith(_MAGIC) and (_MAGIC not in data or data.startswith(VERSION)):
-        yield from _plain(data)
-        return
-    at, gap = 0, None
+    """All whole records of a file, gzip members and plain ones in any order, and the gaps between them as (first byte, end) of the file."""
+    at, gap, magic, version = 0, None, -1, -1
     while at < len(data):
-        inflated, end = _member(data, at) if data.startswith(_MAGIC, at) else (None, at)
-        parts = list(_plain(inflated)) if inflated is not None else []
-        if any(p[0] == "record" for p in parts) or (inflated == b"" and parts == []):
+        parts, end = _whole(data, at)
+        if any(p[0] == "record" for p in parts) or (end > at and gap is None):
             if gap is not None:
                 yield "gap", gap, at
                 gap = None
@@ -115,13 +111,30 @@ def salvage(data: bytes) -> Iterator[tuple]:
             at = end
             continue
         gap = at if gap is None else gap
-        at = data.find(_MAGIC, at + 1)
-        if at < 0:
-            break
+        magic, version = (_next(data, x, at, known) for x, known in ((_MAGIC, magic), (VERSION, version)))
+        at = min(magic, version)
     if gap is not None:
         yield "gap", gap, len(data)
 
 
+def _next(data: bytes, mark: bytes, at: int, known: int) -> int:
+    """The first place of the mark behind ``at``, or the end; ``known`` is the last such answer."""
+    if known > at:
+        return known
+    found = data.find(mark, at + 1)
+    return len(data) if found < 0 else found
+
+
+def _whole(data: bytes, at: int) -> tuple[list[tuple], int]:
+    """What the gzip member or plain record at ``at`` holds, and its end; ``at`` itself if neither is whole. An empty member holds nothing."""
+    if data.startswith(_MAGIC, at):
+        inflated, end = _member(data, at)
+        parts = list(_plain(inflated)) if inflated else []
+        return (parts, end) if inflated == b"" or any(p[0] == "record" for p in parts) else ([], at)
+    found = parse(data, at)
+    return ([("record", at, found[2], found[0], found[1])], found[2]) if found else ([], at)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     """A gzip member's content and end; None if it doesn't inflate to a matching checksum. Read in steps, as zlib copies what it leaves over."""
     z, view, parts, here = zlib.decompressobj(31), memoryview(data), [], at

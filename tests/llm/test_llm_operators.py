@@ -375,6 +375,21 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0][:3] == ("gap", 0, 4)
 
 
+def test_warc_salvage_mixed():
+    def made(i, payload):
+        return warc.record(i, f"http://x/{i}", payload, hashlib.sha1(payload).hexdigest(), None, False, len(payload))
+
+    ids = lambda data: [int(f[3]["x-page-id"]) for f in warc.salvage(data) if f[0] == "record"]
+    gaps = lambda data: [f[1:3] for f in warc.salvage(data) if f[0] == "gap"]
+    parts = [made(i, gzip.compress(b"<p>%d</p>" % i * 50)) for i in range(4)]
+    broken = b"XARC" + parts[0][4:]
+    assert ids(broken + b"".join(parts[1:])) == [1, 2, 3] and gaps(broken + b"".join(parts[1:])) == [(0, len(broken))]
+    mixed = parts[0] + gzip.compress(parts[1]) + b"junk" + parts[2] + gzip.compress(b"") + gzip.compress(parts[3])
+    at = len(parts[0]) + len(gzip.compress(parts[1]))
+    assert ids(mixed) == [0, 1, 2, 3] and gaps(mixed) == [(at, at + 4)]
+    assert ids(broken + gzip.compress(parts[1]) + parts[2]) == [1, 2]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "line\r\n\r\nWARC/1.0\r\n" * 90), (None, "u", big)]
