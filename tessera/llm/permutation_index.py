@@ -6,6 +6,7 @@ first pivots, how far each vector's places are from its own (Spearman's footrule
 distance, with all that tie with the last of them, are then ranked by exact inner products in double precision.
 
 Equal vectors of a segment are posted once, with all their ids, so copies take no places from other vectors.
+Candidates are picked by angle: equal norms are assumed, and recall falls where they differ much.
 
 Pivots are a sample of at most ``PIVOTS`` distinct vectors, those of least hashed id. Each segment is searched by each block of
 queries, so no task holds all vectors or all queries; a segment and a block return their best ``k`` to a final merge.
