@@ -1,8 +1,8 @@
-"""Gap coding of ascending postings lists, as array expressions."""
+"""Gap coding of ascending postings lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,8 @@ def encode_gaps(postings: Column) -> Column:
     )
 
 
-def decode_gaps(encoded: Column) -> Column:
-    """The inverse of :func:`encode_gaps`, one pass with a running sum."""
-    empty = F.array().cast("array<struct<doc:bigint,tf:bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        doc = (acc["at"] + p["gap"]).cast("bigint")
-        return F.struct(doc.alias("at"), F.concat(acc["out"], F.array(F.struct(doc.alias("doc"), p["tf"].cast("bigint").alias("tf")))).alias("out"))
-
-    return F.aggregate(encoded, start, step, lambda acc: acc["out"])
+def decode_gaps(lists: DataFrame, keys: list[str], postings: str = "postings") -> DataFrame:
+    """(keys, doc, tf): the inverse of :func:`encode_gaps`, a running sum over each list; ``keys`` name a list."""
+    placed = lists.select(*keys, F.posexplode(postings).alias("__at", "p"))
+    doc = F.sum("p.gap").over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.select(*keys, doc.cast("bigint").alias("doc"), "p.tf")

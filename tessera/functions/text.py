@@ -1,16 +1,17 @@
-"""Token-level column expressions. All of them stay inside whole-stage codegen."""
+"""Token-level column expressions. None takes a lambda, so none is interpreted row by row."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: From the first a-z of a run without white space to its last one.
+TOKEN = r"[a-z](?:[^ \t\n\r\f]*[a-z])?"
+
 
 def tokenize(text: Column) -> Column:
-    """Lower-case words: split on space, tab, LF, CR, FF; trim non a-z at both ends; drop empties. Null gives null."""
-    raw = F.split(F.lower(text), "[ \t\n\r\f]+")
-    trimmed = F.transform(raw, lambda w: F.regexp_replace(w, "(^[^a-z]+|[^a-z]+$)", ""))
-    return F.filter(trimmed, lambda w: F.length(w) > 0)
+    """Lower-case words between spaces, tabs, LF, CR and FF, less what is not a-z at both ends; empty ones go. Null gives null."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def first_tokens(tokens: Column, limit: int) -> Column:
@@ -19,13 +20,9 @@ def first_tokens(tokens: Column, limit: int) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs as array<struct<x,y>>; empty for fewer than two tokens."""
-    pairs = F.zip_with(
-        F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda x, y: F.struct(x.alias("x"), y.alias("y")),
-    )
-    return F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<struct<x:string,y:string>>"))
+    """Adjacent pairs as an array of two-field structs, for :func:`inline_outer`; empty for fewer than two tokens."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n))
 
 
 def pmi(cxy: Column, cx: Column, cy: Column, n: Column) -> Column:

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if the session names one; else (as in tests) a folder that is made once and set."""
+    """``spark.checkpoint.dir`` if the session names one, else the folder given to ``setCheckpointDir``.
+
+    Where neither is set, a local master, as in tests, gets a temporary folder; on a cluster that is an error, as no path is known
+    to be shared.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -22,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, computed now and read back from shared files, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Like :func:`cut`, dealt by ``key``: a bucketed table, which later joins and aggregates on the key need not shuffle."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions, key).option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

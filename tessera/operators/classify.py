@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,53 +15,77 @@ from tessera.functions.text import tokenize
 DELTA = 0.002
 
 
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """(docid, feature): distinct tokens of ``text`` as the first 28 bits of their MD5, one row each."""
+    words = docs.select("docid", F.explode_outer(F.array_distinct(tokenize(F.col("text")))).alias("w")).where("w is not null")
+    return words.select("docid", F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("int").alias("feature"))
+
+
 def hashed_features(docs: DataFrame) -> DataFrame:
-    """(docid, features): distinct tokens of ``text`` as the first 28 bits of their MD5."""
-    one = lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int")
-    return docs.select("docid", F.transform(F.array_distinct(tokenize(F.coalesce("text", F.lit("")))), one).alias("features"))
+    """(docid, features): the features of each text as an array; texts without a token have none."""
+    found = feature_rows(docs).groupBy("docid").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+    return docs.select("docid").join(found, "docid", "left").select("docid", F.coalesce("features", F.array().cast("array<int>")).alias("features"))
 
 
 def shuffled(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Training rows with a seeded random ``position``."""
-    return docs.withColumn("position", F.xxhash64(F.lit(seed), "docid"))
+    return docs.withColumn("position", F.md5(F.concat(F.lit(f"{seed}:"), F.col("docid").cast("string"))))
 
 
 def train(docs: DataFrame, position: str = "position", delta: float = DELTA) -> DataFrame:
     """(feature, weight) by one pass of stochastic gradient descent in ascending ``position`` (then docid).
 
-    Each update depends on the one before, so the pass is sequential by definition: rows are sorted by all
-    executors and stream through one task in Arrow batches, which holds the weights alone, never the corpus.
+    Each update depends on the one before, so the pass is sequential by definition. All executors sort the rows and pack them, in
+    order, to numbered blocks; one task merges the blocks by number (a sort of few, large rows) and holds the weights alone.
     """
-    ordered = docs.select("docid", "label", "features", position).orderBy(position, "docid")
+    ordered = docs.select("docid", "label", "features", position).orderBy(position, "docid").select("label", "features")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "k": pa.array([k], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: dict[int, float] = {}
         for batch in batches:
-            for label, features in zip(batch["label"], batch["features"], strict=True):
-                features = [] if features is None else [int(f) for f in features]
-                score = sum(w.get(f, 0.0) for f in features)
-                step = ((1.0 if label == "spam" else 0.0) - 1.0 / (1.0 + math.exp(-score))) * delta
-                for f in features:
-                    w[f] = w.get(f, 0.0) + step
-        yield pd.DataFrame({"feature": pd.Series(list(w), dtype="int32"), "weight": pd.Series(list(w.values()), dtype="float64")})
-
-    return ordered.select("label", "features").coalesce(1).mapInPandas(descend, "feature int, weight double")
-
-
-def score(docs: DataFrame, models: DataFrame) -> DataFrame:
-    """(docid, model_id, score): for every model the summed weight of each feature occurrence; unknown features add nothing."""
-    ids = models.select("model_id").distinct()
-    known = docs.select("docid", F.explode("features").alias("feature")).join(models, "feature")
-    sums = known.groupBy("docid", "model_id").agg(F.sum("weight").alias("s"))
-    every = docs.select("docid").withColumn("model_id", F.explode(ids.agg(F.collect_list("model_id")).scalar()))
+            for block in batch.column("rows"):
+                with pa.ipc.open_stream(block.as_buffer()) as rows:
+                    for part in rows:
+                        for label, features in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                            features = features or []
+                            score = sum(w.get(f, 0.0) for f in features)
+                            step = ((1.0 if label == "spam" else 0.0) - 1.0 / (1.0 + math.exp(-score))) * delta
+                            for f in features:
+                                w[f] = w.get(f, 0.0) + step
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(w), pa.int32()), "weight": pa.array(list(w.values()), pa.float64())})
+
+    blocks = ordered.mapInArrow(packed, "task int, k int, rows binary")
+    return blocks.repartition(1).sortWithinPartitions("task", "k").mapInArrow(descend, "feature int, weight double")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(docid, feature) from a table with either ``feature`` rows or ``features`` arrays."""
+    return docs.select("docid", "feature") if "feature" in docs.columns else docs.select("docid", F.explode_outer("features").alias("feature")).where("feature is not null")
+
+
+def score(docs: DataFrame, models: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(docid, model_id, score): for every model the summed weight of each feature occurrence; unknown features add nothing.
+
+    ``docs`` holds ``features`` arrays, or ``feature`` rows with the documents' ids apart in ``ids``.
+    """
+    names = models.select("model_id").distinct()
+    sums = _rows(docs).join(models, "feature").groupBy("docid", "model_id").agg(F.sum("weight").alias("s"))
+    every = (docs if ids is None else ids).select("docid").withColumn("model_id", F.explode(names.agg(F.collect_list("model_id")).scalar()))
     return every.join(sums, ["docid", "model_id"], "left").select("docid", "model_id", F.coalesce("s", F.lit(0.0)).alias("score"))
 
 
-def apply_model(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(docid, score, predicted) by one model (feature, weight); an empty model scores 0."""
-    known = docs.select("docid", F.explode("features").alias("feature")).join(model.select("feature", "weight"), "feature")
-    sums = known.groupBy("docid").agg(F.sum("weight").alias("s"))
-    scored = docs.select("docid").join(sums, "docid", "left").select("docid", F.coalesce("s", F.lit(0.0)).alias("score"))
+def apply_model(docs: DataFrame, model: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(docid, score, predicted) by one model (feature, weight); an empty model scores 0. ``docs`` and ``ids`` as in :func:`score`."""
+    sums = _rows(docs).join(model.select("feature", "weight"), "feature").groupBy("docid").agg(F.sum("weight").alias("s"))
+    scored = (docs if ids is None else ids).select("docid").join(sums, "docid", "left").select("docid", F.coalesce("s", F.lit(0.0)).alias("score"))
     return scored.select("docid", "score", _predicted("score"))
 
 
@@ -68,7 +93,7 @@ def _predicted(column: str):
     return F.when(F.col(column) > 0, "spam").otherwise("ham").alias("predicted")
 
 
-def apply_ensemble(docs: DataFrame, models: DataFrame, method: str = "average") -> DataFrame:
+def apply_ensemble(docs: DataFrame, models: DataFrame, method: str = "average", ids: DataFrame | None = None) -> DataFrame:
     """(docid, score, predicted): the mean of the models' scores, or with any other method their votes (a tie is ham)."""
     value = F.avg("score") if method == "average" else F.sum(F.when(F.col("score") > 0, 1.0).otherwise(-1.0))
-    return score(docs, models).groupBy("docid").agg(value.alias("score")).select("docid", "score", _predicted("score"))
+    return score(docs, models, ids).groupBy("docid").agg(value.alias("score")).select("docid", "score", _predicted("score"))

@@ -1,8 +1,8 @@
 """PageRank (personalised and global), weak components, node tables.
 
 A graph is a table (id, adj array<bigint>); duplicate edges count twice, edges to unknown nodes lose their mass.
-Ranks stay in linear space. The structure is dealt by id once and written to the checkpoint folder; an iteration
-shuffles ranks and messages only. Lineage is cut every few iterations.
+Ranks stay in linear space. The structure is dealt by id once, to a bucketed table in the checkpoint folder, and so are each
+round's ranks: they are joined where they lie, and a round shuffles messages alone.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.checkpoints import cut
+from tessera.operators.checkpoints import cut, cut_by
 
 ALPHA = 0.15
 
@@ -28,44 +28,84 @@ def build_ranked_nodes(nodes: DataFrame, sources: Sequence[int] | None) -> DataF
     return nodes.select("id", "adj", start.alias("p"))
 
 
-def _messages(ranked: DataFrame) -> DataFrame:
-    """(id, mass) that arrives over links; the partial aggregate combines before the shuffle."""
-    sent = ranked.where((F.size("adj") > 0) & (F.col("p") > 0))
-    return sent.select(F.explode("adj").alias("id"), (F.col("p") / F.size("adj")).alias("m")).groupBy("id").agg(F.sum("m").alias("mass"))
+def dealt(nodes: DataFrame) -> DataFrame:
+    """(id, adj) in a table dealt by id; a second record of a node is an error."""
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = cut_by(nodes.select("id", "adj").repartition(partitions, "id"), "id", partitions)
+    twice = table.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"node {twice[0]['id']} has {twice[0]['n']} records")
+    return table
 
 
-def _iterate(ranked: DataFrame, iterations: int, update, cut_every: int) -> DataFrame:
-    for k in range(1, iterations + 1):
-        joined = ranked.join(_messages(ranked), "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-        ranked = joined.select("id", "adj", update(ranked).alias("p"))
-        if k % cut_every == 0 and k < iterations:
-            ranked = cut(ranked)
-    return ranked
+def _messages(structure: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, mass) that arrives over links; structure and ranks lie together, and the partial aggregate combines before the shuffle."""
+    sent = structure.where(F.size("adj") > 0).join(ranks.where("p > 0"), "id")
+    arrived = sent.select(F.explode_outer("adj").alias("id"), (F.col("p") / F.size("adj")).alias("m")).where("id is not null")
+    return arrived.groupBy("id").agg(F.sum("m").alias("mass"))
 
 
-def personalized_pagerank(nodes: DataFrame, sources: Sequence[int], iterations: int, alpha: float = ALPHA, cut_every: int = 3) -> DataFrame:
+def _round(structure: DataFrame, ranks: DataFrame, update) -> DataFrame:
+    partitions = int(structure.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrived = ranks.join(_messages(structure, ranks), "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    return cut_by(arrived.select("id", update(structure, ranks).alias("p")), "id", partitions)
+
+
+def _iterate(nodes: DataFrame, sources: Sequence[int] | None, iterations: int, update, tolerance: float | None = None) -> DataFrame:
+    """(id, adj, p) after the rounds, or earlier once ranks move by at most ``tolerance`` in sum."""
+    structure = dealt(nodes)
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = cut_by(build_ranked_nodes(structure, sources).select("id", "p"), "id", partitions)
+    for _ in range(iterations):
+        before, ranks = ranks, _round(structure, ranks, update)
+        if tolerance is not None:
+            moved = ranks.join(before.withColumnRenamed("p", "was"), "id").agg(F.sum(F.abs(F.col("p") - F.col("was")))).first()[0]
+            if (moved or 0.0) <= tolerance:
+                break
+    return structure.join(ranks, "id").select("id", "adj", "p")
+
+
+def _dangling(structure: DataFrame, ranks: DataFrame) -> Column:
+    return structure.where(F.size("adj") == 0).select("id").join(ranks, "id").agg(F.coalesce(F.sum("p"), F.lit(0.0))).scalar()
+
+
+def personalized_pagerank(nodes: DataFrame, sources: Sequence[int], iterations: int, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
     """(id, adj, p) after the iterations. Jumps and dangling mass go to the sources; total mass stays 1 unless edges leave the graph."""
     distinct = sorted(set(sources))
 
-    def update(now: DataFrame) -> Column:
-        dangling = now.agg(F.coalesce(F.sum(F.when(F.size("adj") == 0, F.col("p"))), F.lit(0.0))).scalar()
-        jump = F.when(F.col("id").isin(distinct), (alpha + (1 - alpha) * dangling) / len(distinct)).otherwise(F.lit(0.0))
+    def update(structure: DataFrame, ranks: DataFrame) -> Column:
+        jump = F.when(F.col("id").isin(distinct), (alpha + (1 - alpha) * _dangling(structure, ranks)) / len(distinct)).otherwise(F.lit(0.0))
         return (1 - alpha) * F.col("mass") + jump
 
-    return _iterate(cut(build_ranked_nodes(nodes, distinct)), iterations, update, cut_every)
+    return _iterate(nodes, distinct, iterations, update, tolerance)
 
 
-def pagerank(nodes: DataFrame, iterations: int, alpha: float = ALPHA, cut_every: int = 3) -> DataFrame:
-    """(id, adj, p): p' = alpha/n + (1-alpha) * (mass + missing/n), where missing is what dangling nodes and dead edges lose."""
-    start = cut(build_ranked_nodes(nodes, None))
+def pagerank(nodes: DataFrame, iterations: int, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
+    """(id, adj, p): p' = alpha/n + (1-alpha) * (mass + missing/n), where missing is what dangling nodes and dead edges lose.
 
-    def update(now: DataFrame) -> Column:
-        n = now.agg(F.count("*").cast("double")).scalar()
-        known = _messages(now).join(now.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).scalar()
+    With a ``tolerance`` the iterations are a limit, and the ranks are those at which a round moves less than that in sum.
+    """
+
+    def update(structure: DataFrame, ranks: DataFrame) -> Column:
+        n = ranks.agg(F.count("*").cast("double")).scalar()
+        known = _messages(structure, ranks).join(ranks.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).scalar()
         missing = F.greatest(F.lit(0.0), 1.0 - known)
         return alpha / n + (1 - alpha) * (F.col("mass") + missing / n)
 
-    return _iterate(start, iterations, update, cut_every)
+    return _iterate(nodes, None, iterations, update, tolerance)
+
+
+def message_counters(ranked: DataFrame) -> DataFrame:
+    """One row for a round over (id, adj, p): nodes that send, the messages they send, and those that combining by receiver saves."""
+    active = ranked.where((F.size("adj") > 0) & (F.col("p") > 0))
+    received = active.select(F.explode("adj").alias("id")).agg(F.countDistinct("id")).scalar()
+    sent = F.coalesce(F.sum(F.size("adj")), F.lit(0)).cast("bigint")
+    return active.agg(F.count("*").alias("n_active"), sent.alias("n_messages")).withColumn("n_saved", F.col("n_messages") - received)
+
+
+def ranked_order(ranked: DataFrame) -> DataFrame:
+    """(id, p, log_p): every node by descending rank, ties by id; log_p is the natural logarithm."""
+    return ranked.select("id", "p", F.log("p").alias("log_p")).orderBy(F.desc("p"), "id")
 
 
 def top_nodes(ranked: DataFrame, n: int = 100) -> DataFrame:

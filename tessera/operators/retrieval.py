@@ -2,50 +2,96 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.postings import decode_gaps, encode_gaps
 from tessera.functions.text import abbreviate, tokenize
+from tessera.operators.checkpoints import checkpoint_dir
+from tessera.sources.writers import write_keyed
+
+#: Document ids of a segment: a list holds at most so many postings, however common its term.
+SPAN = 4096
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """(term, doc, tf) from a table with ``doc`` and ``text``."""
-    return docs.select("doc", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    terms = docs.select("doc", F.explode_outer(tokenize(F.col("text"))).alias("term")).where("term is not null")
+    return terms.groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """(term, df, postings): postings are (gap, tf), ascending by doc. Terms without documents have no row."""
-    listed = term_frequencies(docs).groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("p"))
-    return listed.select("term", "df", encode_gaps(F.col("p")).alias("postings"))
+def build_index(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(term, segment, df, postings): postings are (gap, tf), ascending by doc; a term has a list for each ``span`` ids that hold it.
 
+    ``df`` counts the list's documents, see :func:`document_frequencies` for the term's. Terms without documents have no row.
+    """
+    segment = F.floor(F.col("doc") / span).cast("bigint").alias("segment")
+    listed = term_frequencies(docs).groupBy("term", segment).agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("p"))
+    return listed.select("term", "segment", "df", encode_gaps(F.col("p")).alias("postings"))
 
-def postings_of(index: DataFrame, term: str) -> DataFrame:
-    """(doc) for one term; empty for an unknown term. The filter reaches the index's scan."""
-    return index.where(F.col("term") == term).select(F.explode(decode_gaps(F.col("postings"))).alias("p")).select("p.doc")
 
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """(term, df) over all segments."""
+    return index.groupBy("term").agg(F.sum("df").alias("df"))
 
-def boolean_query(index: DataFrame, rpn: str) -> DataFrame:
-    """(doc) that match a query in reverse Polish notation: terms, AND, OR. The top of the stack is the answer."""
-    stack: list[DataFrame] = []
+
+def stored_index(docs: DataFrame, path: str | None = None, partitions: int | None = None) -> DataFrame:
+    """The index written once, dealt and sorted by term, so that a filter on terms reads few row groups; in the shared folder unless ``path``."""
+    spark = docs.sparkSession
+    path = path or f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    write_keyed(build_index(docs), path, ["term", "segment"], partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return open_index(spark, path)
+
+
+def open_index(spark, path: str) -> DataFrame:
+    """A stored index."""
+    return spark.read.schema("term string, segment bigint, df bigint, postings array<struct<gap:bigint,tf:bigint>>").parquet(path)
+
+
+def postings_of(index: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, doc, tf) of some terms; none for unknown ones. The filter reaches the index's scan."""
+    return decode_gaps(index.where(F.col("term").isin(terms)), ["term", "segment"]).select("term", "doc", "tf")
+
+
+def _operands(rpn: str) -> list[str]:
+    return [t for t in rpn.split() if t not in ("AND", "OR")]
+
+
+def _matches(rpn: str, terms: Column) -> Column:
+    """Whether a document that holds ``terms`` of the query matches. The top of the stack is the answer."""
+    stack: list[Column] = []
     for token in rpn.split():
         if token in ("AND", "OR"):
             if len(stack) < 2:
                 raise ValueError(f"{token} lacks an operand in {rpn!r}")
             right, left = stack.pop(), stack.pop()
-            stack.append(left.intersect(right) if token == "AND" else left.union(right).distinct())
+            stack.append(left & right if token == "AND" else left | right)
         else:
-            stack.append(postings_of(index, token))
+            stack.append(F.array_contains(terms, token))
     if not stack:
         raise ValueError("empty query")
     return stack[-1]
 
 
 def boolean_queries(index: DataFrame, rpns: list[str]) -> DataFrame:
-    """(query, doc) for several queries."""
-    return reduce(DataFrame.unionByName, [boolean_query(index, q).select(F.lit(q).alias("query"), "doc") for q in rpns])
+    """(query, doc) for queries in reverse Polish notation: terms, AND, OR.
+
+    One scan reads the postings of all terms, and one exchange by document brings together which of them it holds; the queries
+    are expressions over that.
+    """
+    none = F.lit(None).cast("string")
+    hits = [F.when(_matches(q, F.col("terms")), F.lit(q)).otherwise(none) for q in rpns]
+    wanted = sorted(set(reduce(list.__add__, map(_operands, rpns), [])))
+    held = postings_of(index, wanted).groupBy("doc").agg(F.collect_set("term").alias("terms"))
+    return held.select(F.explode(F.array_compact(F.array(*hits))).alias("query"), "doc")
+
+
+def boolean_query(index: DataFrame, rpn: str) -> DataFrame:
+    """(doc) that match one query."""
+    return boolean_queries(index, [rpn]).select("doc")
 
 
 def fetch_lines(hits: DataFrame, docs: DataFrame) -> DataFrame:

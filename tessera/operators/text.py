@@ -1,4 +1,8 @@
-"""Counting words, followers and bigrams. Inputs are line tables with a ``line`` column."""
+"""Counting words, followers and bigrams. Inputs are line tables with a ``line`` column.
+
+Arrays are exploded by outer generators whose null rows are dropped right after: for inner ones the optimizer adds filters
+on the array's size, in which the tokenizer would run again.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +14,16 @@ from tessera.functions.text import bigrams, tokenize
 
 def word_count(lines: DataFrame) -> DataFrame:
     """(word, n): how often each token occurs."""
-    return lines.select(F.explode(tokenize(F.col("line"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-
-def _pairs(lines: DataFrame) -> DataFrame:
-    """(pairs) of each line. Tokens are a column of their own first, as an expression used several times is computed as often."""
-    return lines.select(tokenize(F.col("line")).alias("tokens")).select(bigrams(F.col("tokens")).alias("pairs"))
+    return lines.select(F.explode_outer(tokenize(F.col("line"))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _bigrams(lines: DataFrame) -> DataFrame:
-    return _pairs(lines).select(F.explode("pairs").alias("b")).select("b.x", "b.y")
+    return lines.select(tokenize(F.col("line")).alias("tokens")).select(F.inline_outer(bigrams(F.col("tokens"))).alias("x", "y")).where("x is not null")
 
 
 def follower_count(lines: DataFrame, trigger: str, above: int = 1) -> DataFrame:
     """(word, n): tokens right after ``trigger`` on a line, those seen more than ``above`` times."""
-    followers = F.transform(F.filter("pairs", lambda b: b["x"] == trigger), lambda b: b["y"])
-    return _pairs(lines).select(F.explode(followers).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > above)
+    return _bigrams(lines).where(F.col("x") == trigger).groupBy(F.col("y").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") > above)
 
 
 def bigram_count(lines: DataFrame) -> DataFrame:
@@ -34,12 +32,17 @@ def bigram_count(lines: DataFrame) -> DataFrame:
 
 
 def relative_frequency_pairs(lines: DataFrame, marginals: bool = True) -> DataFrame:
-    """(x, y, value): f(y|x) for each bigram, and with ``marginals`` a row (x, '*', count) for each x."""
-    counts = bigram_count(lines)
-    shares = counts.select("x", "y", (F.col("n") / F.sum("n").over(Window.partitionBy("x"))).alias("value"))
+    """(x, y, value): f(y|x) for each bigram, and with ``marginals`` a row (x, '*', count) for each x.
+
+    One scan: the counts are dealt by x once, summed there, and the first row of an x brings its marginal along.
+    """
+    of_x = Window.partitionBy("x")
+    counts = bigram_count(lines).select("x", "y", "n", F.sum("n").over(of_x).alias("total"), F.row_number().over(of_x.orderBy("y")).alias("k"))
+    share = F.struct(F.col("y"), (F.col("n") / F.col("total")).alias("value"))
     if not marginals:
-        return shares
-    return shares.unionByName(counts.groupBy("x").agg(F.sum("n").cast("double").alias("value")).select("x", F.lit("*").alias("y"), "value"))
+        return counts.select("x", share.alias("s")).select("x", "s.y", "s.value")
+    marginal = F.when(F.col("k") == 1, F.struct(F.lit("*").alias("y"), F.col("total").cast("double").alias("value")))
+    return counts.select("x", F.explode_outer(F.array(share, marginal)).alias("s")).where("s is not null").select("x", "s.y", "s.value")
 
 
 def relative_frequency_stripes(lines: DataFrame) -> DataFrame:

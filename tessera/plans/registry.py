@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify, cooccurrence, graph, relational, retrieval, text
+from tessera.operators.checkpoints import cut
 from tessera.sources.readers import document_lines, load
 from tessera.streaming import sinks, windows
 
@@ -140,6 +141,11 @@ def pmi_pairs_all_lines(spark, d):
     return cooccurrence.pmi_pairs(_lines(spark, d), MIN_LINES).withColumn("pmi", F.round("pmi", 9))
 
 
+@query(_pmi("all_lines") + "SELECT x, y, round(pmi, 9) AS pmi, cooc FROM p ORDER BY x, y")
+def pmi_pairs_sorted(spark, d):
+    return cooccurrence.sorted_pairs(cooccurrence.pmi_pairs(_lines(spark, d), MIN_LINES).withColumn("pmi", F.round("pmi", 9)))
+
+
 @query(_pmi("multi_token_lines") + "SELECT x, y, round(pmi, 9) AS pmi, cooc FROM p")
 def pmi_pairs_multi_token_lines(spark, d):
     return cooccurrence.pmi_pairs(_lines(spark, d), MIN_LINES, "multi_token_lines").withColumn("pmi", F.round("pmi", 9))
@@ -174,11 +180,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 _TF = f"tf AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 
 
-@query(f"WITH {_TF}, g AS (SELECT term, doc, tf, doc - coalesce(lag(doc) OVER (PARTITION BY term ORDER BY doc), 0) AS gap FROM tf) SELECT term, count(*) AS df, string_agg(gap || ':' || tf, ' ' ORDER BY doc) AS postings FROM g GROUP BY term")
+@query(f"""WITH {_TF}, g AS (SELECT term, doc // {retrieval.SPAN} AS segment, doc, tf, doc - coalesce(lag(doc) OVER (PARTITION BY term, doc // {retrieval.SPAN} ORDER BY doc), 0) AS gap FROM tf),
+ n AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT term, segment, df, string_agg(gap || ':' || tf, ' ' ORDER BY doc) AS postings FROM g JOIN n USING (term) GROUP BY ALL""")
 def inverted_index(spark, d):
     index = retrieval.build_index(_docs(spark, d))
     shown = F.array_join(F.transform("postings", lambda p: F.concat(p["gap"].cast("string"), F.lit(":"), p["tf"].cast("string"))), " ")
-    return index.select("term", "df", shown.alias("postings"))
+    return index.select("term", "segment", shown.alias("postings")).join(retrieval.document_frequencies(index), "term").select("term", "segment", "df", "postings")
 
 
 def _rpn_sql(rpn: str) -> str:
@@ -194,13 +201,13 @@ def _rpn_sql(rpn: str) -> str:
 
 @query(f"WITH {_TF} " + " UNION ALL ".join(map(_rpn_sql, RPN)))
 def boolean_retrieval(spark, d):
-    return retrieval.boolean_queries(retrieval.build_index(_docs(spark, d)), RPN)
+    return retrieval.boolean_queries(retrieval.stored_index(_docs(spark, d)), RPN)
 
 
 @query(f"WITH {_TF} SELECT doc, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS snippet FROM ({_rpn_sql(RPN[0])}) JOIN documents ON doc = doc_id")
 def boolean_retrieval_lines(spark, d):
     docs = _docs(spark, d)
-    return retrieval.fetch_lines(retrieval.boolean_query(retrieval.build_index(docs), RPN[0]), docs)
+    return retrieval.fetch_lines(retrieval.boolean_query(retrieval.stored_index(docs), RPN[0]), docs)
 
 
 # ---- graph
@@ -213,16 +220,16 @@ def _graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.part_sequence_graph(*_t(spark, d, "lineitem", "part"))
 
 
-def _rank_sql(personal: bool) -> str:
+def _rank_sql(personal: bool, rounds: int = ROUNDS) -> str:
     s = ", ".join(map(str, SOURCES))
     n = str(len(SOURCES)) if personal else "(SELECT count(*) FROM v)"
     at = f"CASE WHEN id IN ({s}) THEN 1.0::DOUBLE ELSE 0 END" if personal else "1.0::DOUBLE"
     ctes = [f"r0 AS (SELECT id, deg, ({at}) / {n} AS p FROM v)"]
-    for k in range(1, ROUNDS + 1):
-        m = f"m{k} AS (SELECT dst AS id, sum(p / deg) AS mass FROM e JOIN r{k - 1} ON src = id GROUP BY dst)"
+    for k in range(1, rounds + 1):
+        m = f"m{k} AS MATERIALIZED (SELECT dst AS id, sum(p / deg) AS mass FROM e JOIN r{k - 1} ON src = id GROUP BY dst)"
         lost = f"(SELECT coalesce(sum(p), 0) FROM r{k - 1} WHERE deg = 0)" if personal else f"greatest(0, 1 - (SELECT sum(mass) FROM m{k} WHERE id IN (SELECT id FROM v)))"
         new = f"0.85 * coalesce(mass, 0) + ({at}) * (0.15 + 0.85 * {lost}) / {n}"
-        ctes += [m, f"r{k} AS (SELECT r.id, deg, {new.replace('WHEN id', 'WHEN r.id')} AS p FROM r{k - 1} r LEFT JOIN m{k} m ON r.id = m.id)"]
+        ctes += [m, f"r{k} AS MATERIALIZED (SELECT r.id, deg, {new.replace('WHEN id', 'WHEN r.id')} AS p FROM r{k - 1} r LEFT JOIN m{k} m ON r.id = m.id)"]
     return f"WITH {_GRAPH}, " + ", ".join(ctes)
 
 
@@ -247,6 +254,17 @@ def top_pagerank(spark, d):
     return graph.top_nodes(ranked, 20).select("id", F.round("p", 5).alias("p"))
 
 
+@query(_rank_sql(False, 60) + " SELECT id, round(p, 7) AS p, round(ln(p), 3) AS log_p FROM r60")
+def converged_pagerank(spark, d):
+    ranked = graph.ranked_order(graph.pagerank(_graph(spark, d), 200, tolerance=1e-9))
+    return ranked.select("id", F.round("p", 7).alias("p"), F.round("log_p", 3).alias("log_p"))
+
+
+@query(_rank_sql(True, 2) + " SELECT count(*) AS n_active, sum(deg)::BIGINT AS n_messages, (sum(deg) - (SELECT count(DISTINCT dst) FROM e JOIN r2 ON src = id WHERE p > 0))::BIGINT AS n_saved FROM r2 WHERE deg > 0 AND p > 0")
+def message_counters(spark, d):
+    return graph.message_counters(graph.personalized_pagerank(_graph(spark, d), SOURCES, 2))
+
+
 @query(f"""WITH RECURSIVE {_GRAPH}, b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
  walk(id, root) AS (SELECT id, id FROM v UNION SELECT b.b, walk.root FROM walk JOIN b ON walk.id = b.a WHERE walk.root < b.b) SELECT id, min(root) AS component FROM walk GROUP BY id""")
 def weak_components(spark, d):
@@ -273,11 +291,13 @@ _HASH = "('0x' || substr(md5(w), 1, 7))::BIGINT"
 def _fixed_model(features: DataFrame, seed: int) -> DataFrame:
     """A model whose weights follow from the feature ids, so that scoring can be checked in SQL."""
     weight = (F.pmod(F.col("feature").cast("bigint") * seed, F.lit(2001)) - 1000) / 1000.0
-    return features.select(F.explode("features").alias("feature")).distinct().where(F.pmod(F.col("feature"), F.lit(3)) > 0).select("feature", weight.alias("weight"), F.lit(f"m{seed}").alias("model_id"))
+    return features.select("feature").distinct().where(F.pmod(F.col("feature"), F.lit(3)) > 0).select("feature", weight.alias("weight"), F.lit(f"m{seed}").alias("model_id"))
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    return classify.hashed_features(load(spark, d, "documents").select(F.col("doc_id").alias("docid"), "text"))
+def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(docid, feature) written to shared storage, as models and scores both read them, and all (docid)."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("docid"), "text")
+    return cut(classify.feature_rows(docs)), docs.select("docid")
 
 
 def _scores_sql(seeds) -> str:
@@ -288,15 +308,15 @@ def _scores_sql(seeds) -> str:
 
 @query(_scores_sql([1]) + " SELECT docid, round(score, 6) AS score, CASE WHEN round(score, 6) > 0 THEN 'spam' ELSE 'ham' END AS predicted FROM s")
 def apply_classifier(spark, d):
-    features = _features(spark, d)
-    scored = classify.apply_model(features, _fixed_model(features, 1)).withColumn("score", F.round("score", 6))
+    features, ids = _features(spark, d)
+    scored = classify.apply_model(features, _fixed_model(features, 1), ids).withColumn("score", F.round("score", 6))
     return scored.withColumn("predicted", F.when(F.col("score") > 0, "spam").otherwise("ham"))
 
 
 def _ensemble(spark: SparkSession, d: str, method: str) -> DataFrame:
-    features = _features(spark, d)
+    features, ids = _features(spark, d)
     models = reduce(DataFrame.unionByName, [_fixed_model(features, s) for s in MODEL_SEEDS])
-    return classify.apply_ensemble(features, models, method)
+    return classify.apply_ensemble(features, models, method, ids)
 
 
 @query(_scores_sql(MODEL_SEEDS) + " SELECT docid, round(avg(score), 6) AS score FROM s GROUP BY docid")
@@ -311,17 +331,28 @@ def ensemble_vote(spark, d):
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
     labels = load(spark, d, "labels").select(F.col("doc_id").alias("docid"), F.when(F.col("toxic") == 1, "spam").otherwise("ham").alias("label"))
-    return labels.join(_features(spark, d), "docid")
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("docid"), "text")
+    return labels.join(classify.hashed_features(docs.join(labels, "docid", "left_semi")), "docid")
+
+
+def _train_sql(order: str) -> str:
+    """Each document's step follows from the steps before it and from how many features it shares with each."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0 END AS y, row_number() OVER (ORDER BY {order}) AS i FROM labels JOIN documents USING (doc_id)),
+ f AS (SELECT i, unnest(list_transform(list_distinct({_tokens("text")}), lambda w: {_HASH})) AS feature FROM d), m AS (SELECT i, feature, count(*) AS m FROM f GROUP BY ALL),
+ o AS (SELECT a.i, b.i AS j, sum(a.m * b.m) AS n FROM m a JOIN m b ON a.feature = b.feature AND b.i < a.i GROUP BY ALL),
+ w AS MATERIALIZED (SELECT a.i, list(coalesce(n, 0)::DOUBLE ORDER BY b.i) AS n FROM d a JOIN d b ON b.i < a.i LEFT JOIN o ON o.i = a.i AND o.j = b.i GROUP BY a.i),
+ s AS (SELECT 0::BIGINT AS i, []::DOUBLE[] AS steps UNION ALL SELECT d.i, list_append(steps, (y - 1 / (1 + exp(-coalesce(list_dot_product(steps, n), 0)))) * {classify.DELTA}) FROM s JOIN d ON d.i = s.i + 1 LEFT JOIN w ON w.i = d.i)
+ SELECT feature::INTEGER AS feature, round(sum(m * steps[m.i]), 8) AS weight FROM m, (SELECT steps FROM s ORDER BY i DESC LIMIT 1) GROUP BY feature"""
 
 
-@query()
+@query(_train_sql("doc_id"))
 def train_classifier(spark, d):
-    return classify.train(_training(spark, d).withColumn("position", F.col("docid")))
+    return classify.train(_training(spark, d).withColumn("position", F.col("docid"))).withColumn("weight", F.round("weight", 8))
 
 
-@query()
+@query(_train_sql("md5('7:' || doc_id)"))
 def train_classifier_shuffled(spark, d):
-    return classify.train(classify.shuffled(_training(spark, d), seed=7))
+    return classify.train(classify.shuffled(_training(spark, d), seed=7)).withColumn("weight", F.round("weight", 8))
 
 
 # ---- streams and their twins

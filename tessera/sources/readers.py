@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.schemas import TABLE_SCHEMAS
@@ -18,15 +18,21 @@ def load(spark: SparkSession, base: str, table: str, fmt: str = "parquet") -> Da
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as (file, line_no, line); line_no counts from 0 within a file (one unsplit scan task a file)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    body = F.regexp_replace("value", "\n$", "")
-    return whole.select("file", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+    """Text files as (file, line_no, line); line_no counts from 0 within a file.
+
+    Files are split like any other: a first pass counts the lines of each split, and running sums over these counts (one row a split)
+    number the lines, which are not shuffled.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    splits = rows.groupBy("file", "at").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "at", (before - F.col("first")).alias("shift"))
+    return rows.join(starts, ["file", "at"]).select("file", (F.col("n") + F.col("shift")).alias("line_no"), F.col("value").alias("line"))
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
     """A documents table as (doc_id, pos, line), one row a line; null texts have none."""
-    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return documents.where("text is not null").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
 
 
 def parse_adjacency(lines: DataFrame, column: str = "value") -> DataFrame:

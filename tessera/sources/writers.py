@@ -17,9 +17,10 @@ def write_tuples(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.lit("("), body, F.lit(")")).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_keyed(df: DataFrame, path: str, key: str, partitions: int) -> None:
-    """Parquet dealt by the key and sorted by it in each file, so that row-group statistics prune point lookups."""
-    df.repartition(partitions, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+def write_keyed(df: DataFrame, path: str, key: str | list[str], partitions: int) -> None:
+    """Parquet dealt by the key's columns and sorted by it in each file, so that row-group statistics prune point lookups."""
+    keys = [key] if isinstance(key, str) else key
+    df.repartition(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:

@@ -54,7 +54,13 @@ def test_pmi(spark):
 def test_index(spark):
     docs = spark.createDataFrame([(3, "x x"), (7, "x y")], "doc long, text string")
     index = retrieval.build_index(docs)
-    assert {r.term: (r.df, [tuple(p) for p in r.postings]) for r in index.collect()} == {"x": (2, [(3, 2), (4, 1)]), "y": (1, [(7, 1)])}
+    assert {r.term: (r.segment, r.df, [tuple(p) for p in r.postings]) for r in index.collect()} == {"x": (0, 2, [(3, 2), (4, 1)]), "y": (0, 1, [(7, 1)])}
+    parts = retrieval.build_index(docs, span=4)
+    assert rows(parts.where("term = 'x'"), "segment", "df") == [(0, 1), (1, 1)] and rows(retrieval.document_frequencies(parts), "term", "df") == [("x", 2), ("y", 1)]
+    assert rows(retrieval.postings_of(parts, ["x"]), "doc", "tf") == [(3, 2), (7, 1)]
+    stored = retrieval.stored_index(docs)
+    assert rows(stored, "term", "df") == rows(index, "term", "df")
+    assert "PushedFilters: [In(term" in retrieval.postings_of(stored, ["x", "z"])._jdf.queryExecution().toString()
     ask = lambda q: [r.doc for r in retrieval.boolean_query(index, q).orderBy("doc").collect()]
     assert ask("x y AND") == [7] and ask("x y OR") == [3, 7] and ask("zzz") == []
     with pytest.raises(ValueError):
@@ -64,8 +70,8 @@ def test_index(spark):
 
 
 def test_gaps_round_trip(spark):
-    df = spark.sql("SELECT array(named_struct('doc', 5L, 'tf', 1L), named_struct('doc', 9L, 'tf', 2L), named_struct('doc', 10L, 'tf', 3L)) AS p")
-    assert df.select(decode_gaps(encode_gaps(F.col("p"))) == F.col("p")).first()[0]
+    df = spark.sql("SELECT 1 AS k, array(named_struct('doc', 5L, 'tf', 1L), named_struct('doc', 9L, 'tf', 2L), named_struct('doc', 10L, 'tf', 3L)) AS p")
+    assert rows(decode_gaps(df.select("k", encode_gaps(F.col("p")).alias("postings")), ["k"]), "doc", "tf") == [(5, 1), (9, 2), (10, 3)]
 
 
 GRAPH = [(0, [1, 2]), (1, [2]), (2, []), (3, [0])]
@@ -93,6 +99,28 @@ def test_pagerank_follows_the_recurrence(spark):
     assert {r.id: r.p for r in graph.pagerank(nodes(spark), 4).collect()} == pytest.approx(p)
 
 
+def test_ranks_lie_with_their_structure(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        structure = graph.dealt(nodes(spark))
+        ranks = graph.cut_by(graph.build_ranked_nodes(structure, None).select("id", "p"), "id", 8)
+        plan = ranks.join(graph._messages(structure, ranks), "id", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "partial_sum" in plan
+    with pytest.raises(ValueError, match="2 records"):
+        graph.dealt(nodes(spark, [(1, [2]), (1, [])]))
+
+
+def test_pagerank_to_convergence(spark):
+    ranked = graph.pagerank(nodes(spark), 200, tolerance=1e-6)
+    again = graph.pagerank(nodes(spark), 30)
+    assert {r.id: r.p for r in ranked.collect()} == pytest.approx({r.id: r.p for r in again.collect()}, abs=1e-4)
+    order = [(r.p, -r.id) for r in graph.ranked_order(ranked).collect()]
+    assert order == sorted(order, reverse=True)
+    assert tuple(graph.message_counters(graph.build_ranked_nodes(nodes(spark), None)).first()) == (3, 4, 1)
+
+
 def test_unknown_edge_loses_mass(spark):
     got = graph.personalized_pagerank(nodes(spark, [(0, [1, 9]), (1, [0])]), [0], 1)
     assert {r.id: r.p for r in got.collect()} == pytest.approx({0: 0.15, 1: 0.425})
@@ -232,6 +260,18 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/nodes").count() == 4
     spark.createDataFrame([("a\nb",)], "value string").coalesce(1).write.text(f"{tmp_path}/lines")
     assert [r.line for r in readers.read_lines(spark, f"{tmp_path}/lines").orderBy("line_no").collect()] == ["a", "b"]
+    many = [f"line {k} " + "x" * (k % 97) for k in range(5000)]
+    (tmp_path / "split").mkdir()
+    (tmp_path / "split" / "one.txt").write_text("\n".join(many) + "\n")
+    (tmp_path / "split" / "two.txt").write_text("\n".join(many[:100]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.read_lines(spark, f"{tmp_path}/split")
+        assert got.rdd.getNumPartitions() > 8
+        found = got.orderBy("file", "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in found] == many + many[:100] and [r.line_no for r in found] == [*range(5000), *range(100)]
 
 
 def test_entry(spark):
