@@ -324,8 +324,8 @@ def test_encoder_equals_tokenizer():
     assert [list(a[:-1]) for a in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_permutation_index(spark):
-    d = f"{DATA}/sf0.1"
+def recall(spark, d):
+    """Of the 20 nearest by brute force, what the query finds; asserts that scores and ranks are exact."""
     got = queries.QUERIES["op4_permutation_index"](spark, d).toPandas()
     e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas().sort_values("vec_id")
     m, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
@@ -334,8 +334,17 @@ def test_permutation_index(spark):
     s[np.arange(len(q)), q] = -np.inf
     top = np.argsort(-s, axis=1)[:, :20]
     found = got.groupby("query_id").vec_id.apply(set)
-    assert np.mean([len(found[ids[a]] & set(ids[b])) / 20 for a, b in zip(q, top, strict=True)]) >= 0.9
-    assert (got.groupby("query_id").size() == 20).all()
+    assert (got.groupby("query_id").size() == 20).all() and len(got) == 20 * len(q)
+    row = {i: m[k] for k, i in enumerate(ids)}
+    for x in got.sample(200, random_state=1).itertuples():
+        assert x.score == pytest.approx(row[x.query_id] @ row[x.vec_id], abs=1e-12)
+    assert (got.sort_values(["query_id", "rank"]).groupby("query_id").score.diff().fillna(0) <= 0).all()
+    return np.mean([len(found[ids[a]] & set(ids[b])) / 20 for a, b in zip(q, top, strict=True)])
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_l"])
+def test_permutation_index(spark, size):
+    assert recall(spark, f"{DATA}/{size}") >= 0.9
 
 
 def test_permutation_index_copies(spark):
@@ -359,6 +368,11 @@ def test_permutation_index_odd(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in permutation_index.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (0, 3, 2, 0.5)]
+    again = spark.createDataFrame([*rows, (0, [1.0, 0.0]), (0, [0.0, 2.0]), (8, [1.0]), (9, [3.0, 0.0, 0.0])], "vec_id long, embedding array<float>").selectExpr("*", "'x' AS score", "7 AS rank")
+    got = permutation_index.search(again, again.where("vec_id = 0")).orderBy("query_id", "rank").collect()
+    ours = [(r.rank, r.vec_id, r.score) for r in got if r.score != 0]
+    # Two equal rows with id 0: each finds the other, and the third row with that id is a candidate like any other.
+    assert ours.count((1, 0, 1.0)) == 2 and {r.vec_id for r in got} == {0, 1, 2, 7} and len(got) == 3 * 5
     assert permutation_index.search(df.limit(0), df.limit(0)).count() == 0
 
 
