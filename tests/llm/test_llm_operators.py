@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from conftest import DATA
 from oracle import compare
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import context_tree, decontaminate, language, packing, permutation_index, preference, queries, resemblance, simhash, substring_dedup, url_filter, warc
@@ -422,17 +423,55 @@ def test_url_parts(spark):
     assert got[1] == ("www.example.com", "/en/7", "example.com/en/7", "allow") and got[4] == ("com", "/en/", "com/en/", "block")
     assert got[2] == got[3] == got[9] == ("", "", None, "allow") and got[5] == ("xcom", "/en/", None, "allow")
     assert got[6] == ("b", "", None, "allow") and got[7] == ("e.com:80", "", None, "allow") and got[8] == ("Äb.net", "/de/\n8", "net/de/", "allow")
-    more = spark.createDataFrame([("b", "")], "host string, path string")
-    assert {r.page_id for r in url_filter.judge(df, queries.RULES, listed=more).where("verdict = 'block'").collect()} == {4, 6}
-    assert url_filter.judge(df.limit(0), queries.RULES).count() == 0
+    assert url_filter.judge(df.limit(0), queries.RULES).count() == 0 and url_filter.judge(df, []).where("rule is not null or verdict <> 'allow'").count() == 0
+
+
+def slow_rule(host, path, rules):
+    fit = [(-len(r), r, a) for a, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith(r[len(r.partition("/")[0]) :])]
+    return min(fit)[1:] if fit else (None, "allow")
+
+
+@pytest.mark.parametrize("most_bits", [url_filter.MAX_BITS, 64])
+def test_rules_by_cascade(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(url_filter, "MAX_BITS", most_bits)
+    monkeypatch.setattr(url_filter, "SHARD_BITS", 128)
+    rules = [*queries.RULES, ("block", "com"), ("allow", "a.com/x"), ("block", "/only"), ("block", "b."), ("allow", "c.d.com/"), ("block", "c.d.com/e")]
+    hosts = ["com", "a.com", "xa.com", "q.a.com", "b.", "", "c.d.com", "d.com", "com.", "example.com", "www.example.net"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/x", "/xy", "/only", "/en/7", "/de/8" + "z" * 20000, "/e/f", "/de/")]
+    df = spark.createDataFrame([*enumerate(urls), (3, urls[3]), (None, None), (None, urls[9])], "page_id long, url string").selectExpr("*", "'c' AS rule", "1 AS host")
+    got = url_filter.judge(df, rules).collect()
+    assert len(got) == len(urls) + 3
+    for r in got:
+        rule, verdict = slow_rule(r.host, r.path, rules)
+        assert (r.rule, r.verdict) == (rule, verdict), r.url
+
+
+def test_cascade_decides(spark, monkeypatch):
+    """Without its later filters the first one's errors come through; without the first nothing is listed."""
+    df = spark.createDataFrame([(i, f"http://h{i}.org/") for i in range(4000)], "page_id long, url string")
+    rules = [("block", f"h{i}.org/") for i in range(0, 4000, 5)]
+    right = url_filter.judge(df, rules).where("verdict = 'block'").count()
+    build = url_filter.build_cascade
+    monkeypatch.setattr(url_filter, "build_cascade", lambda u, x: url_filter.Cascade(build(u, x).levels[:1]))
+    assert right == 800 < url_filter.judge(df, rules).where("rule is not null").count()
+    monkeypatch.setattr(url_filter, "build_cascade", lambda u, x: url_filter.Cascade([]))
+    assert url_filter.judge(df, rules).where("rule is not null").count() == 0
+
+
+def test_many_rules(spark):
+    rules = spark.range(100000).selectExpr("if(id % 2 = 0, 'block', 'allow') AS action", "concat('h', id, '.org/p', id % 10) AS rule")
+    pages = spark.range(50000, 150000).selectExpr("id AS page_id", "concat('https://www.h', id, '.org/p', id % 10, '/more') AS url")
+    got = url_filter.judge(pages, rules).groupBy("verdict", F.col("rule").isNotNull().alias("r")).count().collect()
+    assert {(x.verdict, x.r): x["count"] for x in got} == {("block", True): 25000, ("allow", True): 25000, ("allow", False): 50000}
 
 
 @pytest.mark.parametrize("most_bits", [url_filter.MAX_BITS, 4096])
 def test_cascade_is_exact(spark, monkeypatch, most_bits):
     monkeypatch.setattr(url_filter, "MAX_BITS", most_bits)
-    universe = spark.range(3000).selectExpr("cast(id as string) as key", "id % 7 = 0 as listed")
-    marked = url_filter.build_cascade(universe).mark(universe, universe["key"], "got")
-    assert marked.where("got <> listed").count() == 0 and marked.count() == 3000
+    universe = spark.range(3000).selectExpr("cast(id as string) as key")
+    cascade = url_filter.build_cascade(universe, universe.where("cast(key as int) % 7 = 0"))
+    assert cascade.whole == (most_bits == url_filter.MAX_BITS)
+    assert sorted(int(r.key) for r in cascade.listed(universe).collect()) == list(range(0, 3000, 7))
 
 
 def test_preferences(spark):
