@@ -5,17 +5,17 @@ positions. A phrase is found by intersecting the lists of its terms, shifted by
 shortest list to the longest; a proximity query asks for all terms within some words instead. Documents are laid
 out with gaps between them, so a match never spans two.
 
+Benchmark phrases are dealt, not copied: each goes, by the term that is rarest in the corpus, to the segments that have
+that term, and is intersected there with the segment's lists. Neither the benchmark nor the index is ever whole in one place, and
+phrases reach a segment in lots of about ``LOT``.
+
 Terms are 64-bit hashes of lower-cased words. Null texts and texts without words are in the index with no positions.
-Benchmark items come in blocks of at most ``ITEM_BYTES`` of text; each block's phrases are broadcast, one block after
-another, so that what a task holds doesn't grow with the benchmark. The index holds the benchmark's terms alone while
-these number at most ``MAX_TERMS``, else all terms; either way the answers are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,9 @@ from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import chunks, materialize, pack, squeeze, text_buffer, tidy, unpack, unsqueeze
 from tessera.llm.words import ALNUM_BREAK, tokens
+from tessera.operators.checkpoints import cut
 
-WINDOW, GAP = 10, 64
-ITEM_BYTES, MAX_TERMS = 1 << 20, 1 << 20
+WINDOW, GAP, LOT = 10, 64, 1 << 17
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
@@ -40,22 +40,25 @@ def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
     return np.split(found, np.searchsorted(doc, np.arange(1, len(texts))))
 
 
-def phrases_of(items: Sequence[tuple[object, str | None]], window: int = WINDOW) -> dict[tuple[int, ...], set[str]]:
-    """Phrase -> ids of the items that hold it: every ``window`` words in a row, or all words of a shorter item."""
-    found: dict[tuple[int, ...], set[str]] = {}
-    for (item, _), words in zip(items, word_hashes([t for _, t in items]) if items else [], strict=True):
-        w = words.tolist()
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + window]), set()).update([] if item is None else [str(item)])
-    return found
+def phrases(items: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(phrase, item): every ``window`` words in a row of each item, or all words of a shorter one, as the terms' bytes; repeats go."""
 
+    @tidy
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            names, found, owner = part.column("item").to_pylist(), [], []
+            for name, words in zip(names, word_hashes(part.column("text").to_pylist()), strict=True):
+                raw, n = words.tobytes(), len(words)
+                own = {raw[8 * i : 8 * (i + window)] for i in range(max(1, n - window + 1) if n else 0)}
+                found += own
+                owner += [name] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(owner, pa.string())], ["phrase", "item"])
 
-def build_index(docs: DataFrame, text: str = "text", terms: np.ndarray | None = None, keep_text: bool = False) -> DataFrame:
-    """Segments (segment, rows, n_words, terms, sizes, positions); ``rows`` holds the documents' other columns, and the text if kept.
+    return items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).mapInArrow(cut_up, "phrase binary, item string").distinct()
 
-    ``terms``: sorted hashes to index; None indexes all.
-    """
-    wanted = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
+
+def build_index(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Segments (segment, rows, n_words, terms, sizes, positions); ``rows`` holds the documents' other columns, and the text if kept."""
     others = [c for c in docs.columns if keep_text or c != text]
 
     @tidy
@@ -64,24 +67,29 @@ def build_index(docs: DataFrame, text: str = "text", terms: np.ndarray | None =
         for k, part in enumerate(chunks(batches, text)):
             data, offsets = text_buffer(part.column(text))
             h, doc = tokens(data, offsets, ALNUM_BREAK)
-            at = np.arange(len(h)) + GAP * doc
-            if wanted is not None:
-                keep = _member(h, wanted.value)
-                h, at = h[keep], at[keep]
             order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
+            at = (np.arange(len(h)) + GAP * doc)[order]
+            h = h[order]
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([base + k]), pa.array([pack(part.select(others))], pa.binary()), pa.array([squeeze(np.bincount(doc, minlength=part.num_rows).astype(np.int64))], pa.binary()),
-                    pa.array([squeeze(h[heads])], pa.binary()), pa.array([squeeze(np.diff(np.append(heads, len(h))).astype(np.uint32))], pa.binary()), pa.array([squeeze(at.astype(np.uint32))], pa.binary()),
-                ],
-                ["segment", "rows", "n_words", "terms", "sizes", "positions"],
-            )
+            columns = (np.bincount(doc, minlength=part.num_rows).astype(np.int64), h[heads], np.diff(np.append(heads, len(h))).astype(np.uint32), at.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([pack(part.select(others))], pa.binary()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], ["segment", "rows", "n_words", "terms", "sizes", "positions"])
 
     return materialize(docs.mapInArrow(index, "segment bigint, rows binary, n_words binary, terms binary, sizes binary, positions binary"), "index")
 
 
+def term_sizes(index: DataFrame) -> DataFrame:
+    """(term, segment, n): how long each segment's lists are."""
+
+    @tidy
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = unsqueeze(row["terms"], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), row["segment"])), pa.array(unsqueeze(row["sizes"], np.uint32).astype(np.int64))], ["term", "segment", "n"])
+
+    return index.select("segment", "terms", "sizes").mapInArrow(spread, "term bigint, segment bigint, n bigint")
+
+
 def _member(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(h), bool)
@@ -150,36 +158,41 @@ def smallest_spans(lists: Sequence[np.ndarray], within: int) -> np.ndarray:
     return np.stack([lo, lo + size], 1)[size < within]
 
 
-def phrase_hits(index: DataFrame, phrases: dict[tuple[int, ...], set[str]]) -> DataFrame:
-    """(segment, hits, items): word positions inside matches, and the items that each document matches."""
-    lengths = sorted({len(p) for p in phrases})
-    tables = {n: (np.array([p for p in phrases if len(p) == n], np.uint64), [sorted(v) for p, v in phrases.items() if len(p) == n]) for n in lengths}
-    shared = index.sparkSession.sparkContext.broadcast(tables)
+def phrase_hits(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(segment, phrase, starts): where each of the distinct (phrase) begins, in positions of the segments that hold it."""
+    wanted = wanted.where(F.octet_length("phrase") > 0)
+
+    @tidy
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("phrase").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("phrase"), pa.array([np.unique(np.frombuffer(p, np.int64)) for p in own], pa.list_(pa.int64()))], ["phrase", "terms"])
+
+    spelt = cut(wanted.select("phrase").mapInArrow(split, "phrase binary, terms array<bigint>").select("phrase", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")))
+    known = cut(term_sizes(index).join(spelt.select("term").distinct(), "term", "left_semi"))
+    totals = known.groupBy("term").agg(F.sum("n").alias("total"))
+    met = spelt.join(totals, "term").groupBy("phrase").agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("met"), F.min(F.struct("total", "term")).alias("rarest"))
+    lots = max(1, wanted.count() // LOT)
+    asked = met.where("met = n_terms").select("phrase", F.col("rarest.term").alias("term")).join(known.select("term", "segment"), "term")
+    asked = asked.groupBy("segment", F.pmod(F.xxhash64("phrase"), F.lit(lots)).alias("lot")).agg(F.collect_list("phrase").alias("phrases"))
 
     @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lists = Postings(row["terms"], row["sizes"], row["positions"])
-                words = unsqueeze(row["n_words"], np.int64)
-                first = np.cumsum(words) - words + GAP * np.arange(len(words))
-                covered, items = [], set()
-                for n, (table, owners) in shared.value.items():
-                    rows, sizes = lists.sizes_of(table)
-                    for k in np.flatnonzero((sizes > 0).all(axis=1)):
+                lists, found, places = Postings(row["terms"], row["sizes"], row["positions"]), [], []
+                for n in {len(p) for p in row["phrases"]}:
+                    own = [p for p in row["phrases"] if len(p) == n]
+                    rows, sizes = lists.sizes_of(np.frombuffer(b"".join(own), np.uint64).reshape(len(own), -1))
+                    for k in np.flatnonzero((sizes > 0).all(axis=1)).tolist():
                         starts = lists.phrase(rows[k], sizes[k])
                         if len(starts):
-                            covered.append((starts[:, None] + np.arange(n)).ravel())
-                            for d in np.unique(np.searchsorted(first, starts, side="right") - 1).tolist():
-                                items.update((d, i) for i in owners[k])
-                if covered:
-                    hits = np.unique(np.concatenate(covered)).astype(np.uint32)
-                    yield pa.RecordBatch.from_pydict({"segment": [row["segment"]], "hits": [squeeze(hits)], "items": [[{"doc": d, "item": i} for d, i in sorted(items)]]}, schema=_HITS)
-
-    return index.mapInArrow(search, "segment bigint, hits binary, items array<struct<doc:bigint,item:string>>")
-
+                            found.append(own[k])
+                            places.append(squeeze(starts.astype(np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * len(found), pa.int64()), pa.array(found, pa.binary()), pa.array(places, pa.binary())], ["segment", "phrase", "starts"])
 
-_HITS = pa.schema([("segment", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.struct([("doc", pa.int64()), ("item", pa.string())])))])
+    searched = index.select("segment", "terms", "sizes", "positions").join(asked, "segment").select("segment", "terms", "sizes", "positions", "phrases")
+    return searched.mapInArrow(search, "segment bigint, phrase binary, starts binary")
 
 
 def proximity_matches(index: DataFrame, words: Sequence[str], within: int, key: str = "doc_id") -> DataFrame:
@@ -204,36 +217,22 @@ def proximity_matches(index: DataFrame, words: Sequence[str], within: int, key:
     return index.mapInArrow(search, f"`{key}` bigint, first bigint, last bigint")
 
 
-def _item_blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]]:
-    """The benchmark in blocks of bounded bytes; read one row at a time, a partition at once on the driver at most."""
-    blocks, size = [[]], 0
-    for row in benchmark.select(item, text).toLocalIterator():
-        if size > ITEM_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += len(row[1] or "")
-    return blocks
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text unless kept) with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0).
 
-    Items of fewer than ``window`` words are one phrase; null texts have no words. Repeated item ids count once, null
-    ids mark words but are not listed.
+    Items of fewer than ``window`` words are one phrase; null and empty texts, of documents or items, have no words. Repeated item
+    ids and texts count once, null ids mark words but are not listed. Rows that share a key are documents of their own; columns
+    with a result's name are replaced. A text of any length is whole in one segment. An empty benchmark hits nothing.
     """
-    if window > GAP:
-        raise ValueError(f"window must be at most {GAP}")
-    blocks = [phrases_of(b, window) for b in _item_blocks(benchmark, item, item_text)]
-    terms = np.unique(np.array([t for b in blocks for p in b for t in p], np.uint64))
+    owned = cut(phrases(benchmark, window, item, item_text))
     result = StructType.fromDDL(RESULT)
     own = StructType([f for f in docs.schema.fields if f.name not in result.names and (keep_text or f.name != text)])
     schema = StructType([*own.fields, *result.fields])
     arrow = to_arrow_schema(schema)
-    index = build_index(docs.select(*dict.fromkeys([*own.names, text])), text, terms if len(terms) <= MAX_TERMS else None, keep_text)
-    hits = reduce(DataFrame.unionByName, [phrase_hits(index, b) for b in blocks])
-    by_segment = hits.groupBy("segment").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    joined = index.select("segment", "rows", "n_words").join(by_segment, "segment", "left").select("rows", "n_words", "hits", "items")
+    index = build_index(docs.select(*dict.fromkeys([*own.names, text])), text, keep_text)
+    hits = phrase_hits(index, owned.select("phrase").distinct()).join(owned, "phrase")
+    by_segment = hits.groupBy("segment").agg(F.collect_list(F.struct(F.octet_length("phrase").alias("size"), "starts", "item")).alias("hits"))
+    joined = index.select("segment", "rows", "n_words").join(by_segment, "segment", "left").select("rows", "n_words", "hits")
 
     @tidy
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +240,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
             for row in batch.to_pylist():
                 words, rest = unsqueeze(row["n_words"], np.int64), unpack(row["rows"])
                 first = np.cumsum(words) - words + GAP * np.arange(len(words))
-                at = np.unique(np.concatenate([unsqueeze(h, np.uint32) for h in row["hits"]])) if row["hits"] else np.empty(0, np.uint32)
+                covered, items = [np.empty(0, np.int64)], {}
+                for h in row["hits"] or []:
+                    starts = unsqueeze(h["starts"], np.uint32).astype(np.int64)
+                    covered.append((starts[:, None] + np.arange(h["size"] // 8)).ravel())
+                    if h["item"] is not None:
+                        for d in np.unique(np.searchsorted(first, starts, side="right") - 1).tolist():
+                            items.setdefault(d, set()).add(h["item"])
+                at = np.unique(np.concatenate(covered))
                 n_hit = np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(words)).astype(np.int64)
-                items: dict[int, set[str]] = {}
-                for x in row["items"] or []:
-                    items.setdefault(x["doc"], set()).add(x["item"])
                 named = [sorted(items.get(k, ())) for k in range(len(words))]
                 made = {
                     "n_words": pa.array(words), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in named], pa.int64()),
