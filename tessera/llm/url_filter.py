@@ -133,7 +133,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
         level = _encode(encode, number, count)
         cascade.levels.append(level)
         passed = level.passed(against, number)
-        passed = cut(passed.join(inside, "key", "left_anti").distinct() if number == 0 else passed)
+        passed = cut(passed.distinct().join(inside, "key", "left_anti") if number == 0 else passed)  # hot keys are one row a task before they are dealt
         encode, against = passed, encode
     raise AssertionError
 
