@@ -1,8 +1,10 @@
 """WARC archives: a writer of gzip members with revisit records, and a reader that salvages damaged files.
 
-The reader checks each member (gzip checksum), each record (version line, Content-Length, closing blank lines) and
-each response (payload digest). Where a check fails it looks for the next gzip magic that inflates to a record and for the
-next version line whose record is whole, and goes on at the first of these; the bytes between are logged as a gap.
+The reader takes WARC/1.0 and 1.1. It checks each member (gzip checksum), each record (version line, Content-Length, closing blank
+lines) and whatever digests a record states: of the block, and of the payload (behind the HTTP headers if there are any), in hex or
+base32. Where a check fails it looks for the next gzip magic that inflates to a record and for the next version line whose record
+is whole, and goes on at the first of these; the bytes between are logged as a gap. Of a damaged member those records are kept
+whose digests agree, marked as salvaged, if it holds several; no digest covers headers, so a lone record is not trusted.
 
 Archives are written by the tasks through pyarrow's file systems into the shared checkpoint folder (or a folder of
 the caller's), with the task attempt in the name. Only files in the manifest are read, so what a lost attempt left is ignored.
@@ -10,12 +12,16 @@ the caller's), with the task attempt in the name. Only files in the manifest are
 
 from __future__ import annotations
 
+import base64
+import binascii
+import bisect
+import contextlib
 import gzip
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,9 +32,12 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import chunks, materialize, tidy
 from tessera.operators.checkpoints import checkpoint_dir
 
-VERSION, REVISIT_BYTES, ARCHIVE_BYTES, STEP = b"WARC/1.0\r\n", 1000, 8 << 20, 16 << 10
+VERSION, REVISIT_BYTES, ARCHIVE_BYTES, STEP, FINE = b"WARC/1.0\r\n", 1000, 8 << 20, 16 << 10, 256
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-_MAGIC = b"\x1f\x8b\x08"
+#: Under this name a record's headers tell that its member was damaged.
+SALVAGED = ":salvaged"
+_MAGIC, _MARK = b"\x1f\x8b\x08", b"WARC/1."
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def _header(value: object) -> str:
@@ -54,16 +63,55 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
-    """(headers, body, end) of the whole record that starts at ``at``, else None."""
-    if not data.startswith(VERSION, at):
+def hex_digest(stated: str) -> tuple[str, str]:
+    """(algorithm, lower-case hex) of ``algorithm:value``; a value that is no base32 of the algorithm's size is taken as hex."""
+    algorithm, _, value = stated.strip().partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm in _SIZES and len(value.rstrip("=")) == (_SIZES[algorithm] * 8 + 4) // 5:
+        with contextlib.suppress(binascii.Error):
+            return algorithm, base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8)).hex()
+    return algorithm, value.lower()
+
+
+def _agrees(stated: str | None, *contents: bytes) -> bool | None:
+    """Whether one of the contents has the digest; None if none is stated or its algorithm is not known."""
+    if not stated:
         return None
-    split = data.find(b"\r\n\r\n", at)
+    algorithm, value = hex_digest(stated)
+    return any(hashlib.new(algorithm, c).hexdigest() == value for c in contents) if algorithm in _SIZES else None
+
+
+_SIZES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def payload_of(headers: dict[str, str], body: bytes) -> bytes:
+    """A record's payload: what follows the HTTP headers of an HTTP message, else the whole block."""
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        return body.partition(b"\r\n\r\n")[2]
+    return body
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The content of a chunked message, as far as it goes."""
+    parts, at = [], 0
+    while (line := payload.find(b"\r\n", at)) >= 0 and re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size := payload[at:line].partition(b";")[0].strip()):
+        parts.append(payload[line + 2 : line + 2 + int(size, 16)])
+        at = line + 4 + int(size, 16)
+    return b"".join(parts)
+
+
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int, bool] | None:
+    """(headers, body, end, whether a digest was stated and agrees) of the whole record that starts at ``at``, else None."""
+    version = _VERSION.match(data, at)
+    split = data.find(b"\r\n\r\n", at) if version else -1
     if split < 0:
         return None
     headers: dict[str, str] = {}
-    for line in data[at + len(VERSION) : split].split(b"\r\n"):
+    for line in data[version.end() : split].split(b"\r\n"):
         name, colon, value = line.partition(b":")
+        if line[:1] in b" \t" and headers:  # a folded line goes on
+            headers[next(reversed(headers))] += " " + line.decode("utf-8", "replace").strip()
+            continue
         if not colon:
             return None
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
@@ -75,45 +123,51 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     if data[end : end + 4] != b"\r\n\r\n":
         return None
     body = data[start:end]
-    algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if headers.get("warc-type") == "response" and algorithm == "sha1" and hashlib.sha1(body).hexdigest() != digest:
-        return None
-    return headers, body, end + 4
+    told = [_agrees(headers.get("warc-block-digest"), body)]
+    if headers.get("warc-type") != "revisit":  # whose payload is elsewhere
+        payload = payload_of(headers, body)
+        contents = (payload, _unchunked(payload)) if payload is not body else (payload,)
+        told.append(_agrees(headers.get("warc-payload-digest"), *contents))
+    return None if False in told else (headers, body, end + 4, True in told)
 
 
 def _plain(data: bytes) -> Iterator[tuple]:
-    """Records ('record', start, end, headers, body) and gaps ('gap', start, end) of an uncompressed stretch."""
+    """Records ('record', start, end, headers, body, told) and gaps ('gap', start, end) of an uncompressed stretch."""
     at = 0
     while at < len(data):
         found = parse(data, at)
         if found:
-            yield "record", at, found[2], found[0], found[1]
+            yield "record", at, found[2], *found[:2], found[3]
             at = found[2]
             continue
-        begin, at = at, data.find(VERSION, at + 1)
+        begin, at = at, data.find(_MARK, at + 1)
         while at >= 0 and parse(data, at) is None:
-            at = data.find(VERSION, at + 1)
+            at = data.find(_MARK, at + 1)
         at = len(data) if at < 0 else at
         yield "gap", begin, at
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """All whole records of a file, gzip members and plain ones in any order, and the gaps between them as (first byte, end) of the file."""
+    """All whole records of a file, gzip members and plain ones in any order, as ('record', first byte, end, headers, body), and ('gap', first byte, end) between.
+
+    Places are of the file: records of one gzip member share the member's, and what a damaged one held is placed to a few hundred bytes.
+    """
     at, gap, magic, version = 0, None, -1, -1
     while at < len(data):
-        parts, end = _whole(data, at)
-        if any(p[0] == "record" for p in parts) or (end > at and gap is None):
-            if gap is not None:
+        parts, end, whole = _whole(data, at)
+        if parts or (whole and gap is None):
+            if gap is not None and gap < at:
                 yield "gap", gap, at
-                gap = None
-            for p in parts:
-                yield (*p[:1], at, end, *p[3:])
+            yield from parts
+            gap = None
+        if whole:
             at = end
             continue
-        gap = at if gap is None else gap
-        magic, version = (_next(data, x, at, known) for x, known in ((_MAGIC, magic), (VERSION, version)))
+        gap = end if gap is None else gap
+        at = max(at, end - 1)
+        magic, version = (_next(data, x, at, known) for x, known in ((_MAGIC, magic), (_MARK, version)))
         at = min(magic, version)
-    if gap is not None:
+    if gap is not None and gap < len(data):
         yield "gap", gap, len(data)
 
 
@@ -125,14 +179,26 @@ def _next(data: bytes, mark: bytes, at: int, known: int) -> int:
     return len(data) if found < 0 else found
 
 
-def _whole(data: bytes, at: int) -> tuple[list[tuple], int]:
-    """What the gzip member or plain record at ``at`` holds, and its end; ``at`` itself if neither is whole. An empty member holds nothing."""
-    if data.startswith(_MAGIC, at):
-        inflated, end = _member(data, at)
-        parts = list(_plain(inflated)) if inflated else []
-        return (parts, end) if inflated == b"" or any(p[0] == "record" for p in parts) else ([], at)
-    found = parse(data, at)
-    return ([("record", at, found[2], found[0], found[1])], found[2]) if found else ([], at)
+def _whole(data: bytes, at: int) -> tuple[list[tuple], int, bool]:
+    """What the gzip member or plain record at ``at`` holds, where that ends, and whether it is whole. An empty member holds nothing."""
+    if not data.startswith(_MAGIC, at):
+        found = parse(data, at)
+        return ([("record", at, found[2], *found[:2])], found[2], True) if found else ([], at, False)
+    inflated, end = _member(data, at)
+    if inflated is not None:
+        parts = [(p[0], at, end, *p[3:5]) for p in _plain(inflated)]
+        return (parts, end, True) if not inflated or any(p[0] == "record" for p in parts) else ([], at, False)
+    inflated, places = _damaged(data, at)
+    places = [(at, 0), *places]
+    sizes, parts, last = [size for _, size in places], [], 0
+    for p in _plain(inflated):
+        span = (places[bisect.bisect_right(sizes, p[1]) - 1][0], places[bisect.bisect_left(sizes, p[2])][0])
+        sound = p[0] == "record" and p[5]
+        parts.append(("record", *span, p[3] | {SALVAGED: "yes"}, p[4]) if sound else ("gap", *span))
+        last = len(parts) if sound else last
+    if len(parts) == 1:  # its content agrees with its digest, so its headers are what is damaged
+        return [], at, False
+    return parts[:last], parts[last - 1][2] if last else at, False
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
@@ -147,6 +213,31 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     return (b"".join(parts), here - len(z.unused_data)) if z.eof else (None, at)
 
 
+def _damaged(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """What comes out of a damaged member before its damage shows, and (byte of the file, bytes out by then), ascending."""
+    flags, here = data[at + 3] if at + 3 < len(data) else 0, at + 10
+    if flags & 4:
+        here += 2 + int.from_bytes(data[here : here + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            here = data.find(b"\0", here) + 1 or len(data)
+    begin = here + (2 if flags & 2 else 0)
+
+    def inflate(stop: int | None) -> tuple[bytes, list[tuple[int, int]]]:
+        """In steps, up to the first that fails; from ``stop`` on byte by byte, as a step that fails gives nothing."""
+        z, parts, size, places, here = zlib.decompressobj(-15), [], 0, [], begin
+        with contextlib.suppress(zlib.error):
+            while not z.eof and here < len(data):
+                step = 1 if stop is not None and here >= stop else FINE
+                parts.append(z.decompress(data[here : here + step]))
+                here, size = min(here + step, len(data)), size + len(parts[-1])
+                places.append((here - len(z.unused_data), size))
+        return b"".join(parts), places
+
+    _, places = inflate(None)
+    return inflate(places[-1][0] if places else begin)
+
+
 def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
     """``pages`` with payload_bytes, payload_digest, refers_to and revisit.
 
@@ -163,6 +254,11 @@ def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html")
     return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("__last"))).drop("__last")
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it; one without a scheme is local."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def write_archives(records: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Write planned records as ``.warc.gz`` files of about ARCHIVE_BYTES; return the manifest (path, records), already written."""
     rows = records.select(key, url, payload, "payload_bytes", "payload_digest", "refers_to", "revisit")
@@ -170,7 +266,7 @@ def write_archives(records: DataFrame, folder: str, key: str = "page_id", url: s
     @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system, base = _opened(folder)
         system.create_dir(base, recursive=True)
         number, held, size, count = 0, [], 0, 0
 
@@ -195,15 +291,16 @@ def write_archives(records: DataFrame, folder: str, key: str = "page_id", url: s
     return materialize(rows.mapInArrow(write, "path string, records bigint"), "manifest")
 
 
-READ = pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+READ = pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("salvaged", pa.bool_()), ("payload", pa.binary())])
+KIND = "path string, start bigint, stop bigint, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, salvaged boolean"
 
 
 def read_archives(spark, paths: list[str] | str, payloads: bool = False) -> DataFrame:
-    """(path, start, stop, page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every record.
+    """(path, start, stop, page_id, url, payload_bytes, payload_digest, record_type, refers_to, salvaged[, payload]) of every record.
 
     Bytes that no whole record holds come as rows of record_type ``gap``.
     """
-    kind = "path string, start bigint, stop bigint, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
+    kind = KIND + ", payload binary" * payloads
     arrow = READ if payloads else pa.schema(list(READ)[:-1])
     number = lambda x: int(x) if x is not None else None
 
@@ -217,8 +314,9 @@ def read_archives(spark, paths: list[str] | str, payloads: bool = False) -> Data
                         rows.append({"path": path, "start": start, "stop": stop, "record_type": "gap"})
                     else:
                         h, body = more
-                        digest = h.get("warc-payload-digest", "").partition(":")[2] or hashlib.sha1(body).hexdigest()
-                        rows.append({"path": path, "start": start, "stop": stop, "page_id": number(h.get("x-page-id")), "url": h.get("warc-target-uri"), "payload_bytes": int(h.get("x-payload-bytes", len(body))), "payload_digest": digest, "record_type": h.get("warc-type"), "refers_to": number(h.get("x-refers-to-page-id")), "payload": body})
+                        body = payload_of(h, body)
+                        digest = hex_digest(h["warc-payload-digest"])[1] if "warc-payload-digest" in h else hashlib.sha1(body).hexdigest()
+                        rows.append({"path": path, "start": start, "stop": stop, "page_id": number(h.get("x-page-id")), "url": h.get("warc-target-uri"), "payload_bytes": int(h.get("x-payload-bytes", len(body))), "payload_digest": digest, "record_type": h.get("warc-type"), "refers_to": number(h.get("x-refers-to-page-id")), "salvaged": SALVAGED in h, "payload": body})
                     if len(rows) >= 500:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows = []
@@ -233,7 +331,8 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the pages to archives, then read those back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null payloads are empty; pages with a null id or url have no such header and come back null. Of rows that repeat the
-    largest id with one payload, each is a response. Other columns are not archived. An empty table gives no rows.
+    largest id with one payload, each is a response. Other columns are not archived. An empty table gives no rows. A payload of any
+    length is one record. Undamaged archives have no gaps; :func:`read_archives` returns those of others.
     """
     spark = pages.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -245,3 +344,37 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     own = manifest.select(F.substring_index("path", "/", -1).alias("name"))
     found = read_archives(spark, folder).withColumn("name", F.substring_index("path", "/", -1)).join(own, "name", "left_semi")
     return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def damage(manifest: DataFrame, folder: str, hit: Callable[[int | None], bool]) -> DataFrame:
+    """A drill: copies of the archives in ``folder`` with the middle byte of each record changed whose page ``hit`` picks; the new manifest, written."""
+
+    @tidy
+    def spoil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = _opened(path)
+                with system.open_input_stream(place, compression=None) as f:
+                    data = bytearray(f.read())
+                for what, start, stop, *more in list(salvage(bytes(data))):
+                    if what == "record" and hit(int(more[0]["x-page-id"]) if "x-page-id" in more[0] else None):
+                        data[(start + stop) // 2] ^= 0x55
+                name = f"{attempt}-{path.rpartition('/')[2]}"
+                system, base = _opened(folder)
+                system.create_dir(base, recursive=True)
+                with system.open_output_stream(f"{base}/{name}", compression=None) as f:
+                    f.write(bytes(data))
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
+
+    return materialize(manifest.select("path").mapInArrow(spoil, "path string"), "manifest")
+
+
+def drill(pages: DataFrame, hit: Callable[[int | None], bool], folder: str | None = None) -> DataFrame:
+    """Write the pages to archives, damage the records of some, and read what is left, gaps included, in the columns of :func:`read_archives`."""
+    spark = pages.sparkSession
+    folder = folder or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    spoiled = damage(write_archives(plan_records(pages.select("page_id", "url", "html")), folder), f"{folder}-damaged", hit)
+    found = read_archives(spark, f"{folder}-damaged") if spoiled.limit(1).count() else spark.createDataFrame([], KIND)
+    own = spoiled.select(F.substring_index("path", "/", -1).alias("name"))
+    return found.withColumn("name", F.substring_index("path", "/", -1)).join(own, "name", "left_semi").drop("name")

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version or a round trip, with the odd cases its docstring defines."""
 
+import base64
 import collections
 import gzip
 import hashlib
@@ -391,9 +392,6 @@ def test_warc_salvage():
 
 
 def test_warc_salvage_mixed():
-    def made(i, payload):
-        return warc.record(i, f"http://x/{i}", payload, hashlib.sha1(payload).hexdigest(), None, False, len(payload))
-
     ids = lambda data: [int(f[3]["x-page-id"]) for f in warc.salvage(data) if f[0] == "record"]
     gaps = lambda data: [f[1:3] for f in warc.salvage(data) if f[0] == "gap"]
     parts = [made(i, gzip.compress(b"<p>%d</p>" % i * 50)) for i in range(4)]
@@ -405,6 +403,69 @@ def test_warc_salvage_mixed():
     assert ids(broken + gzip.compress(parts[1]) + parts[2]) == [1, 2]
 
 
+def made(i, payload=None):
+    payload = b"<p>%d</p>" % i * 200 if payload is None else payload
+    return warc.record(i, f"http://x/{i}", payload, hashlib.sha1(payload).hexdigest(), None, False, len(payload))
+
+
+def ids_and_gaps(data):
+    found = list(warc.salvage(data))
+    places = [f[1:3] for f in found]
+    assert places == sorted(places)
+    return [int(f[3]["x-page-id"]) for f in found if f[0] == "record"], [f[1:3] for f in found if f[0] == "gap"]
+
+
+def test_warc_versions_and_digests():
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<html>" + b"x" * 50
+    page = body.partition(b"\r\n\r\n")[2]
+    b32 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+    def foreign(payload_digest, block_digest, version="1.1", content=body):
+        head = f"WARC/{version}\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nX-Page-ID: 5\r\nWARC-Payload-Digest: {payload_digest}\r\nWARC-Block-Digest: {block_digest}\r\nContent-Length: {len(content)}\r\n\r\n"
+        return head.encode() + content + b"\r\n\r\n"
+
+    right = foreign(f"sha1:{b32(page)}", f"sha1:{b32(body)}")
+    assert ids_and_gaps(right + made(1)) == ([5, 1], [])
+    (found,) = [f for f in warc.salvage(gzip.compress(right)) if f[0] == "record"]
+    assert warc.payload_of(found[3], found[4]) == page and warc.hex_digest(found[3]["warc-payload-digest"]) == ("sha1", hashlib.sha1(page).hexdigest())
+    assert ids_and_gaps(foreign(f"sha256:{hashlib.sha256(page).hexdigest()}", "blake9:zz", "1.0")) == ([5], [])
+    for bad in (foreign(f"sha1:{b32(body)}", f"sha1:{b32(body)}"), foreign(f"sha1:{b32(page)}", f"sha1:{b32(page)}"), foreign("md5:00", "x:y"), right.replace(b"WARC/1.1", b"WARC/2.0")):
+        assert ids_and_gaps(bad + made(1)) == ([1], [(0, len(bad))])
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n"
+    assert ids_and_gaps(foreign(f"sha1:{b32(b'abcde')}", f"sha1:{b32(chunked)}", content=chunked)) == ([5], [])
+
+
+def test_warc_damaged_member():
+    rng = random.Random(11)
+    noise = lambda: bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
+    records = [made(i, noise()) for i in range(200)]
+    one, more = gzip.compress(b"".join(records)), gzip.compress(made(900))
+    for at, junk in ((0.3, b"\0" * 400), (0.9, b"\0" * 400), (0.5, b"~")):
+        lo = int(len(one) * at)
+        got, gaps = ids_and_gaps(one[:lo] + junk + one[lo + len(junk) :] + more + made(901))
+        kept = [i for i in got if i < 900]
+        assert kept == sorted(set(kept)) and set(range(int(200 * at) - 12)) <= set(kept) and len(kept) < 200 and got[-2:] == [900, 901]
+        assert gaps and gaps[0][0] <= lo + 1024 and gaps[-1][1] <= len(one) and gaps[0][1] > lo
+    got, gaps = ids_and_gaps(one[: len(one) // 2] + more)  # cut short, and the next member right behind
+    assert got[-1] == 900 and 85 < len(got) < 102 and gaps[0][1] == len(one) // 2
+    bad = bytearray(one)
+    bad[-6] ^= 1  # the checksum alone
+    assert ids_and_gaps(bytes(bad))[0] == list(range(200))
+
+
+def test_warc_drill(spark):
+    rows = [(i, "u", "x" * (i * 40)) for i in range(100)] + [(None, None, None), (200, "u", "long " * 400000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'r' AS record_type", "1 AS revisit").repartition(3)
+    found = warc.drill(df, lambda page: page is not None and page % 7 == 3).collect()
+    assert sorted((r.page_id if r.page_id is not None else -1) for r in found if r.record_type != "gap") == [-1, *(i for i in range(100) if i % 7 != 3), 200]
+    gaps = [r for r in found if r.record_type == "gap"]
+    assert 1 <= len(gaps) <= 14 and all(r.stop > r.start and r.page_id is None for r in gaps)
+    for path in {r.path for r in found}:
+        spans = sorted({(r.start, r.stop) for r in found if r.path == path})
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert warc.drill(df.limit(0), lambda page: True).count() == 0
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "line\r\n\r\nWARC/1.0\r\n" * 90), (None, "u", big)]
