@@ -3,7 +3,8 @@
 References are the zero fingerprint, one for each of 16 blocks of four bits (ones in the block alone), and fixed
 random ones. A fingerprint's distances to the zero and a block reference give the number of ones in the block; two
 fingerprints at Hamming distance 2 or less have block counts that differ by 2 or less in sum. So each fingerprint is
-posted under its counts and under all counts one step away: linked ones share a posting, and few others do. There,
+posted under its counts and under all counts one step away: linked ones share a posting, and few others do. There a
+table of distances to all references is computed once; groups that are too large are split by the reference that tells most,
 pairs whose distances to any reference differ by more than the limit are discarded (the triangle inequality), and
 what survives is compared bit by bit. A bucket emits a spanning forest of its links, not all pairs.
 
@@ -26,9 +27,13 @@ from tessera.llm.blocks import chunks, materialize, partitions_of, tidy
 from tessera.operators.graph import component_labels
 
 SEED, MAX_BITS, BLOCKS = 42, 2, 16
+#: The fingerprint's column between steps; a name that no table has.
+FP = "__simhash_fingerprint"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK_MASKS = np.array([0xF << (4 * b) for b in range(BLOCKS)], np.uint64)
 REFERENCES = np.concatenate([np.zeros(1, np.uint64), BLOCK_MASKS, np.random.default_rng(5).integers(0, 1 << 64, 47, dtype=np.uint64)])
+#: Fingerprints under one key that are compared pair by pair; larger groups are split by further references.
+GROUP = 64
 _STEPS = np.random.default_rng(6).integers(0, 1 << 64, BLOCKS, dtype=np.uint64)
 
 
@@ -55,7 +60,7 @@ def majority(h: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", keep_text: bool = False) -> DataFrame:
+def with_fingerprints(docs: DataFrame, text: str = "text", name: str = FP, keep_text: bool = False) -> DataFrame:
     """``docs`` with the fingerprint as a signed long; a column of that name is replaced, the text goes unless kept."""
     own = StructType([f for f in docs.schema.fields if f.name != name and (keep_text or f.name != text)])
     schema = StructType([*own.fields, StructField(name, LongType())])
@@ -102,25 +107,63 @@ def _posts(buckets: int):
     return run
 
 
-def linked_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MAX_BITS, chunk: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs among fingerprints that share a key."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    shift = 1
-    at = np.arange(len(keys))
-    while True:
-        at = at[at + shift < len(keys)]
-        at = at[keys[at] == keys[at + shift]]
-        if not len(at):
-            return
-        for k in range(0, len(at), chunk):
-            a, b = fps[at[k : k + chunk]], fps[at[k : k + chunk] + shift]
-            near = np.abs(distances(a).astype(np.int8) - distances(b).astype(np.int8)).max(axis=1) <= most
-            a, b = a[near], b[near]
-            real = (np.bitwise_count(a ^ b) <= most) & (a != b)
-            if real.any():
-                yield a[real], b[real]
-        shift += 1
+def _cells(table: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A large group's rows in lots such that any two whose distances to all references differ by ``most`` or less share a lot.
+
+    Rows are split by the reference to which their distances vary most: to cells of ``most + 1`` distances, and a row that another
+    one in the next cell can be near is in both. That goes on until a lot has at most GROUP rows or no reference tells it apart.
+    """
+    todo = [rows]
+    while todo:
+        own = todo.pop()
+        if len(own) > GROUP:
+            by = int(table[own].std(axis=0).argmax())
+            d = table[own, by].astype(np.int64)
+            cell, last = d // (most + 1), (d + most) // (most + 1)
+            parts = [own[(cell == c) | (last == c)] for c in np.unique(cell)]
+            if max(map(len, parts)) < len(own):
+                todo += [p for p in parts if len(p) > 1]
+                continue
+        yield own
+
+
+def linked_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MAX_BITS, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs among fingerprints that share a key; a pair may come more than once.
+
+    The distance table is computed once, a row for each distinct fingerprint.
+    """
+    known, which = np.unique(fps, return_inverse=True)
+    references = distances(known).astype(np.int8)
+    order = np.lexsort((which, keys))
+    keys, which = keys[order], which[order]
+    if not len(keys):
+        return
+    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])])
+    keys, which = keys[fresh], which[fresh]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(heads, len(keys)))
+    group = np.repeat(np.arange(len(heads)), sizes)
+    plain = np.flatnonzero((sizes <= GROUP)[group])
+    pieces, table = [(plain, group[plain])], references[which]
+    for g in np.flatnonzero(sizes > GROUP):
+        pieces += [(lot, np.zeros(len(lot), np.int64)) for lot in _cells(table, np.arange(heads[g], heads[g] + sizes[g]), most)]
+    for rows, lots in pieces:
+        at, shift = np.arange(len(rows)), 1
+        while True:
+            at = at[at + shift < len(rows)]
+            at = at[lots[at] == lots[at + shift]]
+            if not len(at):
+                break
+            for k in range(0, len(at), chunk):
+                a, b = which[rows[at[k : k + chunk]]], which[rows[at[k : k + chunk] + shift]]
+                # The first references discard nearly all; the others see what is left.
+                for some in (slice(0, 8), slice(8, 24), slice(24, None)):
+                    near = (np.abs(references[a, some] - references[b, some]) <= most).all(axis=1)
+                    a, b = a[near], b[near]
+                real = np.bitwise_count(known[a] ^ known[b]) <= most
+                if real.any():
+                    yield known[a[real]], known[b[real]]
+            shift += 1
 
 
 @tidy
@@ -153,18 +196,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     """``docs`` with fingerprint (16 hex digits) and component_id: the smallest key reachable over links.
 
     Null and empty texts have the zero fingerprint, which links like any other. Null keys are never the smallest, unless
-    a component has no other. The text goes unless ``keep_text``.
+    a component has no other. Repeated rows and keys stay as they are; texts of any length are read whole. Other columns pass
+    through, those with a result's name are replaced, and the text goes unless ``keep_text``. An empty table gives no rows.
     """
     spark = docs.sparkSession
     own = docs.select(*[c for c in docs.columns if c not in ("fingerprint", "component_id")])
     marked = materialize(with_fingerprints(own, text, keep_text=keep_text), "fingerprints")
-    vertices = marked.groupBy("fp").agg(F.min(key).alias("least"))
+    vertices = marked.groupBy(F.col(FP).alias("fp")).agg(F.min(key).alias("least"))
     buckets = partitions_of(spark)
     posts = vertices.select("fp").mapInArrow(_posts(buckets), "bucket bigint, keys binary, fps binary")
     edges = posts.repartition(buckets, "bucket").mapInArrow(_forest, "a bigint, b bigint")
     labels = component_labels(edges)
     placed = vertices.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = placed.join(least, "component").select("fp", "component_id")
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(ids, "fp").select(*[c for c in own.columns if keep_text or c != text], shown, "component_id")
+    ids = placed.join(least, "component").select(F.col("fp").alias(FP), "component_id")
+    shown = F.lower(F.lpad(F.hex(FP), 16, "0")).alias("fingerprint")
+    return marked.join(ids, FP).select(*[c for c in own.columns if keep_text or c != text], shown, "component_id")
