@@ -1,6 +1,8 @@
 """Blocks: rows packed into Arrow payloads of a few megabytes, so that operators in several passes move few, large rows.
 
-A block is written once to the shared checkpoint folder; its ``block_id`` is then fixed, whatever executor reads it.
+A block is written once to the shared checkpoint folder; its ``block_id`` is then fixed, whatever executor reads it. The table is
+bucketed by that id, and ids are chosen so that a task's blocks fall to one bucket, the buckets in turn: a task writes one file, buckets
+are even, and what is joined to blocks by id is shuffled to them while they stay where they are.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators.checkpoints import checkpoint_dir
+from tessera.operators.checkpoints import checkpoint_dir, cut_by
 
 #: Bytes of text in a block; one longer text is a block of its own, whole.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 50_000
@@ -96,18 +98,42 @@ def unpack(payload: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Spark's bucket of 64-bit ids: Murmur3 (32 bits, seed 42), modulo. A wrong answer would cost files, not rows."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(ids), 42, np.uint32)
+        for half in (ids & 0xFFFFFFFF, ids >> 32):
+            k = half.astype(np.uint32) * np.uint32(0xCC9E2D51)
+            k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+            h ^= k
+            h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    return h.view(np.int32).astype(np.int64) % buckets
+
+
+def task_ids(task: int, buckets: int) -> Iterator[int]:
+    """Ids for the rows of a task, all in its bucket."""
+    for start in range(0, 1 << 32, 4 * buckets):
+        ids = (task << 32) + np.arange(start, start + 4 * buckets)
+        yield from ids[bucket_of(ids, buckets) == task % buckets].tolist()
+
+
 SCHEMA = "block_id bigint, n_rows bigint, n_bytes bigint, payload binary"
 ARROW = pa.schema([("block_id", pa.int64()), ("n_rows", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())])
 
 
 def write_blocks(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``df`` in a table of blocks (block_id, n_rows, n_bytes of text, payload)."""
+    buckets = partitions_of(df.sparkSession)
 
     @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for k, part in enumerate(chunks(batches, text)):
+        ids = task_ids(TaskContext.get().partitionId(), buckets)
+        for part in chunks(batches, text):
             size = pc.sum(pc.fill_null(pc.binary_length(part.column(text)), 0)).as_py() or 0
-            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([part.num_rows]), pa.array([size]), pa.array([pack(part)], pa.binary())], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([next(ids)]), pa.array([part.num_rows]), pa.array([size]), pa.array([pack(part)], pa.binary())], schema=ARROW)
 
-    return materialize(df.mapInArrow(build, SCHEMA), "blocks")
+    return cut_by(df.mapInArrow(build, SCHEMA), "block_id", buckets)

@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index.
 
-The corpus is indexed in segments, one row each, in the shared checkpoint folder: for every term its ascending word
+The corpus is indexed in segments, one row each, in a table in the shared checkpoint folder that is bucketed by segment, so that it is never shuffled: for every term its ascending word
 positions. A phrase is found by intersecting the lists of its terms, shifted by their offsets in the phrase, from the
 shortest list to the longest; a proximity query asks for all terms within some words instead. Documents are laid
 out with gaps between them, so a match never spans two.
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.blocks import chunks, materialize, pack, squeeze, text_buffer, tidy, unpack, unsqueeze
+from tessera.llm.blocks import chunks, pack, partitions_of, squeeze, task_ids, text_buffer, tidy, unpack, unsqueeze
 from tessera.llm.words import ALNUM_BREAK, tokens
-from tessera.operators.checkpoints import cut
+from tessera.operators.checkpoints import cut, cut_by
 
 WINDOW, GAP, LOT = 10, 64, 1 << 17
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -59,12 +59,12 @@ def phrases(items: DataFrame, window: int = WINDOW, item: str = "item_id", text:
 
 def build_index(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Segments (segment, rows, n_words, terms, sizes, positions); ``rows`` holds the documents' other columns, and the text if kept."""
-    others = [c for c in docs.columns if keep_text or c != text]
+    others, buckets = [c for c in docs.columns if keep_text or c != text], partitions_of(docs.sparkSession)
 
     @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for k, part in enumerate(chunks(batches, text)):
+        ids = task_ids(TaskContext.get().partitionId(), buckets)
+        for part in chunks(batches, text):
             data, offsets = text_buffer(part.column(text))
             h, doc = tokens(data, offsets, ALNUM_BREAK)
             order = np.argsort(h, kind="stable")
@@ -72,9 +72,9 @@ def build_index(docs: DataFrame, text: str = "text", keep_text: bool = False) ->
             h = h[order]
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
             columns = (np.bincount(doc, minlength=part.num_rows).astype(np.int64), h[heads], np.diff(np.append(heads, len(h))).astype(np.uint32), at.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([pack(part.select(others))], pa.binary()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], ["segment", "rows", "n_words", "terms", "sizes", "positions"])
+            yield pa.RecordBatch.from_arrays([pa.array([next(ids)]), pa.array([pack(part.select(others))], pa.binary()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], ["segment", "rows", "n_words", "terms", "sizes", "positions"])
 
-    return materialize(docs.mapInArrow(index, "segment bigint, rows binary, n_words binary, terms binary, sizes binary, positions binary"), "index")
+    return cut_by(docs.mapInArrow(index, "segment bigint, rows binary, n_words binary, terms binary, sizes binary, positions binary"), "segment", buckets)
 
 
 def term_sizes(index: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def _candidates(buckets: int, width: int, text: str, key: str):
                     first = np.zeros(len(seen), np.int64)
                     first[which[::-1]] = own[::-1]
                     d = docs[own]
-                    for c, v in (("bucket", k), ("block_id", row["block_id"]), ("strings", squeeze(np.frombuffer(b"".join(seen), np.uint8))), ("sizes", squeeze(np.array([len(x) for x in seen], np.uint16))), ("names", names[first].tobytes()), ("which", squeeze(which)), ("doc", squeeze(d.astype(np.uint16))), ("pos", squeeze((starts[own] - offsets[d]).astype(np.uint32))), ("id", squeeze(ids[d]))):
+                    for c, v in (("bucket", k), ("block_id", row["block_id"]), ("strings", squeeze(np.frombuffer(b"".join(seen), np.uint8))), ("sizes", squeeze(np.array([len(x) for x in seen], np.uint16))), ("names", names[first].astype(np.uint32).tobytes()), ("which", squeeze(which)), ("doc", squeeze(d.astype(np.uint16))), ("pos", squeeze((starts[own] - offsets[d]).astype(np.uint32))), ("id", squeeze(ids[d]))):
                         out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=CANDIDATES)
 
@@ -282,7 +282,7 @@ def _spans(width: int):
             for r in rows:
                 sizes, blob = unsqueeze(r["sizes"], np.uint16).astype(np.int64), unsqueeze(r.pop("strings"), np.uint8).tobytes()
                 ends = np.cumsum(sizes).tolist()
-                names = np.frombuffer(r.pop("names"), np.uint64).tolist()
+                names = np.frombuffer(r.pop("names"), np.uint32).tolist()
                 own = np.array([index.setdefault((m, blob[s:e]), len(index)) for m, s, e in zip(names, [0, *ends[:-1]], ends, strict=True)], np.int64)
                 maps.append(own[unsqueeze(r.pop("which"), np.uint32)])
                 r["id"] = unsqueeze(r["id"], np.int64)
@@ -291,7 +291,7 @@ def _spans(width: int):
                 np.minimum.at(least, m, r["id"])
             strings = [b for _, b in index]
             lengths = np.array([len(b) for b in strings], np.int64)
-            mixed = _class_minima(strings, np.array([m for m, _ in index], np.uint64), least, width)
+            mixed = _class_minima(strings, np.array([m for m, _ in index], np.uint32), least, width)
             del index
             odd = np.zeros(len(strings), bool)
             odd[list(mixed)] = True

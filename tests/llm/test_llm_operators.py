@@ -16,7 +16,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import context_tree, decontaminate, language, packing, permutation_index, preference, queries, resemblance, simhash, substring_dedup, url_filter, warc
+from tessera.llm import blocks, context_tree, decontaminate, language, packing, permutation_index, preference, queries, resemblance, simhash, substring_dedup, url_filter, warc
 from tessera.llm.suffix_array import shared_windows, suffix_array
 
 SMALL = f"{DATA}/sf0.001"
@@ -111,7 +111,9 @@ def test_simhash(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_links_lose_nothing():
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_links_lose_nothing(monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
     near = [b ^ np.uint64((1 << int(i)) | (1 << int(j))) for b in base for i, j in rng.integers(0, 64, (6, 2))]
@@ -125,6 +127,38 @@ def test_links_lose_nothing():
     assert got == want
 
 
+def test_large_groups_are_split(monkeypatch):
+    rng = np.random.default_rng(12)
+    fps = np.unique(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[:500] ^ np.uint64(1 << 40), fps[:300] ^ np.uint64(3)]))
+    got = {tuple(sorted(x)) for a, b in simhash.linked_pairs(np.zeros(len(fps), np.uint64), fps) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    assert got == {(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+
+
+def test_simhash_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "keep", 9), (2, "A b c d", "me", 8), (3, "long words " * 100000, "too", 7)], "doc_id long, text string, fp string, component_id int")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert [got[i].fp for i in (1, 2, 3)] == ["keep", "me", "too"] and got[2].component_id == 1
+    assert got[3].fingerprint == f"{slow_fingerprint('long words ' * 100000):016x}"
+
+
+def test_blocks_stay_where_they_are(spark):
+    ids = np.array([0, 1, 7, 1 << 32, (5 << 32) + 123, (1 << 40) + 5])
+    want = [r[0] for r in spark.createDataFrame([(int(i),) for i in ids], "id long").selectExpr("pmod(hash(id), 211)").collect()]
+    assert blocks.bucket_of(ids, 211).tolist() == want
+    df = spark.createDataFrame([(i, "text " * 10) for i in range(100)], "doc_id long, text string").repartition(3)
+    table = blocks.write_blocks(df)
+    assert table.selectExpr("sum(n_rows)").first()[0] == 100 and table.inputFiles().__len__() == 3
+    told = table.groupBy("block_id").agg(F.collect_list("n_rows").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table.select("block_id", "payload").join(told.withColumn("x", F.rand()), "block_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan
+
+
 def slow_resembling(rows):
     """Groups of ids whose texts' sets of five-word shingles are chained by resemblances of 0.8 or more."""
     sets = []
