@@ -8,7 +8,8 @@ text's score is the sum over its bytes and one end symbol (byte 0, which also fi
 The model grows with the corpus and is never whole in one place. Strings of DEPTH context bytes and a symbol are dealt by
 the last ``ROOT`` bytes of context, so each bucket holds whole subtrees. Only sums at the ``ROOT - 1`` last bytes (65,536
 contexts of 255 choices at most) meet on the driver, which returns the mixture down to that depth by broadcast. Each block
-then asks the buckets for its own distinct strings. Word counts travel alike: each block posts its distinct words (as
+then asks the buckets for its own distinct strings; for each LOT blocks there is a copy of a bucket's subtrees, in another task, as
+the endings that are common are so in every block. Word counts travel alike: each block posts its distinct words (as
 64-bit hashes) with their training counts to buckets, and gets back the totals of its own words.
 """
 
@@ -29,6 +30,8 @@ from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer,
 from tessera.llm.words import SPACED_BREAK, distinct, slices, tokens
 
 DEPTH, ROOT, MERGE = 5, 3, 3_000_000
+#: Blocks that ask one copy of a bucket's subtrees: with more blocks there are more copies, so no ending is asked by all of them in one task.
+LOT = 512
 TRAIN = "__in_training"
 RESULT = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 _HALF = math.log(0.5)
@@ -148,7 +151,14 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets: dict[int, tuple[list, list]] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            buckets.setdefault(r["bucket"], ([], []))[r["block_id"] is None].append((r["block_id"], unsqueeze(r["keys"], np.uint64), unsqueeze(r["counts"], np.uint32).astype(np.int64)))
+            words, grams = buckets.setdefault(r["bucket"], ([], []))
+            keys, counts = unsqueeze(r["keys"], np.uint64), unsqueeze(r["counts"], np.uint32).astype(np.int64)
+            if r["block_id"] is not None:
+                words.append((r["block_id"], keys, counts))
+                continue
+            grams.append((keys, counts))
+            if len(grams) > 1 and sum(len(k) for k, _ in grams[1:]) > max(MERGE, len(grams[0][0])):  # never many times the distinct ones
+                grams[:] = [_merge(grams)]
     for bucket, (words, grams) in buckets.items():
         if words:
             keys, totals = _merge([(k, c) for _, k, c in words])
@@ -156,7 +166,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, k, _ in words:
                 yield _found("words", block_id=block, bucket=bucket, counts=totals[np.searchsorted(keys, k)])
         if grams:
-            keys, totals = _merge([(k, c) for _, k, c in grams])
+            keys, totals = _merge(grams)
             yield _found("grams", bucket=bucket, keys=keys, counts=totals)
             key, sums = _above(Subtrees.grow(keys, totals).levels[ROOT], ROOT)
             yield _found("above", bucket=bucket, keys=key, counts=sums.ravel())
@@ -285,7 +295,6 @@ class Subtrees:
         return out
 
 
-_ASKS = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 ASKS = "bucket bigint, block_id bigint, keys binary, counts binary"
 
 
@@ -298,7 +307,7 @@ def _asks(buckets: int, text: str):
             for block_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = _block_grams(*text_buffer(unpack(payload).column(text)))
                 for k, own in _by_bucket(_gram_bucket(keys, buckets), buckets):
-                    yield pa.RecordBatch.from_pydict({"bucket": [k], "block_id": [block_id], "keys": [squeeze(keys[own])], "counts": [None]}, schema=_ASKS)
+                    yield pa.RecordBatch.from_pydict({"bucket": [k], "block_id": [block_id], "keys": [squeeze(keys[own])], "counts": [None]}, schema=_POSTS)
 
     return run
 
@@ -311,11 +320,12 @@ def _answers(top):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, tree, known, value = None, None, None, None
+        lot, tree, known, value = None, None, None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["bucket"] != bucket:
-                    bucket, tree, known, value = r["bucket"], Subtrees(top.value.levels), np.empty(0, np.uint64), np.empty(0)
+                bucket = r["bucket"]
+                if (bucket, r["salt"]) != lot:
+                    lot, tree, known, value = (bucket, r["salt"]), Subtrees(top.value.levels), np.empty(0, np.uint64), np.empty(0)
                 keys = unsqueeze(r["keys"], np.uint64)
                 if r["block_id"] is None:
                     tree = Subtrees.grow(keys, unsqueeze(r["counts"], np.int64)).under(top.value)
@@ -326,7 +336,7 @@ def _answers(top):
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     out, new = value[at], known[at] != keys
                 out[new] = tree.logp(keys[new])
-                yield pa.RecordBatch.from_pydict({"kind": ["grams"], "block_id": [r["block_id"]], "bucket": [bucket], "counts": [squeeze(out.astype(np.float32))]}, schema=_ANSWERS)
+                yield pa.RecordBatch.from_pydict({"kind": ["grams"], "block_id": [r["block_id"]], "bucket": [bucket], "counts": [squeeze(out)]}, schema=_ANSWERS)
 
     return run
 
@@ -343,7 +353,9 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
     """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte.
 
     ``training``: a boolean column, true on the rows to learn from (null counts as false). Null and empty texts are one
-    end token, and their score is that of ending at once; bits_per_byte is null for them. Columns with a result's name are replaced.
+    end token, and their score is that of ending at once; bits_per_byte is null for them. Columns with a result's name are replaced,
+    others pass through. Repeated rows count and score each time, texts of any length whole. Without training rows every choice has
+    probability 1/2 and the base is 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
     result = StructType.fromDDL(RESULT)
@@ -355,7 +367,7 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
     ends = docs.agg(F.count_if(training)).first()[0]
     payloads = blocks.select("block_id", "payload")
     posts = payloads.mapInArrow(_posts(buckets, text), ASKS)
-    found = materialize(posts.repartition(buckets, "bucket").mapInArrow(_totals, FOUND), "counts")
+    found = materialize(posts.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_totals, FOUND), "counts")
     n, v = found.where("kind = 'sum'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
     above = []
@@ -365,8 +377,12 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
             key, sums = _sum_by(np.concatenate([k for k, _ in above]), *np.concatenate([c for _, c in above], axis=1))
             above = [(key, np.stack(sums))]
     top = spark.sparkContext.broadcast(Subtrees.top(above))
-    asks = payloads.mapInArrow(_asks(buckets, text), ASKS).unionByName(found.where("kind = 'grams'").select("bucket", "block_id", "keys", "counts"))
-    answers = asks.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block_id").asc_nulls_first()).mapInArrow(_answers(top), "kind string, block_id bigint, bucket bigint, counts binary")
+    salts = blocks.count() // LOT + 1
+    asks = payloads.mapInArrow(_asks(buckets, text), ASKS).withColumn("salt", F.pmod(F.xxhash64("block_id"), F.lit(salts)).cast("int"))
+    trees = found.where("kind = 'grams'").select("bucket", "block_id", "keys", "counts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    home = F.pmod(F.col("bucket") + F.col("salt") * 7919, F.lit(buckets)).cast("int")
+    dealt = asks.unionByName(trees).repartitionById(buckets, home).sortWithinPartitions("bucket", "salt", F.col("block_id").asc_nulls_first())
+    answers = dealt.mapInArrow(_answers(top), "kind string, block_id bigint, bucket bigint, counts binary")
     base = math.log10(n + v + 1)
     replies = answers.unionByName(found.where("kind = 'words'").select("kind", "block_id", "bucket", "counts"))
     replies = replies.groupBy("block_id").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("replies"))
@@ -382,10 +398,10 @@ def score_texts(docs: DataFrame, training, text: str = "text") -> DataFrame:
                 got = {kind: {r["bucket"]: r["counts"] for r in row["replies"] or [] if r["kind"] == kind} for kind in ("words", "grams")}
                 c = _lookup(keys, ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), got["words"], np.int64)[inverse]
                 grams = _block_grams(data, offsets)
-                logp = _lookup(grams, _gram_bucket(grams, buckets), got["grams"], np.float32)
+                logp = _lookup(grams, _gram_bucket(grams, buckets), got["grams"], np.float64)
                 score = np.zeros(block.num_rows)
                 for a, z, codes, sizes in _sliced(data, offsets):
-                    score[a:z] = np.add.reduceat(logp[_ranks(codes, grams)].astype(np.float64), np.cumsum(sizes) - sizes)
+                    score[a:z] = np.add.reduceat(logp[_ranks(codes, grams)], np.cumsum(sizes) - sizes)
                 rows = block.num_rows
                 n_tokens = np.bincount(doc, minlength=rows) + 1
                 known = np.bincount(doc, weights=c > 0, minlength=rows).astype(np.int64) + (ends > 0)

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from tessera.llm.blocks import chunks, text_buffer, tidy
 from tessera.llm.words import LOWER, split
 
-GRAMS, SWITCH, SCRIPT_SHARE, UNKNOWN = 1 << 16, 12.0, 0.01, "und"
+GRAMS, SWITCH, SCRIPT_SHARE, UNKNOWN, SPAN = 1 << 16, 12.0, 0.01, "und", 1024
 #: Bytes of text that are labelled at a time; a longer text is one step of its own.
 CHUNK = 2 << 20
 #: A word's evidence is bounded, so that one odd word does not outweigh a sentence.
@@ -146,38 +146,80 @@ def word_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return scores, known, starts, ends, doc
 
 
-def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWITCH) -> np.ndarray:
-    """The best label of each word. All documents step together, the longest first, so a step is a few array operations."""
-    counts = np.bincount(doc, minlength=n_docs)
-    begin = np.cumsum(counts) - counts
-    order = np.argsort(-counts, kind="stable")
-    counts, begin = counts[order], begin[order]
-    labels = np.zeros(len(doc), np.int64)
-    if not len(doc):
-        return labels
-    n_langs = scores.shape[1]
-    steps, live = int(counts[0]), np.searchsorted(-counts, -np.arange(1, counts[0] + 1), side="right")
-    total = scores[begin[: live[0]]].copy()
-    stays, arg = np.zeros(scores.shape, bool), np.zeros(len(doc), np.int8)
-    final = np.zeros(len(order), np.int64)
-    for t in range(1, steps):
+def _forward(scores: np.ndarray, begin: np.ndarray, counts: np.ndarray, first: np.ndarray, switch: float, path: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Best totals by last label of runs of words that start at ``begin`` with totals ``first``, the longest run first; and where each step came from.
+
+    All runs step together, so a step is a few array operations.
+    """
+    live = np.searchsorted(-counts, -np.arange(1, counts[0] + 1), side="right")
+    total, final = first.copy(), np.empty_like(first)
+    stays, arg = (np.zeros(scores.shape, bool), np.zeros(len(scores), np.int8)) if path else (None, None)
+    for t in range(1, int(counts[0])):
         m, was = live[t], live[t - 1]
         if m < was:
-            final[m:was] = total[m:was].argmax(axis=1)
+            final[m:was] = total[m:was]
             total = total[:m]
         at = begin[:m] + t
         top = total.argmax(axis=1)
         jump = total[np.arange(m), top] - switch
-        stay = total >= jump[:, None]
-        stays[at], arg[at] = stay, top
-        total = np.where(stay, total, jump[:, None]) + scores[at]
-    final[: live[-1]] = total.argmax(axis=1)
-    if n_langs == 1:
-        return labels
-    now = final
-    for t in range(steps - 1, -1, -1):
+        if path:
+            stays[at], arg[at] = total >= jump[:, None], top
+        total = np.maximum(total, jump[:, None]) + scores[at]
+    final[: len(total)] = total
+    return final, stays, arg
+
+
+def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWITCH, span: int = SPAN) -> np.ndarray:
+    """The best label of each word. No loop is longer than ``span`` or the number of spans in the longest text.
+
+    A text of more words is cut into spans. What each span adds from any label before it to any label at its end makes a matrix; these
+    are chained from span to span (a maximum of sums), which gives the labels at the cuts. Then all spans are labelled at once.
+    """
+    n_langs = scores.shape[1]
+    if not len(doc) or n_langs == 1:
+        return np.zeros(len(doc), np.int64)
+    words = np.bincount(doc, minlength=n_docs)
+    per_doc = -(-words // span)
+    owner = np.repeat(np.arange(n_docs), per_doc)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    begin = (np.cumsum(words) - words)[owner] + nth * span
+    counts = np.minimum(span, words[owner] - nth * span)
+    order = np.argsort(-counts, kind="stable")
+    entry, leave = np.full(len(owner), -1), np.full(len(owner), -1)
+    enter = np.where(np.eye(n_langs, dtype=bool), 0.0, -switch)
+    cut = np.flatnonzero(per_doc > 1)
+    if len(cut):
+        inner = order[(nth > 0)[order]]  # spans behind another one
+        rows = np.repeat(inner, n_langs)
+        gains = np.empty((len(owner), n_langs, n_langs))
+        gains[inner] = _forward(scores, begin[rows], counts[rows], np.tile(enter, (len(inner), 1)) + scores[begin[rows]], switch, False)[0].reshape(-1, n_langs, n_langs)
+        heads = (np.cumsum(per_doc) - per_doc)[cut]
+        heads = heads[np.argsort(-per_doc[cut], kind="stable")]
+        size = per_doc[owner[heads]]
+        value = _forward(scores, begin[heads], counts[heads], scores[begin[heads]], switch, False)[0]
+        came = np.zeros((len(owner), n_langs), np.int64)
+        ends = np.empty(len(heads), np.int64)
+        for j in range(1, int(size[0])):
+            m = int(np.searchsorted(-size, -(j + 1), side="right"))
+            both = value[:m, :, None] + gains[heads[:m] + j]
+            came[heads[:m] + j] = both.argmax(axis=1)
+            value[:m] = both.max(axis=1)
+        ends = value.argmax(axis=1)
+        for j in range(int(size[0]) - 1, 0, -1):
+            m = int(np.searchsorted(-size, -(j + 1), side="right"))
+            at = heads[:m] + j
+            leave[at] = ends[:m]
+            ends[:m] = came[at, ends[:m]]
+            entry[at] = ends[:m]
+        leave[heads] = ends
+    first = scores[begin] + np.where((entry >= 0)[:, None], enter[entry], 0.0)
+    final, stays, arg = _forward(scores, begin[order], counts[order], first[order], switch, True)
+    now = np.where(leave[order] >= 0, leave[order], final.argmax(axis=1))
+    live = np.searchsorted(-counts[order], -np.arange(1, counts[order[0]] + 1), side="right")
+    labels = np.zeros(len(doc), np.int64)
+    for t in range(int(counts[order[0]]) - 1, -1, -1):
         m = live[t]
-        at = begin[:m] + t
+        at = begin[order[:m]] + t
         label = now[:m]
         labels[at] = label
         if t:
@@ -192,7 +234,8 @@ SPANS = "lang_spans array<struct<lang:string,start:bigint,stop:bigint>>"
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, spans: bool = False) -> DataFrame:
     """``docs`` with lang_pred, score (the share of letters that are labelled so) and, if asked for, the spans in bytes.
 
-    Columns that have a result's name are replaced; the text goes unless ``keep_text``.
+    Columns that have a result's name are replaced, others pass through, ids of any kind; the text goes unless ``keep_text``. Texts of
+    any length are labelled whole. Repeated rows stay; an empty table gives no rows, and a model of no language labels all ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     result = StructType.fromDDL(RESULT + (", " + SPANS if spans else ""))

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     vertices = marked.groupBy(F.col(FP).alias("fp")).agg(F.min(key).alias("least"))
     buckets = partitions_of(spark)
     posts = vertices.select("fp").mapInArrow(_posts(buckets), "bucket bigint, keys binary, fps binary")
-    edges = posts.repartition(buckets, "bucket").mapInArrow(_forest, "a bigint, b bigint")
+    edges = posts.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_forest, "a bigint, b bigint")
     labels = component_labels(edges)
     placed = vertices.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -362,11 +362,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     buckets = partitions_of(spark)
     payloads = blocks.select("block_id", "payload")
     named = payloads.mapInArrow(_named(buckets, width, text), "bucket bigint, block_id bigint, names binary, docs binary")
-    flags = named.repartition(buckets, "bucket").mapInArrow(_recurring, "bucket bigint, block_id bigint, flags binary")
+    flags = named.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_recurring, "bucket bigint, block_id bigint, flags binary")
     by_block = flags.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     candidates = payloads.join(by_block, "block_id").select("block_id", "payload", "flags")
     found = candidates.mapInArrow(_candidates(buckets, width, text, key), "bucket bigint, block_id bigint, strings binary, sizes binary, names binary, which binary, doc binary, pos binary, id binary")
-    spans = found.repartition(buckets, "bucket").mapInArrow(_spans(width), "block_id bigint, spans binary")
+    spans = found.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_spans(width), "block_id bigint, spans binary")
     spans = materialize(spans, "spans")  # a fresh start for the last pass: small, and what a lost executor falls back to
     spans = spans.groupBy("block_id").agg(F.collect_list("spans").alias("spans"))
     return payloads.join(spans, "block_id", "left").select("payload", "spans").mapInArrow(_cut(to_arrow_schema(schema), text, replace), schema)

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -247,10 +248,11 @@ def test_language_accuracy(spark):
     assert (found.lang == found.lang_pred).mean() > 0.98 and found.score.between(0, 1).all()
 
 
-def test_viterbi_is_best():
+@pytest.mark.parametrize("span", [language.SPAN, 3, 2])
+def test_viterbi_is_best(span):
     rng = np.random.default_rng(4)
     scores, doc = rng.normal(0, 5, (12, 3)), np.array([0] * 7 + [2] * 5)
-    got = language.viterbi(scores, doc, 3, switch=4.0)
+    got = language.viterbi(scores, doc, 3, switch=4.0, span=span)
     value = lambda s, p: s[np.arange(len(p)), p].sum() - 4.0 * (np.diff(p) != 0).sum()
     for own in (doc == 0, doc == 2):
         s, n = scores[own], own.sum()
@@ -258,6 +260,77 @@ def test_viterbi_is_best():
         assert value(s, got[own]) == pytest.approx(best)
 
 
+def test_viterbi_in_spans():
+    rng = np.random.default_rng(13)
+    sizes = rng.integers(0, 400, 30)
+    doc = np.repeat(np.arange(30), sizes)
+    scores = rng.normal(0, 3, (len(doc), 4))
+    whole = language.viterbi(scores, doc, 30)
+    for span in (1, 7, 64, 399):
+        assert (language.viterbi(scores, doc, 30, span=span) == whole).all()
+
+
+def slow_language(train_rows, texts):
+    """Training, scripts, scores and labels word by word, over the same hashed trigrams."""
+    word = re.compile("[^\\W\\d_]+")
+
+    def grams(w):
+        b = b" " + w.lower().encode() + b" "
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            g = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF
+            yield ((g >> 3) * 0x27D4EB2F & 0xFFFFFFFF) >> 16
+
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in train_rows:
+        docs[lang] += 1
+        for w in word.findall(text):
+            counts[lang].update(grams(w))
+    langs = sorted(counts)
+    total = {k: sum(counts[k].values()) for k in langs}
+    logp = lambda k, g: math.log((counts[k][g] + 0.5) / (total[k] + 0.5 * language.GRAMS))
+    out = []
+    for text in texts:
+        words = word.findall(text or "")
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        scores = np.array([[sum(logp(k, g) for g in grams(w)) for k in langs] for w in words])
+        scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -language.WORD_BOUND)
+        value, back = scores[0].copy(), []
+        for s in scores[1:]:
+            step = np.where(np.eye(len(langs), dtype=bool), value[:, None], value[:, None] - language.SWITCH)
+            back.append(step.argmax(axis=0))
+            value = step.max(axis=0) + s
+        labels = [int(value.argmax())]
+        for b in reversed(back):
+            labels.append(int(b[labels[-1]]))
+        weight = np.zeros(len(langs))
+        for w, k in zip(words, reversed(labels), strict=True):
+            weight[k] += len(w.encode())
+        out.append((langs[int(weight.argmax())], weight.max() / weight.sum()))
+    return out
+
+
+def test_language_query_by_hand(spark):
+    """op2's query on a whole table against a word-by-word version: folds, training, scores and shares."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
+    want = slow_language([(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and not fold[r.doc_id]], [r.text for r in rows])
+    got = {r.doc_id: r for r in queries.QUERIES["op2_language_viterbi"](spark, SMALL).collect()}
+    assert len(got) == len(rows) and all(got[i].held_out == f for i, f in fold.items())
+    same = [(got[r.doc_id].lang_pred, got[r.doc_id].score) for r in rows]
+    assert [x[0] for x in same] == [x[0] for x in want] and [x[1] for x in same] == pytest.approx([x[1] for x in want], abs=1e-9)
+
+
+def test_language_long_and_clashing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs)
+    long = "the and of with that from " * 60000 + "und nicht die der auch werden " * 60000
+    df = spark.createDataFrame([(None, long, "x", 1.5), (1, "the", "y", None), (1, "the", "y", None)], "doc_id long, text string, lang_pred string, score double")
+    got = language.identify(df, model, spans=True).collect()
+    assert len(got) == 3 and [s.lang for s in next(r for r in got if r.doc_id is None).lang_spans] == ["en", "de"]
+
+
 def slow_tree(training, texts, depth=context_tree.DEPTH):
     counts = collections.defaultdict(lambda: [0, 0])
 
@@ -301,18 +374,30 @@ def slow_tree(training, texts, depth=context_tree.DEPTH):
     return out
 
 
-def test_context_tree(spark):
+@pytest.mark.parametrize("lot", [context_tree.LOT, 1])
+def test_context_tree(spark, monkeypatch, lot):
+    monkeypatch.setattr(context_tree, "LOT", lot)
     training, texts = ["abracadabra abra", "banana band", ""], ["abba bandana", "", None, "xyz"]
     rows = [(i, t, True) for i, t in enumerate(training)] + [(9 + i, t, False) for i, t in enumerate(texts)] + [(20, "unused", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(4)
     got = {r.doc_id: r for r in context_tree.score_texts(df, df["learn"]).collect()}
     want = slow_tree([t.encode() for t in training], [(t or "").encode() for t in texts])
-    assert [got[9 + i].score for i in range(4)] == pytest.approx(want, rel=1e-5)
+    assert [got[9 + i].score for i in range(4)] == pytest.approx(want, rel=1e-9)
     assert got[9].train_tokens == 4 + 3 and (got[9].n_tokens, got[9].n_known) == (3, 1)
     assert got[9].base_score == pytest.approx(2 * math.log10(1 / 13) + math.log10(4 / 13))  # N = 7, V = 5
     assert context_tree.score_texts(df.limit(0), df["learn"]).count() == 0
 
 
+def test_context_tree_odd(spark):
+    df = spark.createDataFrame([(1, "ab ab", True, "x", 3), (1, "ab ab", True, "y", 4), (None, "word " * 300000, False, "z", 5), (2, None, False, None, None)], "doc_id long, text string, learn boolean, score string, n_known int")
+    got = context_tree.score_texts(df, df["learn"]).collect()
+    assert len(got) == 4 and {r.n_tokens for r in got if r.doc_id == 1} == {3} and next(r for r in got if r.doc_id is None).n_tokens == 300001
+    assert all(r.train_tokens == 6 and r.score < 0 for r in got)
+    none = context_tree.score_texts(df, F.lit(False)).collect()
+    assert {r.train_tokens for r in none} == {0} and {r.base_score for r in none} == {0.0}
+    assert next(r for r in none if r.doc_id == 1).score == pytest.approx(6 * 8 * math.log10(0.5))
+
+
 def test_context_tree_beats_words(spark):
     got = queries.QUERIES["op7_context_tree_weighting"](spark, f"{DATA}/sf0.1").where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
