@@ -1,7 +1,7 @@
 """Blocks: rows packed into Arrow payloads of a few megabytes, so that operators in several passes move few, large rows.
 
 A block is written once to the shared checkpoint folder; its ``block_id`` is then fixed, whatever executor reads it. The table is
-bucketed by that id, and ids are chosen so that a task's blocks fall to one bucket, the buckets in turn: a task writes one file, buckets
+bucketed by that id, and ids are chosen so that a task's blocks fall to four buckets, its own: a task writes few files, buckets
 are even, and what is joined to blocks by id is shuffled to them while they stay where they are.
 """
 
@@ -23,6 +23,8 @@ from tessera.operators.checkpoints import checkpoint_dir, cut_by
 
 #: Bytes of text in a block; one longer text is a block of its own, whole.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 50_000
+#: Buckets, and so files, that a task writes its blocks to.
+SPREAD = 4
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -115,10 +117,17 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def task_ids(task: int, buckets: int) -> Iterator[int]:
-    """Ids for the rows of a task, all in its bucket."""
-    for start in range(0, 1 << 32, 4 * buckets):
-        ids = (task << 32) + np.arange(start, start + 4 * buckets)
-        yield from ids[bucket_of(ids, buckets) == task % buckets].tolist()
+    """Ids for the rows of a task, in SPREAD buckets by turns; so tasks that are fewer than the buckets still fill them all."""
+    wanted, start = [(task * SPREAD + k) % buckets for k in range(SPREAD)], task << 32
+    for k in range(1 << 31):
+        while True:
+            ids = np.arange(start, start + 8 * buckets)
+            found = np.flatnonzero(bucket_of(ids, buckets) == wanted[k % SPREAD])
+            if len(found):
+                break
+            start += len(ids)
+        start = int(ids[found[0]]) + 1
+        yield start - 1
 
 
 SCHEMA = "block_id bigint, n_rows bigint, n_bytes bigint, payload binary"

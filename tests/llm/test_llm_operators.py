@@ -150,7 +150,10 @@ def test_blocks_stay_where_they_are(spark):
     assert blocks.bucket_of(ids, 211).tolist() == want
     df = spark.createDataFrame([(i, "text " * 10) for i in range(100)], "doc_id long, text string").repartition(3)
     table = blocks.write_blocks(df)
-    assert table.selectExpr("sum(n_rows)").first()[0] == 100 and table.inputFiles().__len__() == 3
+    assert table.selectExpr("sum(n_rows)").first()[0] == 100 and len(table.inputFiles()) == 3
+    for task in (0, 3, 50):
+        own = np.array([x for x, _ in zip(blocks.task_ids(task, 13), range(20), strict=False)])
+        assert len(set(own.tolist())) == 20 and (own >> 32 == task).all() and np.bincount(blocks.bucket_of(own, 13)).max() == 5
     told = table.groupBy("block_id").agg(F.collect_list("n_rows").alias("n"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
