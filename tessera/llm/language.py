@@ -26,7 +26,7 @@ from tessera.llm.words import LOWER, split
 
 GRAMS, SWITCH, SCRIPT_SHARE, UNKNOWN, SPAN = 1 << 16, 12.0, 0.01, "und", 1024
 #: Bytes of text that are labelled at a time; a longer text is one step of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: A word's evidence is bounded, so that one odd word does not outweigh a sentence.
 WORD_BOUND = 30.0
 

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from tessera.llm.blocks import chunks, tidy
 
 SIZE, END_ID = 2048, 1
+#: Bytes of text whose tokens are laid end to end; one longer text is a run of its own, whole.
+RUN = 2 << 20
 #: In tokens of padding: a sequence more, a cut at a sentence's end, a cut inside a sentence.
 SEQUENCE_COST, SENTENCE_COST, HARD_COST = 64, 8, 64
 #: Words whose ids a process remembers; beyond that, those it met once are forgotten, then all but the most met half.
-CACHE = 400_000
+CACHE = 200_000
 
 # What the vocabulary's own splitter takes as letters and digits, among the characters that the short cut admits.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -187,7 +189,8 @@ OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.in
 def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the ids.
 
-    A null or empty text is its end token alone. Rows that share a key are documents of their own. Other columns go.
+    A null or empty text is its end token alone. Rows that share a key, or are equal, are documents of their own; null keys stay. A
+    text of any length is cut like others, over as many sequences as it takes. Other columns go; an empty table gives no rows.
     """
     path = path or vocabulary_path()
     arrow = OUT if with_ids else pa.schema(list(OUT)[:-1])
@@ -195,7 +198,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sequence = shared_encoder(path), TaskContext.get().partitionId() << 40
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, RUN):
             each = encoder.encode(part.column(text).to_pylist())
             ids, sizes = np.concatenate(each), np.array([len(e) for e in each], np.int64)
             ends = np.cumsum(sizes)
