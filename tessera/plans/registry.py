@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify, cooccurrence, graph, relational, retrieval, text
-from tessera.operators.checkpoints import cut
+from tessera.operators.checkpoints import checkpoint_dir, cut
 from tessera.sources.readers import document_lines, load
 from tessera.streaming import sinks, windows
 
 DAY, CUTOFF = "1998-08-23", "1998-06-15"
 TRIGGER, MIN_LINES, TREND = "the", 10, 3
 SOURCES, ROUNDS = (0, 1, 2), 5
+#: How late an event may come; the files of a table may be listed in any order.
+LATE = "3650 days"
 RPN = ["the and AND", "tion the OR", "of der AND que OR", "zzzunknown"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -361,12 +364,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("ts", F.col("event_type").alias("key"), "user_id", "value")
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    import os
-
-    schema = load(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not os.path.isdir(f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
-    return stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "user_id", "value")
+def _event_stream(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
+    """The events in the order of time from several files, one a micro-batch, as a stream."""
+    events = load(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "user_id", "value")
+    path = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    events.repartitionByRange(files, "ts").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _counts_sql(minutes: int, source: str = "SELECT ts, event_type AS key FROM events") -> str:
@@ -397,14 +400,14 @@ def trend_alerts(spark, d):
 
 @query(_counts_sql(60) + " SELECT window_end, key, n FROM c")
 def stream_hourly_counts(spark, d):
-    stream = windows.windowed_counts(_event_stream(spark, d), "60 minutes")
-    return sinks.drain_complete(stream, "hourly").select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "n")
+    stream = windows.windowed_counts(_event_stream(spark, d).withWatermark("ts", LATE), "60 minutes")
+    return sinks.drain_updates(stream, "hourly", ["window_end", "key"]).select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "n")
 
 
 @query(_counts_sql(60, _BOXED) + " SELECT window_end, key, n FROM c")
 def stream_region_counts(spark, d):
-    inside = windows.region_events(_event_stream(spark, d), BOXES, "user_id", "value")
-    return sinks.drain_complete(windows.windowed_counts(inside, "60 minutes"), "regions").select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "n")
+    inside = windows.region_events(_event_stream(spark, d).withWatermark("ts", LATE), BOXES, "user_id", "value")
+    return sinks.drain_updates(windows.windowed_counts(inside, "60 minutes"), "regions", ["window_end", "key"]).select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "n")
 
 
 # Append mode gives a window once the watermark, here the latest event, has passed its end.
@@ -412,5 +415,5 @@ def stream_region_counts(spark, d):
  SELECT * FROM p WHERE n >= {TREND} AND n >= 2 * prev AND window_end <= (SELECT max(ts) FROM events)""")
 def stream_trend_alerts(spark, d):
     with windows.keyed_state(spark):
-        seen = sinks.drain(windows.stream_trends(windows.stream_windowed_counts(_event_stream(spark, d), "10 minutes"), 600), "trends")
+        seen = sinks.drain(windows.stream_trends(windows.stream_windowed_counts(_event_stream(spark, d, files=1), "10 minutes"), 600), "trends")
     return windows.trend_alerts(seen, TREND).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

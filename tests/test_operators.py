@@ -225,10 +225,24 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     assert [r.n for r in windows.hourly_counts(df).orderBy("window_end").collect()] == [5, 0, 3]
     df.write.parquet(f"{tmp_path}/events")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/events")
-    got = sinks.drain_complete(windows.windowed_counts(stream, "60 minutes"), "hours")
+    got = sinks.drain_updates(windows.windowed_counts(stream, "60 minutes"), "hours", ["window_end", "key"])
     assert [r.n for r in got.orderBy("window_end").collect()] == [5, 3]
 
 
+def test_text_stream_in_several_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"part-{k}").write_text(f"green,,,,,,,,{k}.5,1\nyellow,,,,,,,,0,0,2.5,1\n")
+    (tmp_path / "in" / "other").write_text("not read")
+    trips = readers.parse_trips(readers.stream_text(spark, f"{tmp_path}/in"))
+    sinks.each_batch(trips, f"{tmp_path}/out", lambda batch, path: batch.select("taxi", "lon", "file").write.mode("overwrite").parquet(path))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["part-00000000", "part-00000001", "part-00000002"]
+    found = spark.read.parquet(*[sinks.batch_path(f"{tmp_path}/out", k) for k in range(3)])
+    assert rows(found, "taxi", "lon", "file") == sorted([("green", k + 0.5, f"part-{k}") for k in range(3)] + [("yellow", 2.5, f"part-{k}") for k in range(3)])
+    counts = trips.groupBy("taxi").agg(F.count("*").alias("n"))
+    assert rows(sinks.drain_updates(counts, "taxis", ["taxi"]), "taxi", "n") == [("green", 3), ("yellow", 3)]
+
+
 def test_text_tables_equal_parquet(spark, tmp_path):
     for table in ("orders", "lineitem"):
         df = readers.load(spark, "/root/testdata/sf0.001", table)
