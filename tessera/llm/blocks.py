@@ -34,17 +34,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept(module: str, name: str, make: Callable[[str], object]):
+    """What a worker process keeps between the tasks of a module, made on first use; a task of another module drops it."""
+    if (module, name) not in _kept:
+        _kept[module, name] = make(name)
+    return _kept[module, name]
+
+
+def _free() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(f: Callable) -> Callable:
     """A task's function that gives freed memory back to the system when it ends, as the worker goes on to other tasks."""
 
     @wraps(f)
     def run(batches):
+        if other := [k for k in _kept if k[0] != f.__module__]:
+            for k in other:
+                del _kept[k]
+            _free()
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
-                ctypes.CDLL(None).malloc_trim(0)
+            _free()
 
     return run
 

@@ -15,22 +15,21 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.blocks import chunks, tidy
+from tessera.llm.blocks import chunks, kept, tidy
 
 SIZE, END_ID = 2048, 1
 #: Bytes of text whose tokens are laid end to end; one longer text is a run of its own, whole.
-RUN = 2 << 20
+RUN = 4 << 20
 #: In tokens of padding: a sequence more, a cut at a sentence's end, a cut inside a sentence.
 SEQUENCE_COST, SENTENCE_COST, HARD_COST = 64, 8, 64
 #: Words whose ids a process remembers; beyond that, those it met once are forgotten, then all but the most met half.
-CACHE = 200_000
+CACHE = 400_000
 
 # What the vocabulary's own splitter takes as letters and digits, among the characters that the short cut admits.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -45,6 +44,19 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Words with their numbers; a word that is looked up for the first time gets the next one and is listed as new."""
+
+    def __init__(self, *known) -> None:
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Ids of whole texts. A word's ids don't depend on its neighbours, so each new word is encoded once a process.
 
@@ -64,7 +76,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.pool, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.met = np.empty(0, np.int64)
 
@@ -77,9 +89,10 @@ class Encoder:
         ends = np.cumsum(sizes)
         self.pool = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[keep] - (ends - sizes), sizes)]
         self.starts, self.sizes, self.met = ends - sizes, sizes, self.met[keep]
-        self.index = {words[k]: n for n, k in enumerate(keep.tolist())}
+        self.index = _Numbers((words[k], n) for n, k in enumerate(keep.tolist()))
 
     def learn(self, words: list[str]) -> None:
+        """The ids of new words, in the order of their numbers."""
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):  # a word is not what was taken for one
@@ -90,8 +103,6 @@ class Encoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pool = np.concatenate([self.pool, ids])
         self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
-        base = len(self.index)
-        self.index.update((w, base + k) for k, w in enumerate(words))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's ids, then the end token."""
@@ -108,10 +119,10 @@ class Encoder:
                 counts.append(len(own))
             else:
                 out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END_ID], np.uint32)
-        new = list(set(words).difference(self.index))
-        if new:
-            self.learn(new)
         which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self.learn(self.index.new)
+            self.index.new = []
         self.met += np.bincount(which, minlength=len(self.met))
         sizes = self.sizes[which]
         ends = np.cumsum(sizes)
@@ -123,10 +134,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
 def shared_encoder(path: str) -> Encoder:
-    """The process's encoder: a worker that is used again keeps the words it has learned."""
-    return Encoder(path)
+    """The process's encoder: a worker that goes on to other tasks of this operator keeps the words it has learned."""
+    return kept(__name__, path, Encoder)
 
 
 def padding(n: int, size: int = SIZE) -> int:
