@@ -11,6 +11,7 @@ loses little. Every id of every document, the end token included, lies in one pi
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -64,6 +65,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core, not all of them
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,7 +95,8 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """The ids of new words, in the order of their numbers."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        lots = [" ".join(words[k : k + 2000]) for k in range(0, len(words), 2000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)])
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):  # a word is not what was taken for one
             each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]

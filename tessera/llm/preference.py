@@ -42,14 +42,28 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(differs == 0, n).otherwise(differs - 1).cast("int")
 
 
+def _turn() -> Column:
+    return F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _in_order(turns: Column) -> Column:
+    """Collected turns as array<struct<role,text>>, by turn, then role and text."""
+    return F.transform(F.sort_array(turns), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): turns of one number by role and text, null numbers first, null roles ``unknown``, null texts empty; rows without conv_id go."""
+    return turns.where("conv_id is not null").groupBy("conv_id").agg(_in_order(F.collect_list(_turn())).alias("turns"))
+
+
 def conversations_as_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): conversation 2p is preferred to 2p + 1.
 
     A side is its turns as array<struct<role,text>>, by turn, then role and text where a turn number repeats; null turns
-    come first, null roles are ``unknown``, null texts empty. A missing side has no turns. Rows without conv_id belong to none.
+    come first, null roles are ``unknown``, null texts empty. A missing side has no turns. Rows without conv_id belong to none;
+    repeated rows are turns of their own. Other columns are not read. An empty table gives no pairs.
     """
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    side = lambda odd: F.transform(F.sort_array(F.collect_list(F.when(F.pmod("conv_id", F.lit(2)) == odd, turn))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    side = lambda odd: _in_order(F.collect_list(F.when(F.pmod("conv_id", F.lit(2)) == odd, _turn())))
     pair = F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id")
     return turns.where("conv_id is not null").groupBy(pair).agg(side(0).alias("chosen"), side(1).alias("rejected"))
 
@@ -57,7 +71,7 @@ def conversations_as_pairs(turns: DataFrame) -> DataFrame:
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """The pairs' other columns with n_prefix, prompt, chosen_text, chosen_mask, rejected_text and rejected_mask.
 
-    Null sides count as conversations without turns.
+    Null sides count as conversations without turns; texts of any length are rendered whole. Columns with a result's name are replaced.
     """
     made = ("n_prefix", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
     none = F.array().cast("array<struct<role:string,text:string>>")

@@ -32,9 +32,20 @@ def op5_simhash_pivot_tables(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+# Bytes as pairs of hexadecimal digits, as DuckDB cuts text by characters alone.
+_OP6 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT w, min(doc_id) AS first FROM p GROUP BY w), r AS (SELECT doc_id, i FROM p JOIN f USING (w) WHERE first < doc_id),
+b AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS j FROM d)),
+l AS (SELECT b.doc_id, j, x, max(i) OVER (PARTITION BY b.doc_id ORDER BY j) AS was FROM b LEFT JOIN r ON b.doc_id = r.doc_id AND j = i),
+c AS (SELECT doc_id, j, x, coalesce(j - was < 50, false) AS gone FROM l), e AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM c),
+g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans, coalesce(string_agg(x, '' ORDER BY j) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query(_OP6)
 def op6_suffix_array_dedup(spark, d):
-    return substring_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return substring_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text")).drop("text")
 
 
 _OP9 = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM documents),
@@ -79,6 +90,17 @@ def op7_context_tree_weighting(spark, d):
     return context_tree.score_texts(docs, ~F.col("held_out"))
 
 
+@query("""WITH w AS (SELECT doc_id, crc32_fold, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM (SELECT doc_id, text, doc_id % 3 = 1 AS crc32_fold FROM documents)),
+t AS (SELECT doc_id, crc32_fold, unnest(ws) AS w FROM w), c AS (SELECT w, count(*) AS c FROM t WHERE NOT crc32_fold GROUP BY w),
+e AS (SELECT count(*) AS ends FROM w WHERE NOT crc32_fold), n AS (SELECT (coalesce(sum(c), 0) + any_value(ends))::BIGINT AS n, count(c) + 1 AS v, any_value(ends) AS ends FROM e LEFT JOIN c ON true),
+s AS (SELECT doc_id, count(*) AS k, count(c.c) AS known, sum(log10(coalesce(c.c, 0) + 1)) AS lg FROM t LEFT JOIN c USING (w) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT + 1 AS n_tokens, coalesce(known, 0)::BIGINT + 1 AS n_known, n AS train_tokens, round(coalesce(lg, 0) + log10(ends + 1) - (len(ws) + 1) * log10(n + v + 1), 4) AS base_score FROM w LEFT JOIN s USING (doc_id), n""")
+def unigram_base_scores(spark, d):
+    """op7's base, with a fold that SQL can tell."""
+    scored = context_tree.score_texts(table(spark, d, "documents").select("doc_id", "text"), F.pmod("doc_id", F.lit(3)) != 1)
+    return scored.select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 @query("""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest""")
@@ -132,8 +154,27 @@ SELECT n.pair_id, n.n_prefix::INTEGER AS n_prefix, coalesce(c.prompt, '') AS pro
 FROM n LEFT JOIN g c ON n.pair_id = c.pair_id AND c.side = 0 LEFT JOIN g j ON n.pair_id = j.pair_id AND j.side = 1"""
 
 
+def _shown(pairs: DataFrame) -> DataFrame:
+    """Formatted pairs, spans as ``start:length`` lists."""
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["length"].cast("string"))), ",")
+    return preference.format_preferences(pairs).withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
+
+
 @query(_OP10)
 def op10_preference_pairs(spark, d):
-    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["length"].cast("string"))), ",")
-    made = preference.format_preferences(preference.conversations_as_pairs(table(spark, d, "conversations")))
-    return made.withColumns({"chosen_mask": shown("chosen_mask"), "rejected_mask": shown("rejected_mask")})
+    return _shown(preference.conversations_as_pairs(table(spark, d, "conversations")))
+
+
+_SHARED = """WITH t1 AS (SELECT conv_id AS pair_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t2 AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY pair_id) AS n FROM t1),
+t AS (SELECT pair_id, 0 AS side, role, text, k FROM t2 UNION ALL SELECT pair_id, 1, role, CASE WHEN k = n THEN 'No. ' || text ELSE text END, k FROM t2),
+"""
+
+
+@query(_SHARED + _OP10[_OP10.index("pairs AS") :])
+def preference_shared_prompts(spark, d):
+    """Each conversation against itself with another last turn: all turns but one are the prompt."""
+    turns = F.col("chosen")
+    other = F.struct(F.element_at(turns, -1)["role"].alias("role"), F.concat(F.lit("No. "), F.element_at(turns, -1)["text"]).alias("text"))
+    chats = preference.conversations(table(spark, d, "conversations")).withColumnsRenamed({"conv_id": "pair_id", "turns": "chosen"})
+    return _shown(chats.withColumn("rejected", F.concat(F.slice(turns, F.lit(1), F.size(turns) - 1), F.array(other))))

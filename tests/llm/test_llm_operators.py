@@ -425,6 +425,30 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_query_on_a_table(spark):
+    """op8's query on a whole table: the tokenizer's own ids, gapless sequences, little padding."""
+    d = f"{DATA}/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    tokenizer = packing.Encoder(packing.vocabulary_path()).tokenizer
+    ids = {i: [*e.ids, 1] for i, e in zip(docs, tokenizer.encode_batch([t or "" for t in docs.values()], add_special_tokens=False), strict=True)}
+    rows = queries.QUERIES["op8_order_preserving_packing"](spark, d).collect()
+    reached, sequences = dict.fromkeys(docs, 0), collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert reached[r.doc_id] == r.start and r.length > 0 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        reached[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert reached == {i: len(x) for i, x in ids.items()}
+    used = held = 0
+    for s in sequences.values():
+        s.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip([(0, 0), *s], [*s, (sum(n for _, n in s), 0)], strict=True))
+        total = s[-1][0] + s[-1][1]
+        used, held = used + total, held + (total if total & (total - 1) == 0 else 2048)
+        assert total <= 2048
+    assert 1 - used / held < 0.015
+
+
 def test_cuts_are_best():
     rng = random.Random(5)
     for _ in range(20):
@@ -669,6 +693,67 @@ def test_preferences(spark):
     assert len(got) == 3
 
 
+def test_preferences_odd(spark):
+    rows = [(0, 1, "user", "x" * 200000, 1), (0, 1, "user", "x" * 200000, 1), (0, None, None, None, 2), (1, 1, "user", "x" * 200000, 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt int")
+    (r,) = preference.format_preferences(preference.conversations_as_pairs(df).selectExpr("*", "'p' AS prompt", "7 AS other")).collect()
+    assert r.other == 7 and r.n_prefix == 0 and r.chosen_text.count("<|end|>") == 3 and len(r.rejected_text) > 200000
+    assert preference.format_preferences(preference.conversations_as_pairs(df.limit(0))).count() == 0
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, component string, n_words int"
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, and columns with internal names."""
+    en = "the old man and the sea was a story that he had told to all of the children in that town for many years and more of them came "
+    rows = [(1, en, "en", "a", len(en)), (1, en, "en", "a", len(en)), (1, "another story of the same number but not of the same words at all that was", "en", None, None), (2, en.upper(), "en", "b", 9), (None, en, None, None, None), (3, None, "en", "a", 0), (4, "", None, "a", 0), (5, en * 3000, "en", "c", 1), (6, "12 34", "en", "c", 5), (7, "und der alte mann hat nicht die ganze zeit auf dem meer verbracht sondern war auch zu haus", "de", "c", 5)]
+    return spark.createDataFrame([(*r, 5, "c", None) for r in rows], DOCS)
+
+
+def test_stages_on_odd_tables(spark, odd_docs, tmp_path):
+    spark.createDataFrame([(1, "zeit auf dem meer verbracht sondern war auch zu haus"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_docs.limit(0), str(tmp_path)).count() == 0, name
+        found = stage(spark, odd_docs, str(tmp_path))
+        assert name == "packing" or found.columns == corpus_pipeline.COLUMNS
+        kept[name] = found.collect()
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in kept["language"]) and len(kept["language"]) == 7
+    near = [(r.doc_id, (r.text or "")[:9]) for r in kept["near_duplicates"]]
+    assert sorted(near, key=repr) == sorted([(1, "the old m"), (1, "another s"), (None, "the old m"), (3, ""), (7, "und der a"), (6, "12 34")], key=repr)
+    assert len(kept["repeated_passages"]) == 10 and len([r for r in kept["repeated_passages"] if r.doc_id == 2 and r.text]) == 1
+    assert [r.doc_id for r in kept["benchmark_leaks"]].count(7) == 0 and len(kept["benchmark_leaks"]) == 9
+    assert {r.doc_id for r in kept["packing"]} == {None, *range(1, 8)}
+
+
+def test_pipeline_by_brute_force(spark):
+    """The first four stages on a whole table, each against a slow version on its own input."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    items = {r.item_id: re.findall("[0-9a-z\x80-\U0010ffff]+", r.text.lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    grams = {tuple(w[i : i + min(10, len(w))]) for w in items.values() if w for i in range(max(1, len(w) - 9))}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = docs.collect()
+        docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), name)
+        got = sorted(map(tuple, docs.select("doc_id", "text").collect()))
+        if name == "language":
+            found = slow_language([(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None], [r.text for r in rows])
+            want = [(r.doc_id, r.text) for r, (lang, share) in zip(rows, found, strict=True) if lang != "und" and share >= corpus_pipeline.MIN_SHARE]
+        elif name == "near_duplicates":
+            first = {min(g) for g in slow_resembling([(r.doc_id, r.text) for r in rows])}
+            want = [(r.doc_id, r.text) for r in rows if r.doc_id in first]
+        elif name == "repeated_passages":
+            digests = {i: sha for i, _, _, _, sha in brute_repeats([(r.doc_id, r.text) for r in rows], 50)}
+            assert [i for i, _ in got] == sorted(digests)
+            whole = [(i, t) for i, t in got if hashlib.sha256(t.encode()).hexdigest() == digests[i]]
+            want = got if len(whole) > 0.98 * len(got) else []  # the rest are cut inside a character
+        else:
+            spoilt = lambda t: any(tuple(w[i : i + n]) in grams for w in [re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())] for n in {len(g) for g in grams} for i in range(len(w) - n + 1))
+            want = [(r.doc_id, r.text) for r in rows if not spoilt(r.text)]
+        assert got == sorted(want), name
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     counts = [docs.count()]
