@@ -345,17 +345,17 @@ def _train_sql(order: str) -> str:
  o AS (SELECT a.i, b.i AS j, sum(a.m * b.m) AS n FROM m a JOIN m b ON a.feature = b.feature AND b.i < a.i GROUP BY ALL),
  w AS MATERIALIZED (SELECT a.i, list(coalesce(n, 0)::DOUBLE ORDER BY b.i) AS n FROM d a JOIN d b ON b.i < a.i LEFT JOIN o ON o.i = a.i AND o.j = b.i GROUP BY a.i),
  s AS (SELECT 0::BIGINT AS i, []::DOUBLE[] AS steps UNION ALL SELECT d.i, list_append(steps, (y - 1 / (1 + exp(-coalesce(list_dot_product(steps, n), 0)))) * {classify.DELTA}) FROM s JOIN d ON d.i = s.i + 1 LEFT JOIN w ON w.i = d.i)
- SELECT feature::INTEGER AS feature, round(sum(m * steps[m.i]), 8) AS weight FROM m, (SELECT steps FROM s ORDER BY i DESC LIMIT 1) GROUP BY feature"""
+ SELECT feature::INTEGER AS feature, round(sum(m * steps[m.i]), 8) + 0.0 AS weight FROM m, (SELECT steps FROM s ORDER BY i DESC LIMIT 1) GROUP BY feature"""
 
 
 @query(_train_sql("doc_id"))
 def train_classifier(spark, d):
-    return classify.train(_training(spark, d).withColumn("position", F.col("docid"))).withColumn("weight", F.round("weight", 8))
+    return classify.train(_training(spark, d).withColumn("position", F.col("docid"))).withColumn("weight", F.round("weight", 8) + F.lit(0.0))
 
 
 @query(_train_sql("md5('7:' || doc_id)"))
 def train_classifier_shuffled(spark, d):
-    return classify.train(classify.shuffled(_training(spark, d), seed=7)).withColumn("weight", F.round("weight", 8))
+    return classify.train(classify.shuffled(_training(spark, d), seed=7)).withColumn("weight", F.round("weight", 8) + F.lit(0.0))
 
 
 # ---- streams and their twins
