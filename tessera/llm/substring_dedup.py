@@ -4,13 +4,14 @@ A document's bytes are removed where a string of ``width`` bytes covers them tha
 smaller id. Four steps, each spread over all executors:
 
 1. Every window of ``width`` bytes is named by the smallest hash among its k-grams. Equal windows have equal names,
-   so runs of windows with one name (*pieces*) can be dealt by name. Names alone are dealt first, four bytes a piece;
-   a name that only one document has cannot repeat and goes no further.
-2. Pieces whose name recurs are dealt by name with their documents; equal pieces of a block travel once.
+   so runs of windows with one name (*pieces*) can be dealt by name. Names alone are dealt first, four bytes for each
+   that a block has; a name that only one document has cannot repeat and goes no further.
+2. Pieces whose name recurs are dealt by name, equal pieces of a block once, with their smallest id in it. So a passage
+   that a third of all documents have costs its bucket an entry a block, not one a document.
 3. Where a name has several different pieces, windows that could be equal (by a rolling hash) are cut out and a
    generalised suffix array over the cuts, sorted by Lyndon groups, tells which windows are equal. Each window gets
    the smallest document id of its class. A single distinct piece needs no sorting: its windows are classes already.
-4. Spans go back to their blocks, where bytes are cut and hashed.
+4. Smallest ids go back to the blocks, which find their pieces again, compare, cut and hash.
 
 Pieces are at most ``width - 1 + PIECE`` bytes, so a name that repeats along a whole text is still many small rows.
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import materialize, partitions_of, squeeze, text_buffer, tidy, unpack, unsqueeze, write_blocks
@@ -121,8 +122,18 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _distinct(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's pieces by bucket and name (the low 32 bits): (their order, where each distinct name begins in it, the names, where each bucket begins in these)."""
+    keys = (_bucket(names, buckets).astype(np.uint64) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    own = keys[heads]
+    return order, heads, own.astype(np.uint32), np.searchsorted(own >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
 def _named(buckets: int, width: int, text: str):
-    """Blocks -> (bucket, block_id, names, docs): the low 32 bits of each piece's name, in order of position."""
+    """Blocks -> (bucket, block_id, names, several): a block's distinct names, and a bit for each that several of its documents have."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +141,15 @@ def _named(buckets: int, width: int, text: str):
             for block_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data, offsets = text_buffer(unpack(payload).column(text))
                 names, docs, _, _ = pieces(data, offsets, width)
-                b = _bucket(names, buckets)
-                order = np.argsort(b, kind="stable")
-                cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-                low, docs = names.astype(np.uint32)[order], docs[order].astype(np.uint16)
+                if not len(names):
+                    continue
+                order, heads, own, cuts = _distinct(names, buckets)
+                docs = docs[order]
+                several = docs[heads] != docs[np.append(heads[1:], len(docs)) - 1]  # in order of position, so of document, within a name
                 full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()), pa.array([block_id] * len(full), pa.int64()), pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), pa.array([squeeze(docs[cuts[k] : cuts[k + 1]]) for k in full], pa.binary())],
-                    ["bucket", "block_id", "names", "docs"],
+                    [pa.array(full, pa.int64()), pa.array([block_id] * len(full), pa.int64()), pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), pa.array([np.packbits(several[cuts[k] : cuts[k + 1]]).tobytes() for k in full], pa.binary())],
+                    ["bucket", "block_id", "names", "several"],
                 )
 
     return run
@@ -154,65 +166,70 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
 
 @tidy
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, block_id, flags): which of a block's names in the bucket another document has as well."""
+    """(bucket, block_id, flags): which of a block's names in the bucket two documents have, in this block or another."""
     for bucket, rows in _gather(batches).items():
-        rows.sort(key=lambda r: r["block_id"])
         names = [np.frombuffer(r["names"], np.uint32) for r in rows]
         sizes = [len(x) for x in names]
         names = np.concatenate(names)
-        docs = np.concatenate([unsqueeze(r["docs"], np.uint16).astype(np.int64) + (k << 16) for k, r in enumerate(rows)])
+        flags = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n).view(bool) for r, n in zip(rows, sizes, strict=True)])
         order = np.argsort(names, kind="stable")
-        n, d = names[order], docs[order]
+        n = names[order]
         heads = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
-        several = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
-        flags = np.empty(len(n), bool)
-        flags[order] = np.repeat(several, np.diff(np.append(heads, len(n))))
+        count = np.diff(np.append(heads, len(n)))
+        flags[order] = np.repeat((count > 1) | np.logical_or.reduceat(flags[order], heads), count)
         parts = np.split(flags, np.cumsum(sizes)[:-1])
         yield pa.RecordBatch.from_arrays(
             [pa.array([bucket] * len(rows), pa.int64()), pa.array([r["block_id"] for r in rows], pa.int64()), pa.array([squeeze(np.packbits(p)) for p in parts], pa.binary())], ["bucket", "block_id", "flags"]
         )
 
 
+class _Occurrences:
+    """A block's recurring pieces by bucket, the same whenever it is read."""
+
+    def __init__(self, block: pa.RecordBatch, flags: list[dict], buckets: int, width: int, text: str, key: str) -> None:
+        self.data, self.offsets = text_buffer(block.column(text))
+        self.names, self.docs, self.starts, self.ends = pieces(self.data, self.offsets, width)
+        self.ids = np.array([NONE if x is None else x for x in block.column(key).cast(pa.int64()).to_pylist()], np.int64)
+        order, heads, _, cuts = _distinct(self.names, buckets)
+        ends = np.append(heads[1:], len(order))
+        #: Bucket -> its recurring pieces, in order of name and position.
+        self.found: dict[int, np.ndarray] = {}
+        for f in flags:
+            lo, hi = cuts[f["bucket"]], cuts[f["bucket"] + 1]
+            marked = np.unpackbits(unsqueeze(f["flags"], np.uint8), count=hi - lo).view(bool)
+            if marked.any():
+                self.found[f["bucket"]] = order[heads[lo] : ends[hi - 1]][np.repeat(marked, ends[lo:hi] - heads[lo:hi])]
+
+    def strings(self, raw: bytes, bucket: int) -> tuple[list[bytes], np.ndarray]:
+        """The bucket's distinct strings, and which of them each of its pieces is."""
+        own, seen = self.found[bucket], {}
+        which = [seen.setdefault(raw[s:e], len(seen)) for s, e in zip(self.starts[own].tolist(), self.ends[own].tolist(), strict=True)]
+        return list(seen), np.array(which, np.int64)
+
+
 def _candidates(buckets: int, width: int, text: str, key: str):
-    """Blocks with flags -> (bucket, block_id, strings, sizes, names, which, doc, pos, id): recurring pieces, equal ones once a block."""
+    """Blocks with flags -> (bucket, block_id, strings, sizes, names, least): a block's distinct recurring pieces, each with its smallest id there."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = unpack(row["payload"])
-                data, offsets = text_buffer(block.column(text))
-                names, docs, starts, ends = pieces(data, offsets, width)
-                b = _bucket(names, buckets)
-                order = np.argsort(b, kind="stable")
-                cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-                marked = np.zeros(len(names), bool)
-                for f in row["flags"] or []:
-                    lo, hi = cuts[f["bucket"]], cuts[f["bucket"] + 1]
-                    marked[order[lo:hi]] = np.unpackbits(unsqueeze(f["flags"], np.uint8), count=hi - lo).view(bool)
-                ids = block.column(key).cast(pa.int64()).to_pylist()
-                ids = np.array([NONE if x is None else x for x in ids], np.int64)
+                block = _Occurrences(unpack(row["payload"]), row["flags"], buckets, width, text, key)
                 out: dict[str, list] = {c: [] for c in CANDIDATES.names}
-                raw = data.tobytes()
-                marked = order[marked[order]]
-                cuts = np.searchsorted(b[marked], np.arange(buckets + 1))
-                for k in range(buckets):
-                    own = marked[cuts[k] : cuts[k + 1]]
-                    if not len(own):
-                        continue
-                    seen: dict[bytes, int] = {}
-                    which = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], np.uint32)
-                    first = np.zeros(len(seen), np.int64)
-                    first[which[::-1]] = own[::-1]
-                    d = docs[own]
-                    for c, v in (("bucket", k), ("block_id", row["block_id"]), ("strings", squeeze(np.frombuffer(b"".join(seen), np.uint8))), ("sizes", squeeze(np.array([len(x) for x in seen], np.uint16))), ("names", names[first].astype(np.uint32).tobytes()), ("which", squeeze(which)), ("doc", squeeze(d.astype(np.uint16))), ("pos", squeeze((starts[own] - offsets[d]).astype(np.uint32))), ("id", squeeze(ids[d]))):
+                raw = block.data.tobytes()
+                for k, own in block.found.items():
+                    strings, which = block.strings(raw, k)
+                    least, names = np.full(len(strings), NONE, np.int64), np.empty(len(strings), np.uint32)
+                    np.minimum.at(least, which, block.ids[block.docs[own]])
+                    names[which] = block.names[own].astype(np.uint32)
+                    for c, v in (("bucket", k), ("block_id", row["block_id"]), ("strings", squeeze(np.frombuffer(b"".join(strings), np.uint8))), ("sizes", squeeze(np.array([len(x) for x in strings], np.uint16))), ("names", names.tobytes()), ("least", squeeze(least))):
                         out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=CANDIDATES)
 
     return run
 
 
-CANDIDATES = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), *[(c, pa.binary()) for c in ("strings", "sizes", "names", "which", "doc", "pos", "id")]])
+CANDIDATES = pa.schema([("bucket", pa.int64()), ("block_id", pa.int64()), *[(c, pa.binary()) for c in ("strings", "sizes", "names", "least")]])
 
 
 def _class_minima(strings: list[bytes], names: np.ndarray, least: np.ndarray, width: int) -> dict[int, np.ndarray]:
@@ -271,64 +288,81 @@ def _class_minima(strings: list[bytes], names: np.ndarray, least: np.ndarray, wi
     return out
 
 
-def _spans(width: int):
-    """A bucket's candidates -> (block_id, doc, start, stop): byte spans to remove."""
+def _minima(width: int):
+    """A bucket's candidates -> (block_id, bucket, least, odd, windows): of each of the block's strings the smallest id, and of those whose
+    windows differ in that (their numbers are ``odd``) each window's."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _gather(batches).values():
+        for bucket, rows in _gather(batches).items():
             index: dict[tuple[int, bytes], int] = {}
             maps = []
             for r in rows:
                 sizes, blob = unsqueeze(r["sizes"], np.uint16).astype(np.int64), unsqueeze(r.pop("strings"), np.uint8).tobytes()
                 ends = np.cumsum(sizes).tolist()
                 names = np.frombuffer(r.pop("names"), np.uint32).tolist()
-                own = np.array([index.setdefault((m, blob[s:e]), len(index)) for m, s, e in zip(names, [0, *ends[:-1]], ends, strict=True)], np.int64)
-                maps.append(own[unsqueeze(r.pop("which"), np.uint32)])
-                r["id"] = unsqueeze(r["id"], np.int64)
+                maps.append(np.array([index.setdefault((m, blob[s:e]), len(index)) for m, s, e in zip(names, [0, *ends[:-1]], ends, strict=True)], np.int64))
             least = np.full(len(index), NONE, np.int64)
             for m, r in zip(maps, rows, strict=True):
-                np.minimum.at(least, m, r["id"])
-            strings = [b for _, b in index]
-            lengths = np.array([len(b) for b in strings], np.int64)
-            mixed = _class_minima(strings, np.array([m for m, _ in index], np.uint32), least, width)
+                np.minimum.at(least, m, unsqueeze(r.pop("least"), np.int64))
+            mixed = _class_minima([b for _, b in index], np.array([m for m, _ in index], np.uint32), least, width)
             del index
-            odd = np.zeros(len(strings), bool)
+            odd = np.zeros(len(least), bool)
             odd[list(mixed)] = True
             for m, r in zip(maps, rows, strict=True):
-                doc, pos, known = unsqueeze(r["doc"], np.uint16), unsqueeze(r["pos"], np.uint32), r["id"] != NONE
-                plain = ~odd[m] & (least[m] < r["id"]) & known
-                d, a, z = [doc[plain].astype(np.int64)], [pos[plain].astype(np.int64)], [pos[plain] + lengths[m[plain]]]
-                for k in np.flatnonzero(odd[m] & known).tolist():
-                    hit = np.flatnonzero(mixed[m[k]] < r["id"][k])
-                    if len(hit):
-                        breaks = np.flatnonzero(np.diff(hit) > 1)
-                        lo, hi = hit[np.concatenate([[0], breaks + 1])], hit[np.concatenate([breaks, [len(hit) - 1]])] + width
-                        d.append(np.full(len(lo), doc[k], np.int64))
-                        a.append(lo + int(pos[k]))
-                        z.append(hi + int(pos[k]))
-                d = np.concatenate(d)
-                if len(d):
-                    spans = squeeze(np.stack([d, np.concatenate(a), np.concatenate(z)]).astype(np.uint32))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["block_id"]], pa.int64()), pa.array([spans], pa.binary())], ["block_id", "spans"])
+                own = np.flatnonzero(odd[m])
+                windows = np.concatenate([mixed[k] for k in m[own].tolist()]) if len(own) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"block_id": [r["block_id"]], "bucket": [bucket], "least": [squeeze(least[m])], "odd": [squeeze(own.astype(np.uint32))], "windows": [squeeze(windows)]}, schema=MINIMA)
 
     return run
 
 
-def _cut(out_schema: pa.Schema, text: str, replace: bool):
-    """Blocks with spans -> the input's rows, with what was removed."""
+MINIMA = pa.schema([("block_id", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("least", "odd", "windows")]])
+
+
+def _spans(block: _Occurrences, minima: list[dict], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, stops) of byte ranges that a smaller id's document has."""
+    raw = block.data.tobytes()
+    for r in minima:
+        own = block.found[r["bucket"]]
+        strings, which = block.strings(raw, r["bucket"])
+        ids, starts = block.ids[block.docs[own]], block.starts[own]
+        odd = unsqueeze(r["odd"], np.uint32).astype(np.int64)
+        mixed = np.zeros(len(strings), bool)
+        mixed[odd] = True
+        plain = ~mixed[which] & (unsqueeze(r["least"], np.int64)[which] < ids) & (ids != NONE)
+        yield starts[plain], block.ends[own][plain]
+        if not len(odd):
+            continue
+        # All windows of all odd pieces, end to end.
+        count = np.zeros(len(strings), np.int64)
+        count[odd] = [len(strings[k]) - width + 1 for k in odd.tolist()]
+        first = np.cumsum(count) - count
+        at = np.flatnonzero(mixed[which] & (ids != NONE))
+        n = count[which[at]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = unsqueeze(r["windows"], np.int64)[np.repeat(first[which[at]], n) + within] < np.repeat(ids[at], n)
+        begin = (np.repeat(starts[at], n) + within)[hit]
+        yield begin, begin + width
+
+
+def _cut(out_schema: pa.Schema, buckets: int, width: int, text: str, key: str, replace: bool):
+    """Blocks with flags and minima -> the input's rows, with what was removed."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = unpack(row["payload"])
-                data, offsets = text_buffer(block.column(text))
-                edge = np.zeros(len(data) + 1, np.int32)
-                for s in row["spans"] or []:
-                    d, a, z = unsqueeze(s, np.uint32).reshape(3, -1).astype(np.int64)
-                    np.add.at(edge, offsets[d] + a, 1)
-                    np.add.at(edge, offsets[d] + z, -1)
+                ranges = []
+                if row["minima"]:
+                    found = _Occurrences(block, row["flags"], buckets, width, text, key)
+                    data, offsets = found.data, found.offsets
+                    ranges = list(_spans(found, row["minima"], width))
+                else:
+                    data, offsets = text_buffer(block.column(text))
+                starts, stops = [np.concatenate(x) for x in zip(*ranges, strict=True)] if ranges else [np.empty(0, np.int64)] * 2
+                edge = np.bincount(starts, minlength=len(data) + 1) - np.bincount(stops, minlength=len(data) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 rise = gone.copy()
                 rise[1:] &= ~gone[:-1]
@@ -361,12 +395,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     blocks = write_blocks(docs.select(*own.names), text)
     buckets = partitions_of(spark)
     payloads = blocks.select("block_id", "payload")
-    named = payloads.mapInArrow(_named(buckets, width, text), "bucket bigint, block_id bigint, names binary, docs binary")
+    named = payloads.mapInArrow(_named(buckets, width, text), "bucket bigint, block_id bigint, names binary, several binary")
     flags = named.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_recurring, "bucket bigint, block_id bigint, flags binary")
-    by_block = flags.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
-    candidates = payloads.join(by_block, "block_id").select("block_id", "payload", "flags")
-    found = candidates.mapInArrow(_candidates(buckets, width, text, key), "bucket bigint, block_id bigint, strings binary, sizes binary, names binary, which binary, doc binary, pos binary, id binary")
-    spans = found.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_spans(width), "block_id bigint, spans binary")
-    spans = materialize(spans, "spans")  # a fresh start for the last pass: small, and what a lost executor falls back to
-    spans = spans.groupBy("block_id").agg(F.collect_list("spans").alias("spans"))
-    return payloads.join(spans, "block_id", "left").select("payload", "spans").mapInArrow(_cut(to_arrow_schema(schema), text, replace), schema)
+    # Written, as are the minima: small, read twice, and what a lost executor falls back to.
+    flags = materialize(flags, "flags").groupBy("block_id").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
+    flagged = payloads.join(flags, "block_id", "left")
+    found = flagged.where("flags is not null").select("block_id", "payload", "flags").mapInArrow(_candidates(buckets, width, text, key), from_arrow_schema(CANDIDATES))
+    minima = found.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_minima(width), from_arrow_schema(MINIMA))
+    minima = materialize(minima, "minima").groupBy("block_id").agg(F.collect_list(F.struct("bucket", "least", "odd", "windows")).alias("minima"))
+    return flagged.join(minima, "block_id", "left").select("payload", "flags", "minima").mapInArrow(_cut(to_arrow_schema(schema), buckets, width, text, key, replace), schema)
