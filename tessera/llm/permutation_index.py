@@ -7,7 +7,8 @@ as just behind the last); the vectors of least distance, with all that tie with
 products in double precision.
 
 Equal vectors of a segment are posted once, with all their ids, so copies take no places from other vectors.
-Candidates are picked by angle: equal norms are assumed, and recall falls where they differ much.
+Footrule tells angles alone. Where norms differ, a segment learns from some of its own vectors which cosine a distance stands for, and
+a query reranks the vectors whose expected cosine is farthest above what their norm requires to be among the nearest.
 
 Pivots are a sample of at most ``PIVOTS`` distinct vectors, those of least hashed id. Inverted files are kept by segment, not dealt by
 pivot: with vectors as evenly spread as those of the given tables a fixed number of candidates finds few neighbours (recall 0.5
@@ -30,6 +31,8 @@ from tessera.llm.blocks import materialize, tidy
 PIVOTS, PREFIX, ASKED, SEGMENT, QUERIES = 2048, 32, 128, 16384, 1024
 #: Of a segment this share is reranked, and besides this many times ``k``.
 RERANK, SPARE = 0.05, 5
+#: Vectors of a segment by which it learns what cosine a footrule distance stands for.
+FITTED = 32
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -68,6 +71,22 @@ class Segment:
         #: How much nearer a shared pivot brings, by its places in the query and in the vector.
         self.gains = (2 * self.asked - p - q - np.abs(p - q)).astype(np.float64)
         self.bounds = np.searchsorted(ranks.ravel()[order], np.arange(len(pivots) + 1))
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+        #: Where norms are equal but for rounding, cosines alone tell.
+        self.uneven = self.norms.max(initial=0) > (1 + 1e-5) * self.norms.min(initial=np.inf)
+        self.base, self.slope = self._fit(pivots) if self.uneven else (0.0, 1.0)
+
+    def _fit(self, pivots: np.ndarray) -> tuple[float, float]:
+        """The line of least squares from nearness to cosines, over a few of the vectors as queries and all as candidates."""
+        few = np.linspace(0, len(self.vectors) - 1, min(FITTED, len(self.vectors))).astype(np.int64)
+        gains = np.stack([self.nearness(r) for r in permutations(self.vectors[few], pivots, self.asked)])
+        cosines = (self.vectors[few] @ self.vectors.T) / np.outer(self.norms[few], self.norms)
+        gains, cosines = (x[np.arange(len(self.vectors)) != few[:, None]] for x in (gains, cosines))
+        spread = ((gains - gains.mean()) ** 2).sum() if len(gains) else 0.0
+        if not spread:
+            return 0.0, 1.0
+        slope = float(((gains - gains.mean()) * cosines).sum() / spread)
+        return (float(cosines.mean() - slope * gains.mean()), slope) if slope > 0 else (0.0, 1.0)
 
     def nearness(self, permutation: np.ndarray) -> np.ndarray:
         """What all vectors' footrule distances to the query's prefix lack to that of a vector that shares no pivot."""
@@ -76,13 +95,20 @@ class Segment:
         return np.bincount(self.rows[at], self.gains[np.repeat(np.arange(len(permutation)), n), self.places[at]], len(self.vectors))
 
     def search(self, q: np.ndarray, q_ranks: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, scores, whether the vector equals the query) for each query: the best ``k + 1`` of the vectors of least footrule distance."""
+        """(ids, scores, whether the vector equals the query) for each query: the best ``k + 1`` of the vectors of least footrule distance, norms allowed for."""
         size = len(self.vectors)
         most = min(size, int(np.ceil(RERANK * size)) + SPARE * k)
+        few = min(most, SPARE * k)
         held = np.minimum(np.diff(self.starts), k + 1)  # of a vector's ids the first are enough
         for n in range(len(q)):
-            gain = self.nearness(q_ranks[n])
-            near = np.flatnonzero(gain >= np.partition(gain, size - most)[size - most])
+            hope = self.nearness(q_ranks[n])
+            if self.uneven:
+                # The cosine that a vector needs is the last of a first few's k + 1 best scores over its norm; hope is how far it is expected above that.
+                cosine = self.base + self.slope * hope
+                first = np.argpartition(self.norms * cosine, size - few)[size - few :]
+                last = np.sort(self.vectors[first] @ q[n])[-min(k + 1, few)] / np.linalg.norm(q[n])
+                hope = cosine - max(0.0, last) / self.norms
+            near = np.flatnonzero(hope >= np.partition(hope, size - most)[size - most])
             scores, count = exact(self.vectors[near], q[n]), held[near]
             same = (self.vectors[near] == q[n]).all(axis=1)
             at = np.repeat(self.starts[near] - np.cumsum(count) + count, count) + np.arange(count.sum())

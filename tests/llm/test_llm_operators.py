@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from conftest import DATA
@@ -511,6 +512,17 @@ def test_permutation_index_copies(spark):
     assert np.mean([r for copy, r in recall if copy]) == 1 and np.mean([r for copy, r in recall if not copy]) >= 0.9
 
 
+@pytest.mark.parametrize("sigma", [0.3, 0.6, 1.0])
+def test_permutation_index_norms(spark, sigma):
+    e = np.array(spark.read.parquet(f"{DATA}/check_s/embeddings.parquet").toPandas().embedding.tolist(), float)
+    e *= np.exp(sigma * np.random.default_rng(4).normal(size=len(e)))[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(e)), "embedding": e.tolist()})).repartition(4)
+    found = permutation_index.search(df, df.where("vec_id % 20 = 0")).toPandas().groupby("query_id").vec_id.apply(set)
+    s = e[::20] @ e.T
+    s[np.arange(len(s)), np.arange(0, len(e), 20)] = -np.inf
+    assert np.mean([len(found[20 * k] & set(best)) / 20 for k, best in enumerate(np.argsort(-s, axis=1)[:, :20].tolist())]) >= 0.9
+
+
 def test_permutation_index_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
