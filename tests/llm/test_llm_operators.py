@@ -185,6 +185,23 @@ def slow_resembling(rows):
     return sorted(map(sorted, found.values()))
 
 
+def test_near_copies_beyond_leaders(spark):
+    """Chains whose ends are unlike, and a cloud around a text that itself is missing: links that no group's leader shows."""
+    rng = random.Random(16)
+    rows, words = [], [f"w{rng.randint(0, 999)}" for _ in range(120)]
+    for k in range(40):
+        rows.append((k, " ".join(words)))
+        words[rng.randrange(120)] = f"x{k}"
+    centre = [f"v{rng.randint(0, 999)}" for _ in range(200)]
+    for k in range(60):
+        at = set(rng.sample(range(200), rng.randint(1, 6)))
+        rows.append((100 + k, " ".join(f"y{k}" if j in at else w for j, w in enumerate(centre))))
+    found = collections.defaultdict(list)
+    for r in resemblance.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        found[r.component].append(r.doc_id)
+    assert sorted(map(sorted, found.values())) == slow_resembling(rows)
+
+
 def test_near_copies(spark):
     rng = random.Random(6)
     base = [f"w{rng.randint(0, 999)}" for _ in range(100)]
