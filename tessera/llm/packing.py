@@ -31,6 +31,8 @@ RUN = 4 << 20
 SEQUENCE_COST, SENTENCE_COST, HARD_COST = 64, 8, 64
 #: Words whose ids a process remembers; beyond that, those it met once are forgotten, then all but the most met half.
 CACHE = 400_000
+#: Characters whose words are listed at once.
+LISTED = 1 << 19
 
 # What the vocabulary's own splitter takes as letters and digits, among the characters that the short cut admits.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
@@ -96,7 +98,8 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """The ids of new words, in the order of their numbers."""
         lots = [" ".join(words[k : k + 2000]) for k in range(0, len(words), 2000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)])
+        found = (np.array(e.ids, np.uint32) for k in range(0, len(lots), 8) for e in self.tokenizer.encode_batch_fast(lots[k : k + 8], add_special_tokens=False))
+        ids = np.concatenate(list(found))
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):  # a word is not what was taken for one
             each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -108,7 +111,16 @@ class Encoder:
         self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's ids, then the end token."""
+        """Each text's ids, then the end token; the words of so many characters are listed at once, or of one longer text."""
+        out, start, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t or "")
+            if size >= LISTED or k + 1 == len(texts):
+                out += self._encode(texts[start : k + 1])
+                start, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > CACHE:
             self.forget()
         out: list[np.ndarray | None] = [None] * len(texts)
