@@ -359,18 +359,26 @@ def _cut(out_schema: pa.Schema, buckets: int, width: int, text: str, key: str, r
                     found = _Occurrences(block, row["flags"], buckets, width, text, key)
                     data, offsets = found.data, found.offsets
                     ranges = list(_spans(found, row["minima"], width))
+                    del found
                 else:
                     data, offsets = text_buffer(block.column(text))
                 starts, stops = [np.concatenate(x) for x in zip(*ranges, strict=True)] if ranges else [np.empty(0, np.int64)] * 2
-                edge = np.bincount(starts, minlength=len(data) + 1) - np.bincount(stops, minlength=len(data) + 1)
-                gone = np.cumsum(edge[:-1]) > 0
+                edge = np.bincount(starts, minlength=len(data) + 1).astype(np.int32)
+                edge -= np.bincount(stops, minlength=len(data) + 1).astype(np.int32)
+                gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
+                del edge, starts, stops, ranges
                 rise = gone.copy()
                 rise[1:] &= ~gone[:-1]
                 heads = offsets[:-1][offsets[:-1] < offsets[1:]]
                 rise[heads] = gone[heads]
-                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
-                n_gone, n_spans = total(gone), total(rise)
-                keep, kept = data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[offsets]
+                before = np.zeros(len(data) + 1, np.int32)
+                np.cumsum(rise, out=before[1:])
+                runs = before[offsets].astype(np.int64)
+                np.cumsum(gone, out=before[1:])
+                lost = before[offsets].astype(np.int64)
+                n_gone, n_spans = np.diff(lost), np.diff(runs)
+                keep, kept = data[~gone].tobytes(), offsets - lost
+                del before, gone, rise
                 rest = [keep[a:z] for a, z in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
                 made = {
                     "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()),
