@@ -33,6 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, that of the smallest doc_id, of each group of near copies: a chain of links of 0.8 or more between sets of five-word shingles.
 
+    Candidates are fingerprints' classes by tables of distances to references, and bands for the links beyond; all are verified exactly.
+
     Rows are told apart by where they lie, so a repeated doc_id costs no text that copies nothing; of equal ids in a group any
     one stays. Rows without an id are kept as they are. Texts without words, null ones too, are copies of each other. Columns beyond
     those of documents go; an empty table stays empty.

@@ -1,12 +1,14 @@
 """Near copies by resemblance: the Jaccard index of texts' sets of word shingles, computed exactly.
 
 A text's shingles are 64-bit hashes of its runs of ``SHINGLE`` lower-cased words (of all its words if it has fewer).
-Texts of equal sets are one vertex. Candidates share all ``ROWS`` minima of one of ``BANDS`` bands: two sets of
-resemblance s miss each other with probability (1 - s^ROWS)^BANDS, 3e-5 at 0.8 and less above. SimHash can't stand in
-here: pairs at 0.8 differ in about 10 of 64 bits and often in more, and postings that cover that many hold most pairs.
-
-Candidates that share a band's key are one group, and groups of equal members are looked at once. First the set of a
-group's leader goes to the blocks of its members, which count how alike they are to it: that links whoever resembles
+Texts of equal sets are one vertex. Candidates are vertices whose SimHash fingerprints, over their sets, are joined by
+wide links (``simhash``: postings, and tables of distances to references): each such class is a group, and all links in
+it are found. Pairs at 0.8 differ in about 10 of 64 bits and often in more, and postings that cover that many hold most
+pairs. So for the rest there are bands of minima: vertices that share all ``ROWS`` minima of one of ``BANDS`` bands are a
+group too, unless they all are of one class. Two sets of resemblance s that no wide link joins miss each other with
+probability (1 - s^ROWS)^BANDS, 3e-5 at 0.8 and less above.
+
+Groups of equal members are looked at once. First the set of a group's leader goes to the blocks of its members, which count how alike they are to it: that links whoever resembles
 the leader. As 1 - resemblance is a metric, a link that remains has an end that does not resemble the leader, and
 ends whose distances to the leader differ by at most 1 - ``SIMILARITY``; so only members that can be such ends are
 dealt on, in cells of that distance, and a group of copies like their leader is never gathered. A cell's sets meet in
@@ -27,11 +29,13 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.blocks import materialize, partitions_of, tidy, unpack, write_blocks
-from tessera.llm.simhash import _LOWER, SEED
+from tessera.llm.simhash import _LOWER, SEED, majority, wide_components
 from tessera.operators.checkpoints import cut
 from tessera.operators.graph import component_labels
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+#: Smaller sets resemble no other one by ``SIMILARITY``, and have no fingerprint.
+LEAST = 4
 #: The width of a cell of distances to a leader, a little over what a link allows for rounding; blocks that one row of a leader's set serves.
 WIDTH, LOT = 1 - SIMILARITY + 1e-9, 256
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -63,11 +67,11 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
 
 
-ROWS_OF = "block_id bigint, n int, id bigint, vertex bigint, keys array<bigint>"
+ROWS_OF = "block_id bigint, n int, id bigint, vertex bigint, keys array<bigint>, fp bigint"
 
 
 def _vertices(text: str, key: str | None):
-    """Blocks -> (block_id, n, id, vertex, keys) of each row: its number in the block, its key, a hash of its shingle set, and its bands'."""
+    """Blocks -> (block_id, n, id, vertex, keys, fp) of each row: its number in the block, its key, a hash of its shingle set, its bands' keys and its fingerprint."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +79,16 @@ def _vertices(text: str, key: str | None):
             for block_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block = unpack(payload)
                 rows = block.num_rows
-                vertices, keys = np.empty(rows, np.uint64), []
+                vertices, keys, fps = np.empty(rows, np.uint64), [], []
                 for k in range(rows):
                     own = shingles(block.column(text)[k].as_py())
                     vertices[k] = xxhash.xxh64_intdigest(own.tobytes(), SEED)
                     keys.append(band_keys(own))
+                    fps.append(int(majority(own).view(np.int64)) if len(own) >= LEAST else None)
                 ids = block.column(key).cast(pa.int64()) if key else pa.nulls(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(rows, block_id)), pa.array(np.arange(rows, dtype=np.int32)), ids, pa.array(vertices.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["block_id", "n", "id", "vertex", "keys"]
+                    [pa.array(np.full(rows, block_id)), pa.array(np.arange(rows, dtype=np.int32)), ids, pa.array(vertices.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())],
+                    ["block_id", "n", "id", "vertex", "keys", "fp"],
                 )
 
     return run
@@ -182,10 +188,19 @@ def _to_leaders(text: str):
 LIKENESS = pa.schema([("grp", pa.int64()), ("vertex", pa.int64()), ("leader", pa.int64()), ("likeness", pa.float64())])
 
 
+def _candidates(vertices: DataFrame) -> DataFrame:
+    """(key, vertex, part): a key for each class of wide links, whose vertices are parts of their own, and the bands' keys, with classes as parts."""
+    own = vertices.select("vertex", "at.keys", "at.fp")
+    classes = wide_components(own.select("fp").where("fp is not null").distinct())
+    placed = own.join(classes, "fp", "left").withColumn("part", F.coalesce("component", "fp", "vertex"))
+    near = placed.where("fp is not null").select(F.xxhash64(F.lit("class"), "part").alias("key"), "vertex", F.col("vertex").alias("part"))
+    return placed.select(F.explode("keys").alias("key"), "vertex", "part").unionByName(near)
+
+
 def _groups(keyed: DataFrame) -> DataFrame:
-    """Distinct (key, vertex) -> (grp, vertex, leader): keys of several vertices, one of the keys that have the same; the leader is the smallest."""
-    marks = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "vertex")).alias("y"), F.min("vertex").alias("leader")]
-    once = keyed.groupBy("key").agg(*marks).where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("key", "leader")).alias("least")).select("least.key", "least.leader")
+    """Distinct (key, vertex) and their parts -> (grp, vertex, leader): keys of several parts, one of the keys that have the same vertices; the leader is the smallest."""
+    marks = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("vertex")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "vertex")).alias("y"), F.min("vertex").alias("leader"), F.min("part").alias("first"), F.max("part").alias("last")]
+    once = keyed.groupBy("key").agg(*marks).where("first < last").groupBy("size", "x", "y").agg(F.min(F.struct("key", "leader")).alias("least")).select("least.key", "least.leader")
     return cut(keyed.join(once, "key").select(F.col("key").alias("grp"), "vertex", "leader"))
 
 
@@ -234,18 +249,18 @@ def _grouped(docs: DataFrame, text: str, key: str | None) -> tuple[DataFrame, Da
     buckets = partitions_of(docs.sparkSession)
     blocks = write_blocks(docs, text).select("block_id", "payload")
     rows = materialize(blocks.mapInArrow(_vertices(text, key), ROWS_OF), "shingled")
-    vertices = materialize(rows.groupBy("vertex").agg(F.min(F.struct("block_id", "n", "keys")).alias("at")), "vertices")
-    groups = _groups(vertices.select("vertex", F.explode("at.keys").alias("key")))
+    vertices = materialize(rows.groupBy("vertex").agg(F.min(F.struct("block_id", "n", "keys", "fp")).alias("at")), "vertices")
+    groups = _groups(_candidates(vertices))
     vertices = vertices.select("vertex", "at.block_id", "at.n")
     likeness = _likeness(blocks, vertices, groups, text).withColumn("distance", 1 - F.col("likeness"))
-    cells = _groups(_rest(likeness))
+    cells = _groups(_rest(likeness).withColumn("part", F.col("vertex")))
     asked = cells.groupBy("vertex").agg(F.collect_list("grp").alias("groups")).join(vertices, "vertex")
     met = _asked(blocks, asked, text, "grp bigint, vertex bigint, shingles binary")
     # Written once: labels need each edge both ways, and a second run may find another forest.
     others = materialize(met.repartition(buckets, "grp").sortWithinPartitions("grp", "vertex").mapInArrow(_linked, "a bigint, b bigint"), "links")
     edges = likeness.where(F.col("likeness") >= SIMILARITY).select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct().unionByName(others)
     labels = component_labels(edges).withColumnRenamed("id", "vertex")
-    return blocks, rows.drop("keys").join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    return blocks, rows.drop("keys", "fp").join(labels, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
 
 
 def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:

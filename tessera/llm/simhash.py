@@ -9,6 +9,9 @@ pairs whose distances to any reference differ by more than the limit are discard
 what survives is compared bit by bit. A bucket emits a spanning forest of its links, not all pairs.
 
 Equal fingerprints are one vertex throughout: copies are never paired.
+
+Wide links, of up to ``WIDE_BITS`` bits, differ in two bits at most in one of three spans of 21 or 22 bits. Block counts would need too many
+postings there, so a fingerprint is posted under each span's bits and under those with one bit turned; distances to references discard as above.
 """
 
 from __future__ import annotations
@@ -35,6 +38,13 @@ REFERENCES = np.concatenate([np.zeros(1, np.uint64), BLOCK_MASKS, np.random.defa
 #: Fingerprints under one key that are compared pair by pair; larger groups are split by further references.
 GROUP = 64
 _STEPS = np.random.default_rng(6).integers(0, 1 << 64, BLOCKS, dtype=np.uint64)
+#: The limit of wide links, and their spans: first bit and number of bits.
+WIDE_BITS, SPANS = 8, ((0, 21), (21, 21), (42, 22))
+#: For each posting of a fingerprint its span's bits, the bit it turns (0: none), and what tells spans apart.
+_MASKS, _TURNS, _SALTS = (np.array(x, np.uint64) for x in zip(*(((1 << n) - 1 << a, turn, k) for k, (a, n) in enumerate(SPANS) for turn in (0, *(1 << a + i for i in range(n)))), strict=True))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Fingerprints under one key of wide links that are compared pair by pair; in larger groups links are followed from one to the next.
+LARGE = 1024
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -127,7 +137,7 @@ def _cells(table: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarra
         yield own
 
 
-def linked_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MAX_BITS, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MAX_BITS, chunk: int = 1 << 18, group_size: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs among fingerprints that share a key; a pair may come more than once.
 
     The distance table is computed once, a row for each distinct fingerprint.
@@ -143,9 +153,9 @@ def linked_pairs(keys: np.ndarray, fps: np.ndarray, most: int = MAX_BITS, chunk:
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(heads, len(keys)))
     group = np.repeat(np.arange(len(heads)), sizes)
-    plain = np.flatnonzero((sizes <= GROUP)[group])
+    plain = np.flatnonzero((sizes <= group_size)[group])
     pieces, table = [(plain, group[plain])], references[which]
-    for g in np.flatnonzero(sizes > GROUP):
+    for g in np.flatnonzero(sizes > group_size):
         pieces += [(lot, np.zeros(len(lot), np.int64)) for lot in _cells(table, np.arange(heads[g], heads[g] + sizes[g]), most)]
     for rows, lots in pieces:
         at, shift = np.arange(len(rows)), 1
@@ -173,8 +183,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
         fps += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-    if not keys:
-        return
+    if keys:
+        yield _spanning(linked_pairs(np.concatenate(keys), np.concatenate(fps)))
+
+
+def _spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Edges (a, b), a spanning forest of the pairs."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -183,13 +197,86 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = parent[x]
         return x
 
-    for a, b in linked_pairs(np.concatenate(keys), np.concatenate(fps)):
+    for a, b in pairs:
         for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True):
             p, q = root(x), root(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
     ends = [(x, root(x)) for x in list(parent) if root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([y for _, y in ends], pa.int64())], ["a", "b"])
+
+
+def wide_keys(fps: np.ndarray, posts: np.ndarray) -> np.ndarray:
+    """The keys of the postings of these numbers."""
+    with np.errstate(over="ignore"):
+        return ((fps ^ _TURNS[posts]) & _MASKS[posts]) * _FACTOR + _SALTS[posts]
+
+
+def _wide_posts(buckets: int):
+    """Distinct fingerprints -> (bucket, posts, fps): numbers of postings, from which keys follow."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            posts, own = np.repeat(np.arange(len(_MASKS), dtype=np.uint8), len(fps)), np.tile(fps, len(_MASKS))
+            bucket = (wide_keys(own, posts) >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            parts = [order[cuts[k] : cuts[k + 1]] for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([posts[p].tobytes() for p in parts], pa.binary()), pa.array([own[p].tobytes() for p in parts], pa.binary())], ["bucket", "posts", "fps"])
+
+    return run
+
+
+def _followed(fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of a group's links: each fingerprint reached is compared only with those not reached yet."""
+    table, left = distances(fps).astype(np.int8), np.arange(len(fps))
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            x, near = reached.pop(), left
+            for some in (slice(0, 8), slice(8, 24), slice(24, None)):
+                near = near[(np.abs(table[near, some] - table[x, some]) <= most).all(axis=1)]
+            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= most]
+            if len(near):
+                yield np.full(len(near), fps[x]), fps[near]
+                reached += near.tolist()
+                left = left[~np.isin(left, near, assume_unique=True)]
+
+
+def wide_pairs(keys: np.ndarray, fps: np.ndarray, most: int = WIDE_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs among fingerprints that share a key: all of them, or a spanning forest where more than LARGE share it."""
+    order = np.argsort(keys)
+    keys, fps = keys[order], fps[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(heads, len(keys)))
+    several = np.repeat((sizes > 1) & (sizes <= LARGE), sizes)
+    yield from linked_pairs(keys[several], fps[several], most, group_size=LARGE)
+    for g in np.flatnonzero(sizes > LARGE):
+        yield from _followed(np.unique(fps[heads[g] : heads[g] + sizes[g]]), most)
+
+
+@tidy
+def _wide_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's postings -> edges (a, b), a spanning forest of its wide links."""
+    posts, fps = [], []
+    for batch in batches:
+        posts += [np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]
+        fps += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+    if posts:
+        own = np.concatenate(fps)
+        yield _spanning(wide_pairs(wide_keys(own, np.concatenate(posts)), own))
+
+
+def wide_components(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, component) of those that have wide links: equal for fingerprints that a chain of them joins."""
+    buckets = partitions_of(fps.sparkSession)
+    posts = fps.select("fp").mapInArrow(_wide_posts(buckets), "bucket bigint, posts binary, fps binary")
+    edges = posts.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_wide_forest, "a bigint, b bigint")
+    # Written once: labels need each edge both ways, and a second run may find another forest.
+    return component_labels(materialize(edges, "wide")).withColumnRenamed("id", "fp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -202,6 +202,52 @@ def test_near_copies_beyond_leaders(spark):
     assert sorted(map(sorted, found.values())) == slow_resembling(rows)
 
 
+def test_near_copies_by_fingerprint(spark):
+    """A pair at 0.8 that shares no band and that only a wide link joins, and one too far for wide links that only bands join."""
+
+    def pair(seed):
+        w = [f"{seed}a{k}" for k in range(24)]
+        return " ".join(w[:22]), " ".join(w[:20] + w[22:])
+
+    bits = lambda a, b: np.bitwise_count(simhash.majority(resemblance.shingles(a)) ^ simhash.majority(resemblance.shingles(b)))
+    shared = lambda a, b: set(resemblance.band_keys(resemblance.shingles(a)).tolist()) & set(resemblance.band_keys(resemblance.shingles(b)).tolist())
+    near, far = pair(14147), next(p for p in map(pair, range(100)) if bits(*p) > 8 and shared(*p))
+    assert bits(*near) <= 8 and not shared(*near)
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate([*near, *far, "five words of no copy", "a b c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == [0, 2, 4, 5]
+
+
+def test_wide_components(spark):
+    """Classes by brute force, of pairs at each number of bits, a chain, and a cloud of more than are compared pair by pair."""
+    rng = np.random.default_rng(17)
+    turned = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+    fps = rng.integers(0, 1 << 64, 400, dtype=np.uint64).tolist()
+    for n in (1, 2, 5, 7, 8, 9, 10):
+        fps += [int(turned(np.uint64(x), n)) for x in fps[40 * n - 40 : 40 * n]][:40]
+    for _ in range(30):
+        fps.append(int(turned(np.uint64(fps[-1]), 8)))
+    centre = np.uint64(rng.integers(0, 1 << 63))
+    fps += [int(turned(centre, int(n))) for n in rng.integers(1, 6, 3000)]
+    known = np.unique(np.array(fps, np.uint64))
+    keys = np.concatenate([simhash.wide_keys(known, np.full(len(known), k)) for k in range(67)])
+    assert np.unique(keys, return_counts=True)[1].max() > simhash.LARGE
+    label, todo = np.full(len(known), -1), list(range(len(known)))
+    for k in todo:
+        front = [k] if label[k] < 0 else []
+        while front:
+            x = front.pop()
+            label[x] = k
+            near = np.flatnonzero((np.bitwise_count(known ^ known[x]) <= simhash.WIDE_BITS) & (label < 0))
+            label[near] = k
+            front += near.tolist()
+    want = sorted(sorted(known[label == k].view(np.int64).tolist()) for k in np.unique(label) if (label == k).sum() > 1)
+    found = collections.defaultdict(list)
+    for r in simhash.wide_components(spark.createDataFrame([(x,) for x in known.view(np.int64).tolist()], "fp long")).collect():
+        found[r.component].append(r.fp)
+    assert sorted(map(sorted, found.values())) == want
+
+
 def test_near_copies(spark):
     rng = random.Random(6)
     base = [f"w{rng.randint(0, 999)}" for _ in range(100)]
