@@ -93,7 +93,11 @@ def _predicted(column: str):
     return F.when(F.col(column) > 0, "spam").otherwise("ham").alias("predicted")
 
 
-def apply_ensemble(docs: DataFrame, models: DataFrame, method: str = "average", ids: DataFrame | None = None) -> DataFrame:
-    """(docid, score, predicted): the mean of the models' scores, or with any other method their votes (a tie is ham)."""
-    value = F.avg("score") if method == "average" else F.sum(F.when(F.col("score") > 0, 1.0).otherwise(-1.0))
+def apply_ensemble(docs: DataFrame, models: DataFrame, method: str = "average", ids: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """(docid, score, predicted): the mean of the models' scores, or with any other method their votes (a tie is ham).
+
+    With ``digits`` a model votes on its score rounded to so many: weights that cancel out sum to zero only up to the order of adding.
+    """
+    voted = F.col("score") if digits is None else F.round("score", digits)
+    value = F.avg("score") if method == "average" else F.sum(F.when(voted > 0, 1.0).otherwise(-1.0))
     return score(docs, models, ids).groupBy("docid").agg(value.alias("score")).select("docid", "score", _predicted("score"))

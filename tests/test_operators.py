@@ -194,6 +194,13 @@ def test_vote_tie_is_ham(spark):
     assert classify.score(docs, models).where("model_id = 'a'").first().score == 1.0
 
 
+def test_vote_of_weights_that_cancel_out(spark):
+    """0.1 + 0.2 - 0.3 is over zero in doubles, in one order of adding, and 0.3 - 0.2 - 0.1 under it in another."""
+    docs = spark.createDataFrame([("d", [1, 2, 3])], "docid string, features array<int>")
+    models = spark.createDataFrame([(m, k + 1, s * w) for m, s in (("a", 1), ("b", -1)) for k, w in enumerate((0.1, 0.2, -0.3))], "model_id string, feature int, weight double").coalesce(1)
+    assert tuple(classify.apply_ensemble(docs, models, "vote", digits=6).first()) == ("d", -2.0, "ham")
+
+
 def test_regions(spark):
     x0, x1, y0, y1 = geo.REGIONS["goldman"]
     df = spark.createDataFrame([(x0, y1), (x1, y0), (x1 + 1e-6, y0)], "lon double, lat double")
