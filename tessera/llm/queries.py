@@ -110,8 +110,8 @@ def op3_warc_salvage(spark, d):
 
 @query("SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages WHERE page_id % 7 <> 3")
 def salvaged_archives(spark, d):
-    """What op3's reader recovers where every seventh record was damaged."""
-    found = warc.drill(table(spark, d, "pages"), lambda page: page is not None and page % 7 == 3)
+    """What op3's reader recovers where every seventh record was damaged, and those without an id, which SQL's condition leaves out."""
+    found = warc.drill(table(spark, d, "pages"), lambda page: page is None or (page >= 0 and page % 7 == 3))
     return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest")
 
 

@@ -687,6 +687,14 @@ def test_warc_drill(spark):
     assert warc.drill(df.limit(0), lambda page: True).count() == 0
 
 
+def test_warc_drill_damages_what_it_hits(spark, tmp_path):
+    """With this page's middle byte changed, the member inflates to the same record: another match of equal content."""
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").where("page_id in (1, 230)")
+    odd = spark.createDataFrame([(None, "u", "no id"), (-4, "u", "below zero")], "page_id long, url string, html string")
+    pages.selectExpr("page_id + 64250 AS page_id", "url", "html").union(odd).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    compare(spark, queries.QUERIES["salvaged_archives"], queries.ORACLES["salvaged_archives"], str(tmp_path))
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", "small"), (4, "u", "small"), (5, "u", None), (6, "u", "line\r\n\r\nWARC/1.0\r\n" * 90), (None, "u", big)]
