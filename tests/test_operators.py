@@ -4,13 +4,15 @@ import math
 import random
 from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.functions.postings import decode_gaps, encode_gaps
 from tessera.functions.text import tokenize
-from tessera.operators import classify, cooccurrence, graph, relational, retrieval, text
+from tessera.operators import classify, cooccurrence, graph, packed, relational, retrieval, text
 from tessera.sources import readers, writers
 from tessera.streaming import sinks, windows
 
@@ -51,6 +53,45 @@ def test_pmi(spark):
     assert stripes["a"]["b"] == 2 and stripes["b"]["a"] == 1
 
 
+@pytest.mark.parametrize(("mode", "by_occurrence", "threshold"), [("all_lines", False, 1), ("multi_token_lines", False, 4), ("all_lines", True, 4), ("multi_token_lines", True, 1)])
+def test_pairs_by_hand(spark, mode, by_occurrence, threshold):
+    """Pairs against a loop; what is shuffled are packed blocks, not pairs (of which each had a row of an aggregate before)."""
+    rng = random.Random(3)
+    texts = [" ".join("w" + chr(97 + int(rng.paretovariate(0.7)) % 26) for _ in range(rng.choice([0, 1, 2, 5, 60]))) for _ in range(150)] + ["rare rare rare rare rare once"]
+    cooc, single = {}, {}
+    for t in texts:
+        seen = t.split()[:40]
+        for x in set(seen):
+            single[x] = single.get(x, 0) + (mode == "all_lines" or len(set(seen)) > 1)
+        for x in seen if by_occurrence else set(seen):
+            for y in set(seen) - {x}:
+                cooc[x, y] = cooc.get((x, y), 0) + 1
+    want = {(x, y): (n, math.log10(n * len(texts) / (single[x] * single[y]))) for (x, y), n in cooc.items() if n >= threshold}
+    scored = cooccurrence._scored(lines(spark, *texts).repartition(3), threshold, mode, 40, by_occurrence)
+    got = {(r.x, r.y): (r.cooc, r.pmi) for r in scored.collect()}
+    assert got.keys() == want.keys() and len(got) == scored.count()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_no_pairs(spark):
+    assert cooccurrence.pmi_pairs(lines(spark, "", "a", "b")).count() == 0 and cooccurrence.pmi_stripes(lines(spark, "").limit(0)).count() == 0
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for high in (50, 1 << 20, 1 << 44):
+        codes, a, b = rng.integers(0, high, 5000), rng.integers(1, 4, 5000), rng.integers(1, 1 << 30, 5000)
+        want = {}
+        for c, x, y in zip(codes.tolist(), a.tolist(), b.tolist(), strict=True):
+            want[c] = (want.get(c, (0, 0))[0] + x, want.get(c, (0, 0))[1] + y)
+        got = packed.summed(codes, [a, b])
+        assert {c: (x, y) for c, x, y in zip(*(g.tolist() for g in got), strict=True)} == want
+        back = packed.unpack(pa.py_buffer(packed.pack(*got)))
+        assert all((x == y).all() for x, y in zip(got, back, strict=True))
+
+
 def test_index(spark):
     docs = spark.createDataFrame([(3, "x x"), (7, "x y")], "doc long, text string")
     index = retrieval.build_index(docs)
