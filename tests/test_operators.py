@@ -110,6 +110,22 @@ def test_index(spark):
     assert [r.snippet for r in retrieval.fetch_lines(long.select("doc"), long).orderBy("doc").collect()] == ["a" * 80 + "...", "b"]
 
 
+def test_index_by_hand(spark):
+    """Null and repeated ids, null texts, ids below zero, in many partitions; postings are packed before they are shuffled, rows of an aggregate before."""
+    rng = random.Random(5)
+    texts = [(rng.choice([None, -5, -4097, rng.randrange(20000)]), rng.choice([None, "", " ".join(rng.choices("abcdefgh", k=30))])) for _ in range(120)]
+    want = {}
+    for doc, t in texts:
+        for x in (t or "").split():
+            want[x, doc] = want.get((x, doc), 0) + 1
+    index = retrieval.build_index(spark.createDataFrame(texts, "doc long, text string").repartition(5), partitions=3)
+    got = {(r.term, r.doc): r.tf for r in retrieval.postings_of(index, list("abcdefgh")).collect()}
+    assert got == want and {r.term: r.df for r in retrieval.document_frequencies(index).collect()} == {x: sum(k[0] == x for k in want) for x in "abcdefgh"}
+    assert all(r.segment is None or all(g.gap > 0 for g in r.postings[1:]) for r in index.collect())
+    known = retrieval.build_index(spark.createDataFrame([(1, "a")], "doc long, text string").where("doc is not null"))
+    assert "MapInArrow" in known._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gaps_round_trip(spark):
     df = spark.sql("SELECT 1 AS k, array(named_struct('doc', 5L, 'tf', 1L), named_struct('doc', 9L, 'tf', 2L), named_struct('doc', 10L, 'tf', 3L)) AS p")
     assert rows(decode_gaps(df.select("k", encode_gaps(F.col("p")).alias("postings")), ["k"]), "doc", "tf") == [(5, 1), (9, 2), (10, 3)]
