@@ -46,9 +46,11 @@ def _messages(structure: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def _round(structure: DataFrame, ranks: DataFrame, update) -> DataFrame:
+    """The next ranks: the mass that arrives is written, dealt by id, and the ranks follow from it and from what ``update`` sums up."""
     partitions = int(structure.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrived = ranks.join(_messages(structure, ranks), "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    return cut_by(arrived.select("id", update(structure, ranks).alias("p")), "id", partitions)
+    arrived = ranks.select("id").join(_messages(structure, ranks), "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    arrived = cut_by(arrived, "id", partitions)
+    return arrived.select("id", update(structure, ranks, arrived).alias("p"))
 
 
 def _iterate(nodes: DataFrame, sources: Sequence[int] | None, iterations: int, update, tolerance: float | None = None) -> DataFrame:
@@ -65,16 +67,13 @@ def _iterate(nodes: DataFrame, sources: Sequence[int] | None, iterations: int, u
     return structure.join(ranks, "id").select("id", "adj", "p")
 
 
-def _dangling(structure: DataFrame, ranks: DataFrame) -> Column:
-    return structure.where(F.size("adj") == 0).select("id").join(ranks, "id").agg(F.coalesce(F.sum("p"), F.lit(0.0))).scalar()
-
-
 def personalized_pagerank(nodes: DataFrame, sources: Sequence[int], iterations: int, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
     """(id, adj, p) after the iterations. Jumps and dangling mass go to the sources; total mass stays 1 unless edges leave the graph."""
     distinct = sorted(set(sources))
 
-    def update(structure: DataFrame, ranks: DataFrame) -> Column:
-        jump = F.when(F.col("id").isin(distinct), (alpha + (1 - alpha) * _dangling(structure, ranks)) / len(distinct)).otherwise(F.lit(0.0))
+    def update(structure: DataFrame, ranks: DataFrame, _: DataFrame) -> Column:
+        dangling = structure.where(F.size("adj") == 0).select("id").join(ranks, "id").agg(F.sum("p")).first()[0] or 0.0
+        jump = F.when(F.col("id").isin(distinct), F.lit((alpha + (1 - alpha) * dangling) / len(distinct))).otherwise(F.lit(0.0))
         return (1 - alpha) * F.col("mass") + jump
 
     return _iterate(nodes, distinct, iterations, update, tolerance)
@@ -86,11 +85,10 @@ def pagerank(nodes: DataFrame, iterations: int, alpha: float = ALPHA, tolerance:
     With a ``tolerance`` the iterations are a limit, and the ranks are those at which a round moves less than that in sum.
     """
 
-    def update(structure: DataFrame, ranks: DataFrame) -> Column:
-        n = ranks.agg(F.count("*").cast("double")).scalar()
-        known = _messages(structure, ranks).join(ranks.select("id"), "id", "left_semi").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).scalar()
-        missing = F.greatest(F.lit(0.0), 1.0 - known)
-        return alpha / n + (1 - alpha) * (F.col("mass") + missing / n)
+    def update(_structure: DataFrame, _ranks: DataFrame, arrived: DataFrame) -> Column:
+        n, known = arrived.agg(F.count("*"), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+        missing = max(0.0, 1.0 - known)
+        return F.lit(alpha / max(n, 1)) + (1 - alpha) * (F.col("mass") + F.lit(missing / max(n, 1)))
 
     return _iterate(nodes, None, iterations, update, tolerance)
 

@@ -178,6 +178,15 @@ def test_pagerank_to_convergence(spark):
     assert tuple(graph.message_counters(graph.build_ranked_nodes(nodes(spark), None)).first()) == (3, 4, 1)
 
 
+def test_a_round_sends_messages_once(spark, monkeypatch):
+    """Two rounds, two message plans: what arrives tells what is missing. Each round built them twice before."""
+    made, send = [], graph._messages
+    monkeypatch.setattr(graph, "_messages", lambda *a: made.append(1) or send(*a))
+    ranked = graph.pagerank(nodes(spark), 2)
+    assert len(made) == 2 and ranked.agg(F.sum("p")).first()[0] == pytest.approx(1.0)
+    assert graph.pagerank(nodes(spark).limit(0), 2).count() == 0
+
+
 def test_unknown_edge_loses_mass(spark):
     got = graph.personalized_pagerank(nodes(spark, [(0, [1, 9]), (1, [0])]), [0], 1)
     assert {r.id: r.p for r in got.collect()} == pytest.approx({0: 0.15, 1: 0.425})
