@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokenize
 
 DELTA = 0.002
+#: Rows of a block in training.
+BLOCK = 1000
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
@@ -32,35 +36,51 @@ def shuffled(docs: DataFrame, seed: int = 0) -> DataFrame:
     return docs.withColumn("position", F.md5(F.concat(F.lit(f"{seed}:"), F.col("docid").cast("string"))))
 
 
+def _stepped(known: np.ndarray, weights: np.ndarray, labels: pa.Array, features: pa.Array, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """The features known, ascending, and their weights after one step for each row; the rows' own weights are held together meanwhile."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False)).tolist()
+    own, at = np.unique(features.flatten().to_numpy(), return_inverse=True)
+    place = np.searchsorted(known, own)
+    old = np.append(known, 0)[place] == own if len(own) else np.zeros(0, bool)
+    old &= place < len(known)
+    w = np.zeros(len(own))
+    w[old] = weights[place[old]]
+    start = 0
+    for label, end in zip(labels.to_pylist(), ends, strict=True):
+        held, start = at[start:end], end
+        step = ((1.0 if label == "spam" else 0.0) - 1.0 / (1.0 + math.exp(-float(w[held].sum())))) * delta
+        np.add.at(w, held, step)
+    weights[place[old]] = w[old]
+    return np.insert(known, place[~old], own[~old]), np.insert(weights, place[~old], w[~old])
+
+
 def train(docs: DataFrame, position: str = "position", delta: float = DELTA) -> DataFrame:
     """(feature, weight) by one pass of stochastic gradient descent in ascending ``position`` (then docid).
 
     Each update depends on the one before, so the pass is sequential by definition. All executors sort the rows and pack them, in
-    order, to numbered blocks; one task merges the blocks by number (a sort of few, large rows) and holds the weights alone.
+    order, to numbered blocks; one task merges the blocks by number (a sort of few, large rows) and holds the weights alone, as two arrays.
+    Features are not null.
     """
     ordered = docs.select("docid", "label", "features", position).orderBy(position, "docid").select("label", "features")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
+        slices = (batch.slice(at, BLOCK) for batch in batches for at in range(0, len(batch), BLOCK))
+        for k, some in enumerate(slices):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
+            with pa.ipc.new_stream(sink, some.schema) as out:
+                out.write_batch(some)
             yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "k": pa.array([k], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w: dict[int, float] = {}
+        known, weights = np.empty(0, np.int32), np.empty(0)
         for batch in batches:
             for block in batch.column("rows"):
                 with pa.ipc.open_stream(block.as_buffer()) as rows:
                     for part in rows:
-                        for label, features in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                            features = features or []
-                            score = sum(w.get(f, 0.0) for f in features)
-                            step = ((1.0 if label == "spam" else 0.0) - 1.0 / (1.0 + math.exp(-score))) * delta
-                            for f in features:
-                                w[f] = w.get(f, 0.0) + step
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(w), pa.int32()), "weight": pa.array(list(w.values()), pa.float64())})
+                        known, weights = _stepped(known, weights, part.column(0), part.column(1), delta)
+        for at in range(0, len(known), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(known[at : at + 100_000]), pa.array(weights[at : at + 100_000])], names=["feature", "weight"])
 
     blocks = ordered.mapInArrow(packed, "task int, k int, rows binary")
     return blocks.repartition(1).sortWithinPartitions("task", "k").mapInArrow(descend, "feature int, weight double")
